@@ -3,6 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labelmill.llm.binout import digests, write_packed
+from labelmill.llm.common import scratch
+from labelmill.llm.compaction import compacted
+from labelmill.llm.licenses import scan_licenses
+from labelmill.llm.mixing import shares
+from labelmill.llm.packing import best_fit_pack
+from labelmill.llm.quality import score_quality
+from labelmill.llm.simhash import near_duplicates
+from labelmill.llm.topk import top_inner_products
+from labelmill.llm.toxicity import score_toxicity
+from labelmill.llm.vectors import near_duplicate_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -10,10 +23,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from labelmill.llm.packing import best_fit_pack
+    return best_fit_pack(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), most=3).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), half=1)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return found.select("doc_id", "held_out", "score", "predicted", F.transform("neighbours", lambda n: n["doc_id"]).alias("evidence"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = compacted(table(spark, sf_dir, "documents"), scratch(spark, "op9"))
+    return kept.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = write_packed(table(spark, sf_dir, "documents"), f"{scratch(spark, 'op10')}", capacity=2048)
+    return digests(packed)
 
-    return best_fit_pack(table(spark, sf_dir, "documents"))
 
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_mixing, op4_license_scan, op5_simhash, op6_quality, op7_toxicity, op8_embedding_dedup, op9_sharding, op10_token_output)}
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing,)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+}
