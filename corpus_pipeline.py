@@ -17,7 +17,7 @@ from labelmill.llm.toxicity import clean_documents
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label scorer takes for bad go."""
-    return good_documents(docs, least=0.5)
+    return good_documents(docs, least=0.3)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

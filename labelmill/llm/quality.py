@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ def votes(text: str | None) -> str:
     words = raw.split()
     n = len(words)
     if not n:
-        return "0" + "-" * 8
+        return "-" * 9
     kinds = raw.translate(_CLASS)
     upper, lower, digits = kinds.count(b"A"), kinds.count(b"a"), kinds.count(b"0")
     marks = sum(map(len, words)) - upper - lower - digits
@@ -54,50 +55,62 @@ def votes(text: str | None) -> str:
     bars = (raw.count(b"|") + raw.count(b"\t")) / n
     stuck = sum(map(raw.count, (b"%%", b"$$", b"##", b"&&", b"**", b"!!", b"@@", b"~~", b"=="))) / n
     loud = upper / max(1, letters)
-    length = letters / n
+    stutter = sum(map(bytes.__eq__, words, words[1:])) / n
+    often = max(Counter(low).values()) / n
     return "".join((
         _vote(sign < 0.08, sign > 0.2),
         _vote(False, bars > 0.1),
         _vote(False, stuck > 0.1),
         _vote(loud < 0.15, loud > 0.35),
         _vote(common > 0.12, common < 0.02 and n > 20),
-        _vote(repeated < 1.2 and len(lines) > 2, repeated > 2.5),
+        _vote(False, repeated > 2.0),
         _vote(ended > 0.8, ended < 0.3 and len(lines) > 3),
-        _vote(2 <= length <= 9, length > 14 or length < 1.5),
-        _vote(n >= 20, n < 3),
+        _vote(False, stutter > 0.3),
+        _vote(False, often > 0.25 and n > 20),
     ))
 
 
-def fit_accuracies(counts: dict[str, int], rounds: int = 60) -> dict:
-    """EM over vote patterns: the share of good texts, and how often each labeller gives each vote to good and to bad ones.
+def fit_accuracies(counts: dict[str, int], rounds: int = 100) -> dict:
+    """EM over vote patterns: the share of good texts, and how often each labeller votes good, bad or abstains on good and on bad ones.
 
-    A labeller that abstains says nothing. The start takes labellers to be right four times in five.
+    Abstaining is a vote of its own, so that labellers that only ever vote bad count. The
+    start takes a text with any bad vote for probably bad; pseudo-counts keep a labeller's
+    bad votes likelier on bad texts than on good ones.
     """
     if not counts:
-        return {"good": 0.5, "vote": np.full((0, 2), 0.5)}
+        return {"good": 0.5, "vote": {}, "posterior": {}}
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
-    on = np.array([[c == "1" for c in p] for p in patterns])
-    off = np.array([[c == "0" for c in p] for p in patterns])
-    good, vote = 0.8, np.tile([0.2, 0.8], (on.shape[1], 1))  # vote[j]: chance of voting good on a bad and on a good text
+    cast = np.array([[["1", "0", "-"].index(c) for c in p] for p in patterns])
+    p = np.array([0.05 if "0" in x else 0.97 for x in patterns])
+    prior = {0: np.array([1.0, 3.0, 4.0]), 1: np.array([4.0, 0.2, 4.0])}  # good, bad, abstains
     for _ in range(rounds):
-        log = np.stack([(on * np.log(vote[:, k]) + off * np.log(1 - vote[:, k])).sum(axis=1) for k in (0, 1)], axis=1) + np.log([1 - good, good])
-        p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         good = float(np.clip((n * p).sum() / n.sum(), 0.01, 0.99))
+        log = np.tile(np.log([1 - good, good]), (len(patterns), 1))
+        vote = {}
         for k, w in ((0, n * (1 - p)), (1, n * p)):
-            prior = (1, 4) if k else (4, 1)  # bad, good votes seen before
-            vote[:, k] = np.clip((w @ on + prior[1]) / (w @ on + w @ off + 5), 0.01, 0.99)
+            vote[k] = np.array([np.bincount(cast[:, j], w, 3) + prior[k] for j in range(cast.shape[1])])
+            vote[k] /= vote[k].sum(axis=1, keepdims=True)
+            log[:, k] += np.log(vote[k][np.arange(cast.shape[1]), cast]).sum(axis=1)
+        p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
     return {"good": good, "vote": vote, "posterior": dict(zip(patterns, p.tolist(), strict=True))}
 
 
+@lru_cache(50_000)
+def _shape(word: bytes) -> bytes:
+    return _RUNS.sub(rb"\1", word)
+
+
 def features(text: str | None) -> dict[int, float]:
-    """Hashed shares of word shapes (runs of a letter class count once), and of words of up to four bytes."""
+    """Hashed shares of word shapes (runs of a letter class count once), of words of up to four bytes, and of words said twice."""
     raw = (text or "").encode("utf-8", "replace")
     if not (words := raw.split()):
         return {zlib.crc32(b"empty") % DIM: 1.0}
-    shapes = Counter(_RUNS.sub(rb"\1", raw.translate(_CLASS)).split())
+    shapes: Counter = Counter()
+    for w, c in Counter(raw.translate(_CLASS).split()).items():
+        shapes[_shape(w)] += c
     small = Counter(w for w in raw.lower().split() if len(w) < 5)
-    out: dict[int, float] = {}
+    out = {zlib.crc32(b"stutter") % DIM: sum(map(bytes.__eq__, words, words[1:])) / len(words)}
     for kind, found in ((b"s:", shapes), (b"w:", small)):
         for w, c in found.items():
             k = zlib.crc32(kind + w[:32]) % DIM
@@ -163,7 +176,7 @@ def score_column(weights: np.ndarray, text: str = "text"):
     return score(text)
 
 
-def score_quality(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, sample: int = SAMPLE, least: float = 0.3) -> DataFrame:
     """Returns doc_id, score (0 to 1, higher: better), kept (score >= least) for each row of docs.
 
     Null and blank texts count as bad. Rows that repeat score alike; ids may be null. With
@@ -173,6 +186,6 @@ def score_quality(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) ->
     return scored.withColumn("kept", F.col("score") >= least)
 
 
-def good_documents(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+def good_documents(docs: DataFrame, sample: int = SAMPLE, least: float = 0.3) -> DataFrame:
     """The rows of docs, whole, that score at least `least`."""
     return docs.where(score_column(fit_quality(docs, sample)) >= least)

@@ -163,10 +163,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, t
 
     df = {r[0]: r[1] for r in docs.select("text").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect()}  # at most terms + 1
     idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(names))])
-    keep = F.filter(F.arrays_zip("terms", "n"), lambda p: F.col("known")[p["terms"]].isNotNull())
-    known_terms = F.create_map(*[F.lit(x) for t in names for x in (t.decode("latin-1"), 1)]) if names else F.create_map(F.lit(""), F.lit(1))
-    rows = sample.withColumn("known", known_terms).select("doc_id", "toxic", keep.alias("p")).orderBy("doc_id").collect()  # at most 2 * examples
-    vectors = [{at[t.encode("latin-1")]: n for t, n in r["p"] if t.encode("latin-1") in at} for r in rows]
+
+    def restrict(batches):
+        for b in batches:
+            got = [[(at[k], int(c)) for t, c in zip(terms_, n, strict=True) if (k := t.encode("latin-1")) in at] for terms_, n in zip(b["terms"], b["n"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "at": [[i for i, _ in g] for g in got], "n": [[c for _, c in g] for g in got]})
+
+    rows = sample.mapInPandas(restrict, f"doc_id {kind}, toxic int, at array<int>, n array<long>").orderBy("doc_id").collect()  # at most 2 * examples
+    vectors = [dict(zip(r["at"], r["n"], strict=True)) for r in rows]
     labels_ = np.array([r["toxic"] for r in rows], float)
     # each label's examples stand for as many rows as the label has
     stands = np.array([total[r["toxic"]] / sizes[r["toxic"]] for r in rows])
