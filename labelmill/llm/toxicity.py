@@ -117,8 +117,8 @@ def learnable(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> tuple[Vocabulary, Index]:
-    """The model, from labels (doc_id, toxic) of learnable rows; `examples` for each label and `terms` bound its size.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, least_z: float = 4.0) -> tuple[Vocabulary, Index]:
+    """The model, from labels (doc_id, toxic) of learnable rows; `examples` for each label and `terms` bound its size; a term must set the labels apart by least_z standard errors.
 
     Document frequencies are counted over all of docs. Rows with a null id or label teach
     nothing; an id with both labels counts as toxic. Without examples every text scores 0.
@@ -147,8 +147,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, t
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     seen = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (bad + 1.0)) - F.log((F.col("b") + 0.5) / (good + 1.0))
-    strength = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    picked = seen.where((F.col("a") + F.col("b") >= 4) & (F.abs(odds) > 1.2) & (F.abs(strength) > 3.0)).orderBy(F.desc(F.abs(strength)), "term").limit(terms)
+    share = (F.col("a") + F.col("b")) / float(bad + good)
+    strength = (F.col("a") / float(max(1, bad)) - F.col("b") / float(max(1, good))) / F.sqrt(share * (1 - share) * (1.0 / max(1, bad) + 1.0 / max(1, good)) + 1e-12)
+    picked = seen.where((F.col("a") + F.col("b") >= 4) & (F.abs(odds) > 1.2) & (F.abs(strength) > least_z)).orderBy(F.desc(F.abs(strength)), "term").limit(terms)
     names = [r["term"].encode("latin-1") for r in picked.select("term").collect()]  # at most `terms`
     vocabulary = Vocabulary(names)
     at = {t: i for i, t in enumerate(names)}
@@ -189,7 +190,7 @@ def score_column(model: tuple[Vocabulary, Index], text: str = "text", kind: str
     return score(text)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds: int) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds) -> DataFrame:
     """Returns doc_id, held_out (its label is never learned), score (0 to 1), predicted, neighbours for each row of docs.
 
     Null and empty texts get the share of toxic ones among examples without any term. Rows
@@ -202,6 +203,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *
     return scored.select("doc_id", "held_out", F.col("s.score").alias("score"), (F.col("s.score") >= threshold).cast("int").alias("predicted"), F.col("s.neighbours").alias("neighbours"))
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds: int) -> DataFrame:
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds) -> DataFrame:
     """The rows of docs, whole, that score below the threshold."""
     return docs.where(score_column(fit_toxicity(docs, labels, **bounds), kind=dict(docs.dtypes)["doc_id"])["score"] < threshold)
