@@ -17,7 +17,7 @@ def query(name: str, sql: str | None = None):
         assert name not in QUERIES, name
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = sql.replace("count_if(", "count(*) FILTER (WHERE ")  # BIGINT, as Spark counts
         return f
 
     return add
