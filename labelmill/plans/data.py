@@ -66,11 +66,11 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         k.alias("ann"), F.col("o_custkey").alias("image"), F.substring("o_orderpriority", 1, 1).cast("int").alias("cls"), k.alias("z"),
-        (k * 7 % 200).cast("int").alias("bx"), (k * 11 % 220).cast("int").alias("by"), (k % 23 + 4).cast("int").alias("bw"), (k % 17 + 4).cast("int").alias("bh"),
+        (k * 7 % 200).cast("int").alias("bx"), (k * 11 % 220).cast("int").alias("bt"), (k % 23 + 4).cast("int").alias("bw"), (k % 17 + 4).cast("int").alias("bh"),
         F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created"), F.col("o_totalprice").alias("price"))
 
 
-ANN = "ann AS (SELECT o_orderkey AS ann, o_custkey AS image, CAST(substr(o_orderpriority,1,1) AS INTEGER) AS cls, o_orderkey AS z, CAST(o_orderkey*7%200 AS INTEGER) AS bx, CAST(o_orderkey*11%220 AS INTEGER) AS by, CAST(o_orderkey%23+4 AS INTEGER) AS bw, CAST(o_orderkey%17+4 AS INTEGER) AS bh, o_orderstatus AS status, o_orderdate AS created, o_totalprice AS price FROM orders)"
+ANN = "ann AS (SELECT o_orderkey AS ann, o_custkey AS image, CAST(substr(o_orderpriority,1,1) AS INTEGER) AS cls, o_orderkey AS z, CAST(o_orderkey*7%200 AS INTEGER) AS bx, CAST(o_orderkey*11%220 AS INTEGER) AS bt, CAST(o_orderkey%23+4 AS INTEGER) AS bw, CAST(o_orderkey%17+4 AS INTEGER) AS bh, o_orderstatus AS status, o_orderdate AS created, o_totalprice AS price FROM orders)"
 
 
 def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
