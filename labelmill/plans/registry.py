@@ -25,3 +25,8 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from labelmill.plans import labels, misc, stats, text  # noqa: F401
