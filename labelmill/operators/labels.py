@@ -226,3 +226,19 @@ def knn_vote(queries: DataFrame, exemplars: DataFrame, distance: Column, k: int
     v = near.groupBy("query_id", "label").agg(F.sum(1 / (1e-6 + F.col("d"))).alias("w"), F.min("d").alias("dmin"))
     tot = v.groupBy("query_id").agg(F.sum("w").alias("total"), F.min("dmin").alias("least"), F.max(F.struct(F.round("w", 9).alias("w"), (-F.col("label")).alias("neg"))).alias("m"))
     return tot.select("query_id", (-F.col("m.neg")).alias("label"), (1 / (1 + F.col("least"))).alias("similarity"), (F.col("m.w") / F.col("total")).alias("share"))
+
+
+def boundary_distances(px: DataFrame, source: str, target: str) -> DataFrame:
+    """(image, d): each source pixel's distance to the nearest target pixel of its image (flags over full rows).
+
+    The nearest target within each row comes from two running values; a source pixel then meets the rows of its
+    column, so an image costs points times rows, not points times points.
+    """
+    w = Window.partitionBy("image", "y").orderBy("x")
+    here = F.when(F.col(target), F.col("x"))
+    before = F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    g = px.select("image", F.col("y").alias("v"), "x", F.least(F.col("x") - before, after - F.col("x")).alias("g")).where("g is not null")
+    p = px.where(F.col(source)).select("image", "y", "x")
+    d2 = F.min((F.col("y") - F.col("v")) * (F.col("y") - F.col("v")) + F.col("g") * F.col("g"))
+    return p.join(g, ["image", "x"]).groupBy("image", "y", "x").agg(F.sqrt(d2.cast("double")).alias("d")).select("image", "d")

@@ -225,12 +225,12 @@ def _(spark, sf):
     return L.boundary_of(pixels(spark, sf), F.col("ref").isin(2, 3)).groupBy("image").agg(F.count_if("edge").alias("n"))
 
 
-@query("jn_boundary_tol", EDGE + """, a AS (SELECT image,y,x FROM e WHERE ep AND y<20), b AS (SELECT image,y,x FROM e WHERE er AND y<20), d(dy,dx) AS (SELECT i, j FROM range(-1,2) t(i), range(-1,2) u(j) WHERE i*i+j*j<=1),
+@query("jn_boundary_tol", EDGE + """, a AS (SELECT image,y,x FROM e WHERE ep), b AS (SELECT image,y,x FROM e WHERE er), d(dy,dx) AS (SELECT i, j FROM range(-1,2) t(i), range(-1,2) u(j) WHERE i*i+j*j<=1),
 ha AS (SELECT image, count(*) AS n FROM a WHERE EXISTS (SELECT 1 FROM b, d WHERE b.image=a.image AND a.y=b.y+dy AND a.x=b.x+dx) GROUP BY image), hb AS (SELECT image, count(*) AS n FROM b WHERE EXISTS (SELECT 1 FROM a, d WHERE b.image=a.image AND b.y=a.y+dy AND b.x=a.x+dx) GROUP BY image),
 s AS (SELECT image, ha.n/CAST((SELECT count(*) FROM a WHERE a.image=ha.image) AS DOUBLE) AS p, hb.n/CAST((SELECT count(*) FROM b WHERE b.image=hb.image) AS DOUBLE) AS r FROM ha JOIN hb USING (image)) SELECT image, round(p,6) AS precision, round(r,6) AS recall, round(2*p*r/(p+r),6) AS f1 FROM s""")
 def _(spark, sf):
     px = pixels(spark, sf)
-    edge = lambda c: L.boundary(px, c).where("edge and y < 20").select("image", "y", "x")
+    edge = lambda c: L.boundary(px, c).where("edge").select("image", "y", "x")
     return rounded(L.boundary_f1(edge("pred3"), edge("ref"), 1))
 
 
@@ -520,13 +520,17 @@ def _(spark, sf):
     return v.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("agg_separability", f"WITH {COLOURS}, s AS (SELECT ok*10+ln AS id, r, g, b, label FROM col WHERE ok%40=0), p AS (SELECT x.id, x.label, y.label AS other, y.id AS oid, sqrt(power(x.r-y.r,2)+power(x.g-y.g,2)+power(x.b-y.b,2)) AS d FROM s x JOIN s y ON x.id<>y.id) SELECT round(avg(CASE WHEN label=other THEN d END),6) AS intra, round(avg(CASE WHEN label<>other THEN d END),6) AS inter FROM p")
+@query("agg_separability", f"WITH {COLOURS}, s AS (SELECT label, r//32 AS r, g//32 AS g, b//32 AS b, CAST(count(*) AS DOUBLE) AS n FROM col GROUP BY ALL), p AS (SELECT x.label, y.label AS other, CASE WHEN x.label=y.label AND x.r=y.r AND x.g=y.g AND x.b=y.b THEN x.n*(x.n-1) ELSE x.n*y.n END AS w, 32*sqrt(power(x.r-y.r,2)+power(x.g-y.g,2)+power(x.b-y.b,2)) AS d FROM s x, s y) SELECT round(sum(CASE WHEN label=other THEN w*d END)/sum(CASE WHEN label=other THEN w END),6) AS intra, round(sum(CASE WHEN label<>other THEN w*d END)/sum(CASE WHEN label<>other THEN w END),6) AS inter FROM p")
 def _(spark, sf):
-    s = colours(spark, sf).where("ok % 40 = 0").select((F.col("ok") * 10 + F.col("ln")).alias("id"), "r", "g", "b", "label")
-    o = s.select(F.col("id").alias("oid"), F.col("r").alias("r2"), F.col("g").alias("g2"), F.col("b").alias("b2"), F.col("label").alias("other"))
-    p = s.join(o, F.col("id") != F.col("oid"))  # a few hundred observations
-    d = K.delta_e76((F.col("r"), F.col("g"), F.col("b")), (F.col("r2"), F.col("g2"), F.col("b2")))
-    return rounded(p.agg(F.avg(F.when(F.col("label") == F.col("other"), d)).alias("intra"), F.avg(F.when(F.col("label") != F.col("other"), d)).alias("inter")))
+    """Mean distance within and between classes, over colours quantised to eight levels a channel (at most 512 cells a class)."""
+    s = colours(spark, sf).groupBy("label", *[F.floor(F.col(c) / 32).alias(c) for c in "rgb"]).agg(F.count("*").cast("double").alias("n"))
+    o = s.select(F.col("label").alias("other"), *[F.col(c).alias(f"{c}2") for c in "rgbn"])
+    p = s.crossJoin(o)  # cells, not observations
+    d = 32 * K.delta_e76(tuple(F.col(c) for c in "rgb"), tuple(F.col(f"{c}2") for c in "rgb"))
+    same = F.col("label") == F.col("other")
+    w = F.when(same & (d == 0), F.col("n") * (F.col("n") - 1)).otherwise(F.col("n") * F.col("n2"))
+    mean = lambda c: F.sum(F.when(c, w * d)) / F.sum(F.when(c, w))
+    return rounded(p.agg(mean(same).alias("intra"), mean(~same).alias("inter")))
 
 
 @query("agg_scaler", f"WITH {COLOURS}, s AS (SELECT avg(r) AS m, stddev_pop(r) AS d FROM col WHERE ok%5<>0) SELECT ok, ln, round((r-m)/d,6) AS r FROM col, s WHERE ok%5=0")

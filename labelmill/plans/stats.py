@@ -272,9 +272,9 @@ def _(spark, sf):
     return rounded(S.paired_tests(pairs(spark, sf)))
 
 
-@query("agg_cliffs_delta", f"WITH {RESULTS} SELECT l.method AS a, r.method AS b, round((count_if(l.score>r.score)-count_if(l.score<r.score))/CAST(count(*) AS DOUBLE),6) AS delta FROM (SELECT * FROM res WHERE image<5) l JOIN (SELECT * FROM res WHERE image<5) r ON l.method<r.method GROUP BY ALL")
+@query("agg_cliffs_delta", f"WITH {RESULTS}, n AS (SELECT method AS m, score AS v, CAST(count(*) AS DOUBLE) AS n FROM res GROUP BY ALL), t AS (SELECT m, sum(n) AS t FROM n GROUP BY m) SELECT l.m AS a, r.m AS b, round(sum(CASE WHEN l.v>r.v THEN l.n*r.n WHEN l.v<r.v THEN -l.n*r.n ELSE 0 END)/any_value(ta.t*tb.t),6) AS delta FROM n l JOIN n r ON l.m<r.m JOIN t ta ON ta.m=l.m JOIN t tb ON tb.m=r.m GROUP BY ALL")
 def _(spark, sf):
-    return rounded(S.cliffs_delta(results(spark, sf).where("image < 5"), "method", "score"))
+    return rounded(S.cliffs_delta(results(spark, sf), "method", "score"))
 
 
 PV = f"WITH {RESULTS}, pv AS (SELECT image AS test, CASE WHEN image%10=9 THEN NULL ELSE avg(score)*avg(score) END AS p FROM res GROUP BY image)"

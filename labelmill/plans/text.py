@@ -254,9 +254,12 @@ def _(spark, sf):
     return candidates(spark, sf).select("id", X.difficulty(F.col("stem"), F.col("options")).alias("difficulty"))
 
 
-@query("fn_unit_check", f"WITH {CAND}, o AS (SELECT id, trim(unnest(options)) AS o, unnest([0,1,2,3]) AS i FROM cand) SELECT id, i, CASE WHEN regexp_matches(o,'^-?[0-9]+') THEN o LIKE '% kg' END AS has_unit FROM o WHERE i=3")
+_UNITS = "|".join(sorted((u.replace("^", r"\^") for u in X.UNITS if u not in ("°", "%", "Ω")), key=len, reverse=True))
+
+
+@query("fn_unit_check", f"WITH {CAND}, o AS (SELECT id, CAST(unnest([0,1,2,3]) AS INTEGER) AS i, trim(unnest(options)) AS o FROM cand), r AS (SELECT id, i, o, trim(regexp_replace(o, '^-?[0-9]+(\\.[0-9]+)?(\\s*[eE][+-]?[0-9]+)?\\s*', '')) AS rest FROM o) SELECT id, i, CASE WHEN regexp_matches(o,'^-?[0-9]+') THEN rest<>'' AND (regexp_matches(rest,'[°%Ω]$') OR regexp_matches(rest,'\\b(?:{'|'.join(X.PREFIXES)})?(?:{_UNITS})\\b')) END AS has_unit FROM r")
 def _(spark, sf):
-    return candidates(spark, sf).select("id", F.posexplode("options").alias("i", "o")).where("i = 3").select("id", "i", X.unit_check(F.col("o")).alias("has_unit"))
+    return candidates(spark, sf).select("id", F.posexplode("options").alias("i", "o")).select("id", "i", X.unit_check(F.col("o")).alias("has_unit"))
 
 
 QS = """qs AS (SELECT doc_id AS id, CASE doc_id%3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'UNCERTAIN' ELSE 'FAIL' END AS verdict, doc_id%2=0 AS src, doc_id%5<>0 AS ctx, doc_id%4<>0 AS st, doc_id%4 AS nr, 100e0-doc_id%6*10 AS ds, doc_id%9<>0 AS dok, doc_id%8<>0 AS emb, CASE WHEN doc_id%6=0 THEN NULL ELSE doc_id%6>2 END AS dm, CASE WHEN doc_id%7=0 THEN NULL ELSE doc_id%7>3 END AS bm, doc_id%13<>0 AS nok, doc_id%17=0 AS dup, doc_id%100/100e0 AS dsc FROM documents),
@@ -319,10 +322,10 @@ def _(spark, sf):
     return best.select("id", (-F.col("m.neg")).alias("matched"), r6(F.col("m.s"), "score"), F.when(F.col("m.s") >= 0.35, "duplicate").when(F.col("m.s") >= 0.3, "borderline").otherwise("different").alias("verdict"))
 
 
-@query("jn_option_pairs", f"WITH {CAND}, o AS (SELECT id, correct, CAST(unnest(range(4)) AS INTEGER) AS i, lower(trim(unnest(options))) AS t FROM cand) SELECT a.id, a.i, b.i AS j, a.t=b.t AS same, a.i=a.correct OR b.i=a.correct AS with_correct FROM o a JOIN o b ON a.id=b.id AND a.i<b.i WHERE substr(a.t,1,1)=substr(b.t,1,1)")
+@query("jn_option_pairs", f"WITH {CAND}, o AS (SELECT id, correct, CAST(unnest(range(4)) AS INTEGER) AS i, lower(trim(unnest(options))) AS t FROM cand) SELECT a.id, a.i, b.i AS j, a.t=b.t AS same, a.i=a.correct OR b.i=a.correct AS with_correct FROM o a JOIN o b ON a.id=b.id AND a.i<b.i")
 def _(spark, sf):
     o = candidates(spark, sf).select("id", "correct", F.posexplode("options").alias("i", "t")).withColumn("t", F.lower(F.trim("t")))
-    p = o.join(o.select("id", F.col("i").alias("j"), F.col("t").alias("u")), "id").where((F.col("i") < F.col("j")) & (F.substring("t", 1, 1) == F.substring("u", 1, 1)))
+    p = o.join(o.select("id", F.col("i").alias("j"), F.col("t").alias("u")), "id").where("i < j")
     return p.select("id", "i", "j", (F.col("t") == F.col("u")).alias("same"), ((F.col("i") == F.col("correct")) | (F.col("j") == F.col("correct"))).alias("with_correct"))
 
 
