@@ -10,6 +10,7 @@ neighbours are exact; their votes weigh as much as their cosine.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -61,22 +62,26 @@ class Index:
 
     def __init__(self, vectors: list[dict[int, int]], labels: np.ndarray, weights: np.ndarray, ids: list, idf: np.ndarray):
         self.idf, self.n = idf, len(vectors)
-        self.labels, self.weights, self.ids = labels, weights, ids
+        units = [self.unit(v) for v in vectors]
+        # examples whose heaviest term is the same stand together, so that blocks differ in what they can score
+        order = sorted(range(self.n), key=lambda i: (max(units[i], key=lambda t: (units[i][t], t), default=-1), str(ids[i])))
+        units = [units[i] for i in order]
+        self.labels, self.weights, self.ids = labels[order], weights[order], [ids[i] for i in order]
         self.blocks = -(-max(1, self.n) // BLOCK)
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        self.blank = np.ones(self.n, bool)
-        for e, counts in enumerate(vectors):
-            for t, x in self.unit(counts).items():
+        self.blank = np.array([not u for u in units], bool)
+        for e, u in enumerate(units):
+            for t, x in u.items():
                 lists[t].append((e, x))
-                self.blank[e] = False
-        self.post = {t: (np.array([e for e, _ in p]), np.array([x for _, x in p])) for t, p in lists.items()}
-        self.most = {}
-        for t, (e, x) in self.post.items():
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, e // BLOCK, x)
-            self.most[t] = top
+        self.post, self.most = {}, {}
+        for t, p in lists.items():
+            e, x = np.array([e for e, _ in p]), np.array([x for _, x in p])
+            cuts = np.searchsorted(e, np.arange(self.blocks + 1) * BLOCK).tolist()
+            self.post[t] = (e % BLOCK, x, cuts)
+            self.most[t] = np.zeros(self.blocks)
+            np.maximum.at(self.most[t], e // BLOCK, x)
         own = self.weights * self.blank
-        self.base = float(((own * labels).sum() + 1 * self._prior()) / (own.sum() + 1))
+        self.base = float(((own * self.labels).sum() + self._prior()) / (own.sum() + 1))
 
     def _prior(self) -> float:
         return float((self.weights * self.labels).sum() / max(1e-9, self.weights.sum())) if self.n else 0.0
@@ -92,16 +97,20 @@ class Index:
         if not q:
             return []
         bound = sum(x * self.most[t] for t, x in q.items())
+        lists = [(x, *self.post[t]) for t, x in q.items()]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
+        for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
                 break
             score = np.zeros(BLOCK)
-            for t, x in q.items():
-                e, w = self.post[t]
-                lo, hi = np.searchsorted(e, (b * BLOCK, (b + 1) * BLOCK))
-                score[e[lo:hi] - b * BLOCK] += x * w[lo:hi]
-            best = sorted(best + [(float(score[i]), int(b * BLOCK + i)) for i in np.flatnonzero(score > 0)], key=lambda s: (-s[0], s[1]))[:k]
+            for x, e, w, cuts in lists:
+                lo, hi = cuts[b], cuts[b + 1]
+                if lo < hi:
+                    score[e[lo:hi]] += x * w[lo:hi]
+            least = best[-1][0] if len(best) == k else 0.0
+            hits = np.flatnonzero((score > 0) & (score >= least - 1e-12)).tolist()
+            if hits:
+                best = sorted(best + [(float(score[i]), b * BLOCK + i) for i in hits], key=lambda s: (-s[0], s[1]))[:k]
         return best
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
@@ -117,11 +126,12 @@ def learnable(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, least_z: float = 4.0) -> tuple[Vocabulary, Index]:
-    """The model, from labels (doc_id, toxic) of learnable rows; `examples` for each label and `terms` bound its size; a term must set the labels apart by least_z standard errors.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, least_z: float = 6.0, least_odds: float = 2.0) -> tuple[Vocabulary, Index]:
+    """The model, from labels (doc_id, toxic) of learnable rows; `examples` for each label and `terms` bound its size; a term must
+    set the labels apart by least_z standard errors and least_odds in log odds.
 
     Document frequencies are counted over all of docs. Rows with a null id or label teach
-    nothing; an id with both labels counts as toxic. Without examples every text scores 0.
+    nothing; an id with both labels counts as toxic, and copies of a text teach once. Without examples every text scores 0.
     """
     known = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = cut(known, "labels")
@@ -136,11 +146,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, t
     def read(batches):
         for b in batches:
             got = [terms_of(x) for x in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [[t.decode("latin-1") for t in c] for c in got], "n": [list(c.values()) for c in got]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "key": [hashlib.md5((x or "").encode("utf-8", "replace")).hexdigest() for x in b["text"]], "terms": [[t.decode("latin-1") for t in c] for c in got], "n": [list(c.values()) for c in got]})
 
     kind = dict(docs.dtypes)["doc_id"]
     read_rows = docs.select("doc_id", "text").join(F.broadcast(cut(chosen, "chosen")), "doc_id")  # at most 2 * examples short rows
-    sample = cut(read_rows.mapInPandas(read, f"doc_id {kind}, toxic int, terms array<string>, n array<long>"), "examples")
+    taken = cut(read_rows.mapInPandas(read, f"doc_id {kind}, toxic int, key string, terms array<string>, n array<long>"), "examples-read")
+    once = cut(taken.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "examples-once")  # copies would make their rare words look telling
+    sample = cut(taken.join(once, ["key", "doc_id"]).drop("key"), "examples")
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not sizes:
         return Vocabulary([]), Index([], np.zeros(0), np.zeros(0), [], np.zeros(0))
@@ -149,7 +161,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, t
     odds = F.log((F.col("a") + 0.5) / (bad + 1.0)) - F.log((F.col("b") + 0.5) / (good + 1.0))
     share = (F.col("a") + F.col("b")) / float(bad + good)
     strength = (F.col("a") / float(max(1, bad)) - F.col("b") / float(max(1, good))) / F.sqrt(share * (1 - share) * (1.0 / max(1, bad) + 1.0 / max(1, good)) + 1e-12)
-    picked = seen.where((F.col("a") + F.col("b") >= 4) & (F.abs(odds) > 1.2) & (F.abs(strength) > least_z)).orderBy(F.desc(F.abs(strength)), "term").limit(terms)
+    picked = seen.where((F.col("a") + F.col("b") >= 4) & (F.abs(odds) > least_odds) & (F.abs(strength) > least_z)).orderBy(F.desc(F.abs(strength)), "term").limit(terms)
     names = [r["term"].encode("latin-1") for r in picked.select("term").collect()]  # at most `terms`
     vocabulary = Vocabulary(names)
     at = {t: i for i, t in enumerate(names)}
