@@ -138,13 +138,13 @@ def brier_nll(df: DataFrame, probs: list[str], truth: str, eps: float = 1e-8) ->
     return df.agg(F.avg(brier).alias("brier"), F.avg(-F.log(F.greatest(true, F.lit(eps)))).alias("nll"))
 
 
-def risk_curve(df: DataFrame, conf: str, error: str, points: int, rounded: bool = False) -> DataFrame:
+def risk_curve(df: DataFrame, conf: str, error: str, points: int, rounded: bool = False, digits: int = 4) -> DataFrame:
     """(point, coverage, risk): error among the most confident share of rows, at `points` coverages.
 
-    Rows are summed by confidence first, so the running sum is over distinct confidences, not rows; within one
-    confidence errors count in proportion.
+    Rows are summed by confidence (to `digits` places) first, so the running sum is over at most 10^digits + 1 rows;
+    within one confidence errors count in proportion.
     """
-    by = df.groupBy(F.col(conf).alias("c")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(error).cast("double")).alias("e"))
+    by = df.groupBy(F.round(conf, digits).alias("c")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(error).cast("double")).alias("e"))
     run = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
     curve = by.select("n", "e", F.sum("n").over(run).alias("upto"), F.sum("e").over(run).alias("errors"))
     total = by.agg(F.sum("n").alias("total"))
