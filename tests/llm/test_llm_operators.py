@@ -418,3 +418,19 @@ def test_queries_are_registered():
 
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", ["op2_exact_topk", "op8_embedding_dedup", "op9_sharding"])
+def test_queries_equal_sql(spark, name):
+    import duckdb
+
+    from labelmill.llm.queries import ORACLES, QUERIES
+
+    sf, c = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    q = c.execute(ORACLES[name])
+    names = [x[0] for x in q.description]
+    assert sorted(names) == sorted(df.columns)
+    assert Counter(tuple(r[names.index(x)] for x in df.columns) for r in q.fetchall()) == Counter(map(tuple, df.collect()))
