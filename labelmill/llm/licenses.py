@@ -119,7 +119,7 @@ def _compiled() -> tuple[dict[bytes, list[tuple]], dict[bytes, list[tuple]]]:
     for n, (priority, trust, label, key, form) in enumerate(rules()):
         gated[key.encode()].append((priority, n, trust, label, re.compile(rf"(?<= )(?:{form})(?= )".encode())))
     for phrase, label in BASE.items():
-        base[max(phrase.split(), key=len).encode() if label != "cc-by" else b"cc"].append((label, re.compile(f"(?<= ){phrase}(?= )".encode())))
+        base[max(phrase.split(), key=len).encode()].append((label, re.compile(f"(?<= ){phrase}(?= )".encode())))
     return dict(gated), dict(base)
 
 

@@ -138,8 +138,7 @@ def near_duplicates(docs: DataFrame, half: int = 1) -> DataFrame:
 def deduplicated(docs: DataFrame, half: int = 1) -> DataFrame:
     """The rows of docs, one for each component: that with the smallest doc_id (of rows that repeat it, one).
 
-    Rows with a null id stay only where no other member of their component has an id, one for each component of texts that
-    share a fingerprint.
+    A component of null ids alone keeps its first row.
     """
     row = free_name(docs, "row")
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
