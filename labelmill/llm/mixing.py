@@ -2,7 +2,7 @@
 
 Within a source documents stand in order of size (in classes a sixteenth of a doubling
 wide), so the points that the sample takes are spread over all sizes and its words come
-near the target as well as its documents. A document's place is the count of documents
+near the target as well as its documents. Of OFFSETS random offsets a source takes the one whose words come nearest. A document's place is the count of documents
 before its class, before its partition, and before it in its partition: three small
 counts, so that a source of any share of the rows is never gathered in one task.
 """
@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from labelmill.llm.common import cut, fraction, free_name, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Random offsets that a source chooses from.
+OFFSETS = 24
 
 
 def ordinal(df: DataFrame, order, name: str) -> DataFrame:
@@ -61,11 +63,19 @@ def _decide(rows: DataFrame, weights, most: int, seed: str) -> DataFrame:
     in_source = classes.withColumn("in_source", F.coalesce(F.sum("n").over(before(key[:2], "class")), F.lit(0))).drop("n")
     base = cut(in_class.join(in_source, key).withColumn("base", F.col("in_class") + F.col("in_source")).drop("in_class", "in_source"), "bases")
     own = Window.partitionBy(*key, "part").orderBy("size", "row")
-    ranked = cut(rows.withColumn("own", F.row_number().over(own)), "ranked").join(base, [*key, "part"])
-    share = share.select(F.col("source").isNull().alias("null_source"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0).alias("rate"), fraction("nth", seed=seed).alias("offset"))
-    upto = lambda k: F.floor(F.col("rate") * k + F.col("offset"))
-    place = F.col("base") + F.col("own")
-    out = ranked.join(share, ["null_source", "source"]).withColumn("copies", F.least(upto(place) - upto(place - 1), F.lit(most)))
+    # a merge join: the small files of base unpack to far more than they look, so it is not left to be broadcast by size
+    ranked = cut(rows.withColumn("own", F.row_number().over(own)), "ranked").join(base.hint("merge"), [*key, "part"])
+    share = share.select(F.col("source").isNull().alias("null_source"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0).alias("rate"), F.array(*[fraction("nth", seed=f"{seed}{k}") for k in range(OFFSETS)]).alias("offsets"))
+    placed = ranked.join(share, ["null_source", "source"]).withColumn("place", F.col("base") + F.col("own"))
+
+    def copies(offset):
+        upto = lambda k: F.floor(F.col("rate") * k + offset)
+        return F.least(upto(F.col("place")) - upto(F.col("place") - 1), F.lit(most))
+
+    sums = placed.groupBy("null_source", "source").agg(F.first("target").alias("t"), F.first("offsets").alias("o"), *[F.sum(copies(F.col("offsets")[k]) * F.col("size")).alias(f"w{k}") for k in range(OFFSETS)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("t")).alias("miss"), F.col("o")[k].alias("offset")) for k in range(OFFSETS)]))
+    chosen = cut(sums.select("null_source", "source", best["offset"].alias("offset")), "offsets")
+    out = placed.drop("offsets").join(chosen, ["null_source", "source"]).withColumn("copies", copies(F.col("offset")))
     return out.withColumn("source", F.when(~F.col("null_source"), F.col("source"))).select("row", "source", "size", "source_size", "target", "copies")
 
 
