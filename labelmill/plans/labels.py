@@ -60,8 +60,6 @@ def _(spark, sf):
     return a.select("ann", F.exists(corners, lambda p: (p["x"] > 210) | (p["y"] > 230) | (p["x"] < 0) | (p["y"] < 0)).alias("outside"))
 
 
-SMALL = "sm AS (SELECT * FROM ann WHERE image % 10 = 0), bp AS (SELECT s.*, y, x FROM (SELECT *, unnest(range(bt, bt+bh)) AS y FROM sm) s, LATERAL (SELECT unnest(range(s.bx, s.bx+s.bw)) AS x))"
-
 
 @query("win_topmost", f"WITH {ANN}, bp AS (SELECT image, cls, z, y, unnest(range(bx, bx+bw)) AS x FROM (SELECT *, unnest(range(bt, bt+bh)) AS y FROM ann)), t AS (SELECT image, y, x, arg_max(cls, z) AS cls, count(*) AS claims FROM bp GROUP BY ALL) SELECT image, cls, count(*) AS pixels, CAST(sum(claims-1) AS BIGINT) AS overlaps FROM t GROUP BY ALL")
 def _(spark, sf):

@@ -209,8 +209,6 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- streams, each run to its end over files and held against the batch SQL
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
 
 def event_stream(spark, sf):
     e = table(spark, sf, "events")
