@@ -66,7 +66,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def packed_matrix(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 1, pad_id: int = 0, shard_tokens: int = 2_000_000) -> DataFrame:
+def packed_matrix(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 1, pad_id: int = 0, shard_tokens: int = 1_000_000) -> DataFrame:
     """One row for each row of the id matrices.
 
     Returns part, shard, row; ids (capacity little-endian unsigned 32-bit integers, padded

@@ -10,9 +10,8 @@ from __future__ import annotations
 import re
 import struct
 
-
 #: Words (of at most 64 bytes) that a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 #: The pre-tokens of a lower-cased word of ASCII and Latin-1 letters.
 _PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _SIMPLE = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
