@@ -1,11 +1,16 @@
 """Near-duplicate embeddings by product quantisation.
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every vector goes
-to its nearest list with its code and its code's error, and asks its PROBES nearest lists.
+to its nearest list with its code and its code's error, and asks every list that may hold
+a vector within reach: the bisector of the two centroids and the list's radius both bound
+how near its members can be, so no link is lost between lists. Of two lists that ask each
+other one does. Centroids nearer than the reach are one list, and lists are coarsened until
+a vector of the sample asks few, since a bound that can't tell lists apart only costs copies.
+
 In a list, asymmetric table-lookup distances pass every pair that the threshold allows,
-given the stored error of the code, so within the lists nothing is lost; pairs that pass
-are reranked by exact cosine. Copies of a vector are one entry. Tasks return sums and a
-spanning forest, never pairs. Lists longer than TILE are split into tiles on both sides.
+given the stored error of the code, so nothing is lost there either; pairs that pass are
+reranked by exact cosine. Copies of a vector are one entry. Tasks return sums and a
+spanning forest, never pairs. Long lists are split into tiles on both sides.
 """
 
 from __future__ import annotations
@@ -48,8 +53,8 @@ def nearest(x: np.ndarray, c: np.ndarray, many: int) -> np.ndarray:
 class Codes:
     """Coarse centroids, and codebooks of the residuals for each subspace."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.coarse = kmeans(sample, lists)
+    def __init__(self, sample: np.ndarray, coarse: np.ndarray):
+        self.coarse = coarse
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         rest = sample - self.coarse[nearest(sample, self.coarse, 1)[:, 0]]
         self.books = [kmeans(rest[:, s], WORDS) for s in self.cuts]
@@ -70,44 +75,108 @@ class Codes:
         return np.sqrt(total)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the edges (a, b), enough to connect what they connect."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := find(x)) != (q := find(y)):
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+class Forest:
+    """Of the edges it is given, those that connect what was not connected before."""
+
+    def __init__(self, nodes: int):
+        self.label = np.arange(nodes)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of the edges (a, b) that connect."""
+        used, left, pick = [], np.arange(len(a)), np.zeros(len(self.label), int)
+        while len(left := left[self.label[a[left]] != self.label[b[left]]]):
+            p = self.label[a[left]]
+            pick[p] = left
+            own = left[pick[p] == left]  # one edge for each tree
+            up = np.arange(len(self.label))
+
+            def find(x: int) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            ends = self.label[a[own]].tolist(), self.label[b[own]].tolist()
+            for i, x, y in zip(own.tolist(), *ends, strict=True):
+                if (p := find(x)) != (q := find(y)):
+                    up[p] = q
+                    used.append(i)
+            for x in {*ends[0], *ends[1]}:
+                up[x] = find(x)
+            self.label = up[self.label]
+        return np.array(used, int)
+
+
+def may_hold(y: np.ndarray, coarse: np.ndarray, reach: float, radii: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest list of each y, and which lists may hold a vector within reach of it (a vector is held by its nearest)."""
+    d = (y**2).sum(axis=1)[:, None] + (coarse**2).sum(axis=1) - 2 * y @ coarse.T
+    home = d.argmin(axis=1)
+    apart = np.sqrt(np.maximum((coarse[home] ** 2).sum(axis=1)[:, None] + (coarse**2).sum(axis=1) - 2 * coarse[home] @ coarse.T, 1e-12))
+    asks = d - d[np.arange(len(y)), home][:, None] <= 2 * apart * reach
+    if radii is not None:
+        asks &= np.sqrt(np.maximum(d, 0)) <= radii + reach
+    asks[np.arange(len(y)), home] = True
+    return home, asks
+
+
+def lists(sample: np.ndarray, many: int, reach: float, probes: float) -> np.ndarray:
+    """At most `many` coarse centroids no nearer to each other than the reach, so few that a vector asks about `probes`."""
+    while True:
+        fit = kmeans(sample, many)
+        size = np.bincount(nearest(sample, fit, 1)[:, 0], minlength=len(fit))
+        kept = np.zeros((0, sample.shape[1]))
+        for c in fit[np.argsort(-size, kind="stable")]:
+            if not len(kept) or ((kept - c) ** 2).sum(axis=1).min() >= max(reach, 1e-4) ** 2:
+                kept = np.concatenate([kept, c[None]])
+        if len(kept) <= probes or np.mean([may_hold(sample[i : i + 512], kept, reach)[1].sum(axis=1).mean() for i in range(0, min(2048, len(sample)), 512)]) <= probes:
+            return kept
+        many = min(many, len(kept)) // 2
 
 
 def _found(groups: DataFrame, dim: int, threshold: float, probes: int, tile: int) -> DataFrame:
     """groups: gid, v (arrays of dim components), n. Rows (src, n) of link counts and (src, dst) of a spanning forest."""
     own = groups.where(F.size("v") == dim)
     count = own.count()
+    tile = max(tile, min(8 * tile, count // 16))
     rows = own.select("v").orderBy(F.xxhash64("gid")).limit(SAMPLE).toPandas()["v"]  # the bounded sample that the codes are fitted on
     sample = np.array(rows.tolist(), float)
-    codes = Codes(sample / np.sqrt((sample**2).sum(axis=1))[:, None], max(1, min(4096, round(count**0.5 / 2))))
+    sample /= np.sqrt((sample**2).sum(axis=1))[:, None]
     radius = float(np.sqrt(2 - 2 * threshold)) + 1e-6
+    codes = Codes(sample, lists(sample, max(1, min(4096, round(count**0.5 / 2))), radius, probes))
+    kind = "float" if groups.schema["v"].dataType.elementType.typeName() == "float" else "double"
+    raw = np.float32 if kind == "float" else np.float64
+    v_only = own.select("gid", "n", F.transform("v", lambda x: x.cast(kind)).alias("v"))
 
-    def code(batches):
+    def pieces(batches):
         for b in batches:
-            v = np.array(b["v"].tolist(), float).reshape(len(b), dim)
-            x = v / np.sqrt((v**2).sum(axis=1))[:, None]
-            asks = nearest(x, codes.coarse, probes)
-            got, err = codes.encode(x, asks[:, 0])
-            yield pd.DataFrame({"gid": b["gid"], "n": b["n"], "v": [r.tobytes() for r in v], "asks": asks.astype("int32").tolist(), "code": [r.tobytes() for r in got], "err": err})
-
-    coded = cut(own.select("gid", "n", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInPandas(code, "gid long, n long, v binary, asks array<int>, code binary, err double"), "codes")
-    asked = coded.select("gid", "n", "v", F.col("asks")[0].alias("home"), F.explode("asks").alias("list"))
+            for i in range(0, len(b), 1024):
+                f = b.iloc[i : i + 1024]
+                v = np.array(f["v"].tolist(), float).reshape(len(f), dim)
+                yield f, v, v / np.sqrt((v**2).sum(axis=1))[:, None]
+
+    def reaches(batches):
+        for _, _, x in pieces(batches):
+            home = nearest(x, codes.coarse, 1)[:, 0]
+            yield pd.DataFrame({"home": home, "far": np.sqrt(((x - codes.coarse[home]) ** 2).sum(axis=1))}).groupby("home", as_index=False).max()
+
+    radii = np.full(len(codes.coarse), -np.inf)
+    for home, far in v_only.select("v").mapInPandas(reaches, "home int, far double").groupBy("home").max("far").collect():  # at most 4096 lists
+        radii[home] = far + 1e-6
+
+    def code(batches):
+        every = np.arange(len(codes.coarse))
+        for f, v, x in pieces(batches):
+            home = nearest(x, codes.coarse, 1)[:, 0]
+            asks = may_hold(x, codes.coarse, radius, radii)[1]
+            even = (home[:, None] + every) % 2 == 0
+            asks &= np.where(even, every < home[:, None], every > home[:, None])  # of two lists one asks
+            asks[np.arange(len(x)), home] = True
+            got, err = codes.encode(x, home)
+            yield pd.DataFrame({"gid": f["gid"].to_numpy(), "n": f["n"].to_numpy(), "v": [r.tobytes() for r in v.astype(raw)], "home": home.astype("int32"), "asks": [np.flatnonzero(r).astype("int32") for r in asks], "code": [r.tobytes() for r in got], "err": err})
+
+    coded = cut(v_only.mapInPandas(code, "gid long, n long, v binary, home int, asks array<int>, code binary, err double"), "codes")
+    asked = coded.select("gid", "n", "v", "home", F.explode("asks").alias("list"))
     tiles = lambda df: F.create_map(*[F.lit(x) for r in df.groupBy("list").count().where(F.col("count") > tile).collect() for x in (r[0], -(-r[1] // tile))] or [F.lit(-1), F.lit(1)])  # noqa: E731  at most 4096 lists
-    kept = coded.withColumn("list", F.col("asks")[0])
+    kept = coded.select("gid", "n", "v", "code", "err", F.col("home").alias("list"))
     x_tiles, y_tiles = tiles(kept), tiles(asked)
     many = lambda m: F.coalesce(m[F.col("list")], F.lit(1)).cast("int")
     deal = lambda m: F.pmod(F.xxhash64("gid"), many(m)).cast("int")
@@ -116,28 +185,30 @@ def _found(groups: DataFrame, dim: int, threshold: float, probes: int, tile: int
     y = asked.withColumn("yt", deal(y_tiles)).withColumn("xt", every(x_tiles))
 
     def compare(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"src": [], "dst": [], "n": []}).astype({"src": "int64", "dst": "Int64", "n": "int64"})]
-        if len(x) and len(y):
-            raw = lambda f: np.frombuffer(b"".join(f["v"]), float).reshape(len(f), dim)
-            vx, nx = raw(x), x["n"].to_numpy()
-            norm = np.sqrt((vx**2).sum(axis=1))
-            code = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
-            gx, reach = x["gid"].to_numpy(), radius + x["err"].to_numpy()
-            asks = np.array(x["asks"].tolist())
-            for i in range(0, len(y), 512):
-                f = y.iloc[i : i + 512]
-                vy, gy, ny, home = raw(f), f["gid"].to_numpy(), f["n"].to_numpy(), f["home"].to_numpy()
-                far = np.sqrt((vy**2).sum(axis=1))
-                r, c = np.nonzero(codes.distances(vy / far[:, None], codes.coarse[key[0]], code) <= reach)
-                cosine = np.einsum("ij,ij->i", vy[r], vx[c]) / (far[r] * norm[c])
-                ok = (cosine >= threshold) & (gy[r] != gx[c])
-                r, c = r[ok], c[ok]
-                same = home[r] == key[0]  # found from both ends here: counts for the kept end
-                once = ~same & ((key[0] < home[r]) | ~(asks[c] == home[r][:, None]).any(axis=1))  # else found in the other's list as well
-                sums = pd.concat([pd.DataFrame({"src": gx[c], "n": ny[r]})[same | once], pd.DataFrame({"src": gy[r], "n": nx[c]})[once]])
-                out.append(sums.groupby("src", as_index=False)["n"].sum().assign(dst=pd.NA).astype({"dst": "Int64"}))
-                if len(r):
-                    out.append(pd.DataFrame(_forest(gx[c], gy[r]), columns=["src", "dst"]).assign(n=0).astype({"dst": "Int64"}))
+        none = pd.DataFrame({"src": [], "dst": [], "n": []}).astype({"src": "int64", "dst": "Int64", "n": "int64"})
+        if not len(x) or not len(y):
+            return none
+        real = lambda f: np.frombuffer(b"".join(f["v"]), raw).reshape(len(f), dim).astype(float)
+        vx, nx, gx = real(x), x["n"].to_numpy(), x["gid"].to_numpy()
+        norm = np.sqrt((vx**2).sum(axis=1))
+        code, reach = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1), radius + x["err"].to_numpy()
+        gy_all, ny_all, away = y["gid"].to_numpy(), y["n"].to_numpy(), y["home"].to_numpy() != key[0]
+        gids, node = np.unique(np.concatenate([gx, gy_all]), return_inverse=True)
+        forest, sums, out = Forest(len(gids)), np.zeros(len(gids), np.int64), [none]
+        step = max(16, 512 * 4096 // len(x))
+        for i in range(0, len(y), step):
+            vy, gy, ny, out_of = real(y.iloc[i : i + step]), gy_all[i : i + step], ny_all[i : i + step], away[i : i + step]
+            far = np.sqrt((vy**2).sum(axis=1))
+            r, c = np.nonzero(codes.distances(vy / far[:, None], codes.coarse[key[0]], code) <= reach)
+            dots = (vy @ vx.T)[r, c] if 32 * len(r) > len(vy) * len(vx) else np.einsum("ij,ij->i", vy[r], vx[c])
+            ok = (dots / (far[r] * norm[c]) >= threshold) & (gy[r] != gx[c])
+            r, c = r[ok], c[ok]
+            a, b, other = node[c], node[len(gx) + i + r], out_of[r]  # links within a list are found from both ends, others here alone
+            sums += np.bincount(a, ny[r], len(gids)).astype(np.int64) + np.bincount(b[other], nx[c[other]], len(gids)).astype(np.int64)
+            used = forest.add(a, b)
+            out.append(pd.DataFrame({"src": gids[a[used]], "dst": gids[b[used]], "n": 0}).astype({"dst": "Int64"}))
+        some = np.flatnonzero(sums)
+        out.append(pd.DataFrame({"src": gids[some], "dst": pd.NA, "n": sums[some]}).astype({"dst": "Int64"}))
         return pd.concat(out)[["src", "dst", "n"]]
 
     unit = ["list", "xt", "yt"]
@@ -150,7 +221,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, probes:
     One row for each input row. Vectors that are null, zero, or hold null or non-finite
     components link with nothing, nor do vectors of different length. Rows that repeat link
     with each other. A null vec_id is never the smallest; a component of null ids alone has a
-    null component_id and is not kept. Other columns are ignored.
+    null component_id and is not kept. Other columns are ignored. Every link is found;
+    `probes` and `tile` only say how finely the work is cut.
     """
     rows = vectors.select("vec_id", F.col("embedding").alias("v"))
     zero = F.forall("v", lambda x: x == 0)

@@ -345,6 +345,23 @@ def test_embedding_near_duplicates(spark):
     assert near_duplicate_vectors(df.where("false")).count() == 0
 
 
+def test_embedding_links_of_a_hot_group(spark):
+    from labelmill.llm.vectors import Forest, near_duplicate_vectors
+
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.sqrt((x**2).sum(axis=-1, keepdims=True))
+    hot = unit(unit(rng.normal(size=64)) + 0.16 * unit(rng.normal(size=(3000, 64))))  # distinct, cosine about 0.975
+    twins = unit(rng.normal(size=(500, 64)))
+    all_rows = np.concatenate([hot, unit(rng.normal(size=(5000, 64))), twins, unit(twins + 0.25 * unit(rng.normal(size=(500, 64))))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(all_rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in near_duplicate_vectors(df, 0.95).collect()}
+    near = all_rows @ all_rows.T >= 0.95
+    assert [got[i].n_links for i in range(len(all_rows))] == (near.sum(axis=1) - 1).tolist()
+    assert {got[i].component_id for i in range(3000)} == {0} and all(got[8500 + i].component_id == 8000 + i for i in range(500))
+    forest = Forest(6)
+    assert forest.add(np.array([0, 1, 0, 3]), np.array([1, 2, 2, 4])).size == 3 and forest.add(np.array([2, 0]), np.array([3, 4])).size == 1
+
+
 def test_compaction(spark, odd, tmp_path):
     from labelmill.llm.compaction import Conflict, ShardStore, compacted
 
