@@ -11,7 +11,7 @@ from labelmill.llm.common import cut
 from labelmill.llm.mixing import mixed
 from labelmill.llm.packing import best_fit_pack
 from labelmill.llm.quality import good_documents
-from labelmill.llm.simhash import deduplicated
+from labelmill.llm.shingles import deduplicated
 from labelmill.llm.toxicity import clean_documents
 
 
@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return deduplicated(docs, half=1)
+    """Of each group of near copies (Jaccard of five-word shingles 0.8 or more) the document with the smallest id stays."""
+    return deduplicated(docs, width=5, least=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

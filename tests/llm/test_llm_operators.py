@@ -260,6 +260,38 @@ def test_simhash_links_lose_nothing(spark, crowd):
     assert groups({x: got.get(x, x) for x in prints}) == groups(want)
 
 
+def test_pipeline_drops_near_copies(spark, odd):
+    import corpus_pipeline
+    from labelmill.llm.shingles import deduplicated
+
+    rng = np.random.default_rng(6)
+    word = lambda: f"w{rng.integers(5000)}"
+    texts = [[word() for _ in range(int(rng.integers(3, 200)))] for _ in range(60)]
+    for t in [list(t) for t in texts[:40] for _ in range(3)]:  # near copies, on both sides of 0.8
+        for _ in range(int(rng.integers(0, 5))):
+            t[int(rng.integers(len(t)))] = word()
+        texts.append(t)
+    for _ in range(120):  # a chain
+        texts.append([*texts[-1][5:], *[word() for _ in range(5)]])
+    footer = "all of this page may be copied by anyone who asks".split()
+    rows = [(i, " ".join(t + footer), "en", "a", 1) for i, t in enumerate(texts)]
+    docs = odd.withColumn("doc_id", F.col("doc_id") + 1000).unionByName(spark.createDataFrame(rows, DOCS))
+    sets = []
+    for r in docs.collect():
+        w = (r.text or "").lower().split()
+        sets.append((r.doc_id, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}))
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i][1] & sets[j][1]) >= 0.8 * len(sets[i][1] | sets[j][1]):
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    want = {c: min((sets[i][0] is None, sets[i][0] or 0) for i in range(len(sets)) if comp[i] == c) for c in comp}
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(want.values()) and kept.columns == docs.columns
+    assert deduplicated(clashing(odd)).columns == clashing(odd).columns and deduplicated(odd.where("false")).count() == 0
+
+
 def test_components(spark):
     from labelmill.llm.components import components
 
