@@ -319,30 +319,61 @@ def test_quality(spark, odd):
 
 
 def test_toxicity(spark, odd):
-    from labelmill.llm.toxicity import clean_documents, fit_toxicity, score_toxicity
+    from labelmill.llm.toxicity import clean_documents, score_toxicity
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    got = score_toxicity(docs, labels, examples=1500).join(labels, "doc_id").collect()
+    got = score_toxicity(docs, labels).join(labels, "doc_id").collect()
     held = [r for r in got if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     tp = sum(r.predicted and r.toxic for r in held)
-    assert tp / sum(r.toxic for r in held) > 0.75 and tp / max(1, sum(r.predicted for r in held)) > 0.85
-    assert all(0 <= r.score <= 1 and all(zlib.crc32(str(n.doc_id).encode()) % 4 != 2 for n in r.neighbours) for r in got)
+    assert tp / sum(r.toxic for r in held) > 0.85 and tp / max(1, sum(r.predicted for r in held)) > 0.85
+    assert all(0 <= r.score <= 1 and r.neighbours and all(zlib.crc32(str(n.doc_id).encode()) % 4 != 2 for n in r.neighbours) for r in got)  # evidence for every text
+    gap = [sum(r.score - r.toxic for r in held if min(int(10 * r.score), 9) == k) for k in range(10)]
+    assert sum(map(abs, gap)) / len(held) < 0.03  # calibrated: expected calibration error
+    middle = [r for r in held if 0.1 <= r.score < 0.6]
+    assert abs(sum(r.score - r.toxic for r in middle)) <= 3 * max(1, sum(r.score * (1 - r.score) for r in middle)) ** 0.5 + 1
     few = spark.createDataFrame([(1, 1), (5, 0), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
     assert score_toxicity(clashing(odd), few).count() == 10 and clean_documents(odd, few.where("false")).count() == 10
+    assert clean_documents(clashing(odd), few).columns == clashing(odd).columns
     assert score_toxicity(odd.where("false"), few).count() == 0
-    vocabulary, index = fit_toxicity(docs, labels, examples=800)  # the pruned search against all examples
-    dense = np.zeros((index.n, len(index.idf)))
-    for t, (e, x, cuts) in index.post.items():
-        for b in range(index.blocks):
-            dense[b * 64 + e[cuts[b] : cuts[b + 1]], t] = x[cuts[b] : cuts[b + 1]]
-    for r in docs.limit(300).collect():
-        c = vocabulary.count(r.text)
-        q = np.zeros(len(index.idf))
-        for t, v in index.unit(c).items():
-            q[t] = v
-        s = np.sort(dense @ q)[::-1][:15]
-        assert np.allclose([x for x, _ in index.nearest(c)], s[s > 0])
+    ties = sorted(map(tuple, score_toxicity(odd.union(odd), few.union(few)).select("doc_id", "score").where("doc_id is not null").collect()))
+    assert ties == sorted(2 * list(map(tuple, score_toxicity(odd, few).select("doc_id", "score").where("doc_id is not null").collect())))
+
+
+@pytest.mark.parametrize("telling", [0.0, 1.0])
+def test_toxicity_index_by_brute_force(spark, telling):
+    from labelmill.llm.toxicity import fit_toxicity, monotone, terms_of
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    index = fit_toxicity(docs, labels, examples=300, telling=telling)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    total, df = len(rows), Counter()
+    for text in rows.values():
+        df.update(terms_of(text)[0].tolist())
+    sample = [dict(zip(*(x.tolist() for x in terms_of(rows[i])), strict=True)) for i in index.ids]
+    bad, good = index.toxic.sum(), (1 - index.toxic).sum()
+    weight = {}
+    for t in {t for c in sample for t in c}:
+        a, b = (sum(1 for c, y in zip(sample, index.toxic, strict=True) if t in c and y == k) for k in (1, 0)) if telling else (0, 0)
+        share = (a + b) / (bad + good)
+        chi = (a / bad - b / good) ** 2 / (share * (1 - share) * (1 / bad + 1 / good) + 1e-12) if telling else 0
+        weight[t] = (np.log((1 + total) / (1 + df[t])) + 1) * (chi + 0.01) ** telling
+
+    def unit(counts):
+        v = {t: (1 + np.log(n)) * weight[t] for t, n in counts.items() if t in weight}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    units = [unit(c) for c in sample]
+    asked = [terms_of(x) for x in list(rows.values())[:150]] + [terms_of(None), terms_of("zzzunseen")]
+    for (terms, counts), near in zip(asked, index.nearest(asked), strict=True):
+        q = unit(dict(zip(terms.tolist(), counts.tolist(), strict=True)))
+        scores = [sum(x * u[t] for t, x in q.items() if t in u) for u in units]
+        want = sorted((-round(s, 12), i) for i, s in enumerate(scores) if s > 0)[:15]
+        assert len(near) == len(want) and np.allclose([c for c, _ in near], [-s for s, _ in want])
+        assert all(abs(scores[e] - c) < 1e-9 for c, e in near)
+    x, y = monotone(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), np.full(4, 100.0))
+    assert x.tolist() == pytest.approx([0.1, 0.25, 0.4]) and y.tolist() == pytest.approx([0.5 / 101, 0.5, 100.5 / 101])
 
 
 def test_embedding_near_duplicates(spark):
