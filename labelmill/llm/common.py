@@ -55,6 +55,12 @@ def fraction(*cols: Column | str, seed: str = "") -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols]), F.lit(1 << 40)) / float(1 << 40)
 
 
+def usable(vector) -> Column:
+    """Neither null nor holding a null or non-finite component."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    return vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have yet, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -104,13 +104,16 @@ def test_exact_topk(spark):
     rows = [(i, rng.normal(size=6).tolist()) for i in range(400)] + [(400 + i, [0.5] * 6) for i in range(30)]
     rows += [(900, None), (901, [1.0, None] + [0.0] * 4), (902, [float("nan")] + [0.0] * 5), (903, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (904, [1.0, 2.0]), (950, [1e12] * 6), (1000, [-1e15] * 6), (7, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(0))
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_inner_products(df, F.col("vec_id") % 50 == 0, 5, shard_rows=60, group_rows=5).collect()}
-    ok = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    want = {}
-    for q in (i for i in ok if i % 50 == 0):
-        s = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(ok[q], v, strict=True)))), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:5]
-        want |= {(q, k + 1): (i, -m) for k, (m, i) in enumerate(s)}
-    assert got == want
+    rows += [(50, rows[51][1]), (50, rows[50][1]), (7, (np.array(rows[50][1]) * 2).tolist()), (100, [9.0] * 6)]  # unequal repeats
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(0))
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for n, (q, own) in enumerate(ok):
+        if q % 50 == 0:
+            s = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(own, v, strict=True)))), i) for m, (i, v) in enumerate(ok) if m != n and len(v) == len(own))[:5]
+            want.update((q, place + 1, i, -m) for place, (m, i) in enumerate(s))
+    for shard, group in ((60, 5), (4096, 4096)):
+        assert Counter(map(tuple, top_inner_products(df, F.col("vec_id") % 50 == 0, 5, shard_rows=shard, group_rows=group).collect())) == want
     assert top_inner_products(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
