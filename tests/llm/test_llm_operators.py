@@ -435,18 +435,56 @@ def test_compaction(spark, odd, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for k in range(4):
         store.append(docs.where(f"doc_id % 4 = {k}"), rows_per_shard=20)
-    assert store.version() == 4 and len(store.shards()) >= 48
-    old = store.shards(2)
+    assert store.version() == 4 and store.shards().count() >= 48
+    old = sorted(map(tuple, store.shards(2).collect()))
     v = store.compact(docs.schema)
-    shards = store.shards()
-    assert v == store.version() > 4 and len(shards) < 40
+    assert v == store.version() > 4 and store.shards().count() < 40
     assert sorted(map(tuple, store.read(docs.schema).collect())) == sorted(map(tuple, docs.collect()))
-    assert store.shards(2) == old and store.read(docs.schema, 2).count() == docs.where("doc_id % 4 < 2").count()
+    assert sorted(map(tuple, store.shards(2).collect())) == old and store.read(docs.schema, 2).count() == docs.where("doc_id % 4 < 2").count()
     with pytest.raises(Conflict):
-        store.commit([], over=v - 1)
+        store.commit(store.shards(), over=v - 1)
     assert store.vacuum() > 0 and store.read(docs.schema).count() == docs.count()
     assert compacted(clashing(odd), str(tmp_path / "odd")).count() == 10
     assert compacted(odd.where("false"), str(tmp_path / "none")).count() == 0
+    several = ShardStore(spark, str(tmp_path / "several"), target_bytes=60_000)
+    got = compacted(docs, str(tmp_path / "several"), target_bytes=60_000, rows_per_shard=20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect())) and several.version() > 4 and several.vacuum() == 0
+
+
+def test_lost_writers_and_vacuum(spark, tmp_path):
+    from labelmill.llm.compaction import Conflict, ShardStore
+
+    root = tmp_path / "store"
+    store, other = ShardStore(spark, str(root)), ShardStore(spark, str(root))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    store.append(docs)
+    (root / "_manifests/v00000002.commit").touch()  # a writer lost before it wrote
+    assert store.version() == 1 and store.append(docs) == 3 and store.read(docs.schema).count() == 400
+    folder, new = store._write(docs, 0)  # vacuum by another client while an append is on its way
+    assert other.vacuum() == 0
+    store.commit(store.shards().union(new), 3)
+    store._settled(folder)
+    assert store.vacuum() == 0 and store.read(docs.schema).count() == 600
+    store._write(docs, 0)  # a writer lost for long
+    assert ShardStore(spark, str(root), abandoned_s=-1).vacuum() > 0 and store.read(docs.schema).count() == 600
+    with pytest.raises(Conflict):  # two writers over one version
+        other.commit(other.shards(), 3)
+    commits = store._commits
+
+    def late():  # another commits between this writer's look and its rename
+        if not hasattr(store, "beaten"):
+            store.beaten = True
+            seen = commits()
+            other.append(docs)
+            return seen
+        return commits()
+
+    over = store.version()
+    store._commits = late
+    with pytest.raises(Conflict):
+        store.commit(store.shards(over), over)
+    assert store.append(docs) and store.read(docs.schema).count() == 1000
+    assert not [p for p in (root / "_manifests").iterdir() if p.name.endswith(".new")]
 
 
 def test_token_output_round_trip(spark, odd, tmp_path):
