@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-A rule is a regex over a text's words (lower-cased, single-spaced) with a keyword, a
-priority and a confidence. Only rules whose keyword is a word of the text run. Where a
+A rule is a regex over a text's words (lower-cased, single-spaced) with keywords, a
+priority and a confidence. Only rules of which a keyword is a word of the text run. Where a
 detection's words lie inside those of one with a better priority (or of a longer or
 earlier one of the same priority), it is suppressed.
 """
@@ -20,104 +20,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm.common import words_alnum
+from labelmill.llm.license_rules import BASE, CLAUSES, IDENTIFIER_NOTICES, IDENTIFIERS, NAMES, NOTICES
 
-#: Phrases that always count, whatever else is found, and their labels.
-BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-
-#: Label, keyword, and how the license is named in running text (a regex over words).
-NAMES = [
-    ("apache-1.1", "apache", r"apache (?:software )?license (?:version |v)?1 1"),
-    ("apache-2.0", "apache", r"apache(?: software)? license (?:version |v)?2(?: 0)?"),
-    ("apache", "apache", r"apache(?: software)? license"),
-    ("mit", "mit", r"mit(?: x11)? licen[cs]e"),
-    ("isc", "isc", r"isc licen[cs]e"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
-    ("bsd", "bsd", r"bsd(?: style)? licen[cs]e"),
-    ("gpl-1.0", "general", r"gnu general public licen[cs]e (?:version |v)?1(?: 0)?"),
-    ("gpl-2.0", "general", r"(?:gnu )?general public licen[cs]e (?:version |v)?2(?: 0)?"),
-    ("gpl-3.0", "general", r"(?:gnu )?general public licen[cs]e (?:version |v)?3(?: 0)?"),
-    ("gpl-2.0-short", "gpl", r"gpl ?v? ?2(?: 0)?"),
-    ("gpl-3.0-short", "gpl", r"gpl ?v? ?3(?: 0)?"),
-    ("gpl", "gpl", r"gnu gpl"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[cs]e (?:version |v)?2(?: 1)?"),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[cs]e (?:version |v)?3(?: 0)?"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[cs]e"),
-    ("lgpl-library", "library", r"(?:gnu )?library general public licen[cs]e"),
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[cs]e (?:version |v)?3(?: 0)?"),
-    ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e (?:version |v)?1(?: 1)?"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e (?:version |v)?2(?: 0)?"),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[cs]e (?:version |v)?1(?: 0)?"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[cs]e (?:version |v)?2(?: 0)?"),
-    ("eupl", "european", r"european union public licen[cs]e"),
-    ("cddl", "cddl", r"cddl(?: 1 [01])?"),
-    ("artistic-2.0", "artistic", r"artistic licen[cs]e(?: (?:version |v)?2(?: 0)?)?"),
-    ("zlib", "zlib", r"zlib licen[cs]e"),
-    ("bsl-1.0", "boost", r"boost software licen[cs]e(?: (?:version |v)?1(?: 0)?)?"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?"),
-    ("cc-by-4.0", "cc", r"cc by (?:4 0|4)"),
-    ("cc-by-3.0", "cc", r"cc by (?:3 0|3)"),
-    ("cc-by-sa", "cc", r"cc by sa(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc", r"cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc", r"cc by nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1-4] [05])?"),
-    ("cc-by", "creative", r"creative commons attribution(?: [1-4] [05])?(?: international)?(?: licen[cs]e)?"),
-    ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("creative-commons", "creative", r"creative commons(?: licen[cs]e)?"),
-    ("odbl", "database", r"open database licen[cs]e"),
-    ("ofl-1.1", "font", r"(?:sil )?open font licen[cs]e(?: (?:version |v)?1(?: 1)?)?"),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation licen[cs]e"),
-    ("public-domain", "domain", r"public domain"),
-    ("proprietary", "proprietary", r"proprietary and confidential"),
-]
-
-#: How a notice brings a name in (priority: lower wins), with the confidence it deserves.
-NOTICES = [
-    (10, 0.99, r"spdx license identifier {name}"),
-    (20, 0.97, r"(?:is |are )?(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?(?: or (?:any )?later(?: version)?)?"),
-    (30, 0.95, r"(?:subject to|in accordance with|according to|governed by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}"),
-    (40, 0.9, r"(?:see|read|copy of) (?:the )?{name}"),
-    (50, 0.85, r"under (?:the )?(?:terms of )?(?:the )?{name}"),
-    (60, 0.7, r"{name}"),
-]
-
-#: Clauses of license texts and reservations (label, keyword, priority, confidence, regex).
-CLAUSES = [
-    ("mit", "charge", 15, 0.98, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "fee", 15, 0.97, r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("bsd", "redistribution", 15, 0.97, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("warranty-disclaimer", "warranty", 45, 0.6, r"(?:the software is )?provided as is without warranty of any kind"),
-    ("gpl", "redistribute", 15, 0.95, r"you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
-    ("unlicense", "unencumbered", 15, 0.97, r"free and unencumbered software released into the public domain"),
-    ("reserved", "reserved", 35, 0.8, r"(?:copyright (?:c )?(?:[0-9]{4} )?(?:[^ ]+ ){0,6})?all rights reserved"),
-    ("reserved", "reserved", 55, 0.7, r"some rights reserved"),
-    ("copyright", "copyright", 70, 0.5, r"copyright (?:c )?[0-9]{4}"),
-    ("copyright", "copyright", 75, 0.3, r"copyright"),
-    ("gpl", "general", 65, 0.75, r"general public licen[cs]e"),
-    ("cc-by", "cc", 65, 0.75, r"cc by"),
-    ("proprietary", "confidential", 40, 0.7, r"strictly confidential"),
-    ("proprietary", "unauthorized", 40, 0.7, r"unauthorized (?:copying|use|reproduction|distribution)[^.]{0,40} (?:is )?(?:strictly )?prohibited"),
-]
-
-
-def rules() -> list[tuple[int, float, str, str, str]]:
-    """(priority, confidence, label, keyword, regex), best priority first: each notice with each name, and the clauses."""
-    out = [(priority, trust, re.sub("-(short|library)$", "", label), key, notice.format(name=name)) for priority, trust, notice in NOTICES for label, key, name in NAMES]
-    return sorted(out + [(p, trust, label, key, form) for label, key, p, trust, form in CLAUSES], key=lambda r: r[0])
+def _table(lines: str) -> list[list[str]]:
+    return [[x.strip() for x in line.split(" | ")] for line in lines.strip().splitlines()]
+
+
+@cache
+def rules() -> list[tuple[int, float, str, tuple[str, ...], str]]:
+    """(priority, confidence, label, keywords, regex), best priority first: each notice with each name, each place with each identifier, and the clauses."""
+    out = [(priority, trust, label, tuple(keys.split()), notice.format(name=name)) for priority, trust, notice in NOTICES for label, keys, name in _table(NAMES)]
+    for name in IDENTIFIERS.split():
+        words = words_alnum(name)
+        form = b" ".join(words).decode()
+        out += [(priority, trust, name.lower(), (max(words, key=len).decode(),), place.format(name=form)) for priority, trust, place in IDENTIFIER_NOTICES]
+    out += [(int(priority), float(trust), label, tuple(keys.split()), form) for priority, trust, label, keys, form in _table(CLAUSES)]
+    return sorted(out, key=lambda r: r[0])
 
 
 @cache
 def _compiled() -> tuple[dict[bytes, list[tuple]], dict[bytes, list[tuple]]]:
     gated, base = defaultdict(list), defaultdict(list)
-    for n, (priority, trust, label, key, form) in enumerate(rules()):
-        gated[key.encode()].append((priority, n, trust, label, re.compile(rf"(?<= )(?:{form})(?= )".encode())))
+    for n, (priority, trust, label, keys, form) in enumerate(rules()):
+        for key in keys:
+            gated[key.encode()].append((priority, n, trust, label, re.compile(rf"(?<= )(?:{form})(?= )".encode())))
     for phrase, label in BASE.items():
         base[max(phrase.split(), key=len).encode()].append((label, re.compile(f"(?<= ){phrase}(?= )".encode())))
     return dict(gated), dict(base)
@@ -147,12 +73,12 @@ def suppress(found: list[tuple[int, int, int, int, float, str]]) -> list[tuple[i
     return kept
 
 
-def scan_text(text: str | None) -> tuple:
-    """n_words, n_base, first_word, last_word, base labels, spans (first, last, label, rule, priority, confidence), labels, score."""
+def scan_text(text: str | None, gate: bool = True) -> tuple:
+    """n_words, n_base, first_word, last_word, base labels, spans (first, last, label, rule, priority, confidence), labels, score. Without the gate all rules run."""
     gated, base = _compiled()
     words = words_alnum(text)
     keys = (gated.keys() | base.keys()).intersection(words)
-    if not keys:
+    if not keys and gate:
         return len(words), 0, None, None, [], [], [], 0.0
     line = b" " + b" ".join(words) + b" "
     at = list(accumulate((len(w) + 1 for w in words), initial=1))
@@ -163,7 +89,8 @@ def scan_text(text: str | None) -> tuple:
             hits = [word(m.start()) for m in form.finditer(line)]
             places += hits
             plain |= {label} if hits else set()
-    found = [(priority, word(m.start()), word(m.end() - 1), n, trust, label) for key in keys & gated.keys() for priority, n, trust, label, form in gated[key] for m in form.finditer(line)]
+    due = {rule[1]: rule for key in (keys & gated.keys() if gate else gated) for rule in gated[key]}
+    found = [(priority, word(m.start()), word(m.end() - 1), n, trust, label) for priority, n, trust, label, form in due.values() for m in form.finditer(line)]
     kept = sorted(suppress(found), key=lambda d: d[1:4])
     trust = {}
     for d in kept:

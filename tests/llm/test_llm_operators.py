@@ -163,7 +163,7 @@ def test_mixing_caps(spark):
 def test_license_scan(spark, odd):
     from labelmill.llm.licenses import rules, scan_licenses, suppress
 
-    assert len(rules()) > 300
+    assert len(rules()) > 800 and len({form for *_, form in rules()}) == len(rules())
     docs = odd.unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("doc_id", F.col("doc_id") + 100))
     got = {r.doc_id: r for r in scan_licenses(clashing(docs)).where("doc_id is not null").collect()}
     base = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
@@ -180,6 +180,56 @@ def test_license_scan(spark, odd):
     assert scan_licenses(odd.where("false")).count() == 0
 
 
+def sample_of(form, rng):
+    """A text that the form (over words) matches, at random."""
+    from re import _constants as c
+    from re import _parser as parser
+
+    def say(tokens):
+        out = ""
+        for op, arg in tokens:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                kind, value = arg[int(rng.integers(len(arg)))]
+                out += "x" if kind is c.NEGATE or arg[0][0] is c.NEGATE else chr(int(rng.integers(value[0], value[1] + 1))) if kind is c.RANGE else chr(value)
+            elif op is c.NOT_LITERAL:
+                out += "x"
+            elif op is c.BRANCH:
+                out += say(arg[1][int(rng.integers(len(arg[1])))])
+            elif op is c.SUBPATTERN:
+                out += say(arg[3])
+            elif op is c.MAX_REPEAT:
+                low, high, inner = arg
+                out += "".join(say(inner) for _ in range(int(rng.integers(low, min(high, low + 4) + 1))))
+            else:
+                raise ValueError(op)
+        return out
+
+    return say(parser.parse(form))
+
+
+def test_each_license_rule_matches_and_its_gate_loses_nothing(spark):
+    from labelmill.llm.licenses import rules, scan_text
+
+    rng = np.random.default_rng(8)
+    for priority, trust, label, keys, form in rules():
+        for _ in range(4):
+            text = sample_of(form, rng)
+            assert re.fullmatch(form, text) and set(keys) & set(text.split()), (label, keys, text)
+            assert scan_text(text)[6], (label, text)
+    texts = [sample_of(form, rng) for *_, form in rules()[::3]]
+    texts += [" ".join(rng.choice(texts, 4)) for _ in range(40)] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert all(scan_text(x) == scan_text(x, gate=False) for x in texts)
+
+
+@pytest.mark.parametrize("text, label", [("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"), ("// SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1-or-later"), ("SPDX-License-Identifier: Zlib", "zlib"), ("released under GPLv2", "gpl-2.0"), ("GPLv3 or later", "gpl-3.0"), ("GPL2", "gpl-2.0"), ("the FreeBSD license", "bsd-2-clause"), ("MIT licensed", "mit"), ("License: EPL-2.0", "epl-2.0"), ("AGPL v3", "agpl-3.0"), ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"), ("Alle Rechte vorbehalten", "reserved"), ("Tous droits réservés", "reserved"), ("This is licensed under the Apache License, Version 2.0", "apache-2.0")])
+def test_license_notices(text, label):
+    from labelmill.llm.licenses import scan_text
+
+    assert label in scan_text(text)[6]
+
+
 def test_suppression_by_brute_force():
     from labelmill.llm.licenses import suppress
 
