@@ -1,10 +1,12 @@
-"""Mixing sources to target weights by systematic sampling.
-
-Within a source documents stand in order of size (in classes a sixteenth of a doubling
-wide), so the points that the sample takes are spread over all sizes and its words come
-near the target as well as its documents. Of OFFSETS random offsets a source takes the one whose words come nearest. A document's place is the count of documents
-before its class, before its partition, and before it in its partition: three small
-counts, so that a source of any share of the rows is never gathered in one task.
+"""Mixing sources to target weights by systematic sampling with one random offset.
+
+Within a source documents stand from large to small, and every other run of documents that
+shares one expected copy is turned round, so that whatever the offset, a sample that takes
+the larger of one run takes the smaller of the next: its words come near the target as well
+as its documents. A document's expected copies are prefix-summed in that order, the
+source's offset is added, and each integer that the sum crosses gives a copy. The order
+rests on sizes and contents alone, not on how files are split; places come from ranges that
+are sorted apart, so that a source of any share of the rows is never gathered in one task.
 """
 
 from __future__ import annotations
@@ -16,13 +18,11 @@ from pyspark.sql.window import Window
 from labelmill.llm.common import cut, fraction, free_name, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Random offsets that a source chooses from.
-OFFSETS = 24
 
 
-def ordinal(df: DataFrame, order, name: str) -> DataFrame:
+def ordinal(df: DataFrame, order: list, name: str) -> DataFrame:
     """df with its rows' places in the order, from 0, as `name`: ranges are sorted apart and their sizes added up."""
-    placed = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_row", F.monotonically_increasing_id()), "ordinal")
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "ordinal")
     part = F.shiftright("_row", 33).alias("_part")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy(part).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))  # a row for each range
@@ -36,7 +36,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     stop there and the rest is shared again, until none is above. Only sums reach the driver.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    by = cut(ordinal(by, F.col("source").asc_nulls_last(), "nth"), "sources")
+    by = cut(ordinal(by, [F.col("source").asc_nulls_last()], "nth"), "sources")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
     by = by.withColumn("w", weight.cast("double")).withColumn("top", most * F.col("source_size").cast("double"))
     level = 0.0
@@ -50,52 +50,53 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return by.select("source", "source_size", "docs", "nth", F.least("top", F.lit(level) * F.col("w")).alias("target"))
 
 
+def turned(place, part):
+    """Places from 0, with every other run of places that shares one expected copy (part: copies beyond whole ones) the other way round."""
+    run = F.floor(place * part)
+    first, last = F.ceil(run / part), F.ceil((run + 1) / part) - 1
+    return F.when((part > 0) & (run % 2 == 1), first + last - place).otherwise(place)
+
+
 def _decide(rows: DataFrame, weights, most: int, seed: str) -> DataFrame:
-    """rows: row (from monotonically_increasing_id), source, size; adds source_size, target, copies."""
-    rows = rows.withColumn("part", F.shiftright("row", 33)).withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 16).cast("int"))
+    """rows: row, source, size, tie (a hash of the content); adds source_size, target, copies."""
     share = cut(targets(rows, weights, most), "targets")
-    rows = rows.withColumn("null_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
-    key = ["null_source", "source", "class"]
-    parts = rows.groupBy(*key, "part").count()
-    classes = parts.groupBy(*key).agg(F.sum("count").alias("n"))
-    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    in_class = parts.withColumn("in_class", F.coalesce(F.sum("count").over(before(key, "part")), F.lit(0))).drop("count")
-    in_source = classes.withColumn("in_source", F.coalesce(F.sum("n").over(before(key[:2], "class")), F.lit(0))).drop("n")
-    base = cut(in_class.join(in_source, key).withColumn("base", F.col("in_class") + F.col("in_source")).drop("in_class", "in_source"), "bases")
-    own = Window.partitionBy(*key, "part").orderBy("size", "row")
-    # a merge join: the small files of base unpack to far more than they look, so it is not left to be broadcast by size
-    ranked = cut(rows.withColumn("own", F.row_number().over(own)), "ranked").join(base.hint("merge"), [*key, "part"])
-    share = share.select(F.col("source").isNull().alias("null_source"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0).alias("rate"), F.array(*[fraction("nth", seed=f"{seed}{k}") for k in range(OFFSETS)]).alias("offsets"))
-    placed = ranked.join(share, ["null_source", "source"]).withColumn("place", F.col("base") + F.col("own"))
-
-    def copies(offset):
-        upto = lambda k: F.floor(F.col("rate") * k + offset)
-        return F.least(upto(F.col("place")) - upto(F.col("place") - 1), F.lit(most))
-
-    sums = placed.groupBy("null_source", "source").agg(F.first("target").alias("t"), F.first("offsets").alias("o"), *[F.sum(copies(F.col("offsets")[k]) * F.col("size")).alias(f"w{k}") for k in range(OFFSETS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("t")).alias("miss"), F.col("o")[k].alias("offset")) for k in range(OFFSETS)]))
-    chosen = cut(sums.select("null_source", "source", best["offset"].alias("offset")), "offsets")
-    out = placed.drop("offsets").join(chosen, ["null_source", "source"]).withColumn("copies", copies(F.col("offset")))
+    share = share.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)).withColumn("offset", fraction("nth", seed=seed))
+    before = Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    share = share.withColumn("base", F.coalesce(F.sum("docs").over(before), F.lit(0)))  # a row for each source
+    share = share.select(F.col("source").isNull().alias("null_source"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target", "rate", "offset", "base")
+    placed = ordinal(rows, [F.col("source").asc_nulls_last(), F.desc("size"), F.asc("tie")], "place")
+    placed = placed.withColumn("null_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit(""))).join(share, ["null_source", "source"])
+    rate = F.col("rate")
+    place = turned(F.col("place") - F.col("base"), rate - F.floor(rate))
+    upto = lambda k: F.floor(rate * k + F.col("offset"))
+    out = placed.withColumn("at", place).withColumn("copies", F.least(upto(F.col("at") + 1) - upto(F.col("at")), F.lit(most)))
     return out.withColumn("source", F.when(~F.col("null_source"), F.col("source"))).select("row", "source", "size", "source_size", "target", "copies")
 
 
+def _sizes(numbered: DataFrame, row: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return numbered.select(F.col(row).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", text).alias("tie"))
+
+
 def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
     """Returns doc_id, source, size (words), source_size, target (of the source), copies and taken (copies * size).
 
     Every row stands for itself, also where it repeats or its id is null. Null and blank
-    texts have size 0; a source without words has target 0 and gives no copies. The seed
-    fixes the result for the same files. Other columns are ignored.
+    texts have size 0; a source without words has target 0 and gives no copies. The seed and
+    the contents fix the result, however files are split; only which of some equal rows comes
+    once more is left open. A source's words miss its target by less than its largest
+    document. Other columns are ignored.
     """
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "sizes")
-    made = _decide(rows.select("row", "source", "size"), weights, most, seed)
+    rows = cut(_sizes(docs.withColumn("_row", F.monotonically_increasing_id()), "_row"), "sizes")
+    made = _decide(rows.select("row", "source", "size", "tie"), weights, most, seed)
     return rows.select("row", "doc_id").join(made, "row").select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (see shares)."""
+    """The rows of docs with all their columns, each as often as the mix takes it (see shares, also for nulls, ties and repeats); an empty table stays empty."""
     row = free_name(docs, "row")
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    sizes = cut(numbered.select(F.col(row).alias("row"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "sizes")
+    sizes = cut(_sizes(numbered, row).drop("doc_id"), "sizes")
     made = _decide(sizes, weights, most, seed).where("copies > 0")
     times = made.select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(free_name(docs, "copy_no")))
     return numbered.join(times, row).select(*docs.columns)

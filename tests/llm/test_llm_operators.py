@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -118,6 +119,7 @@ def test_exact_topk(spark):
 
 
 def test_mixing(spark, odd):
+    from labelmill.llm.common import fraction
     from labelmill.llm.mixing import mixed, shares
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -144,11 +146,23 @@ def test_mixing(spark, odd):
         assert r.target == pytest.approx(3 * by[r.source] if r.source in capped else level * w[r.source])
         taken[r.source] += r.taken
     target = {r.source: r.target for r in rows}
-    assert all(abs(taken[s] - target[s]) < 0.15 * target[s] for s in order)
-    assert sorted(map(tuple, shares(docs).collect())) == sorted(map(tuple, rows))
+    assert all(abs(taken[s] - target[s]) < min(0.2 * target[s], max(r.size for r in rows if r.source == s)) for s in order)
+    for other in (docs.repartition(7), docs.orderBy(F.desc("doc_id"))):  # however the rows are split
+        assert sorted(map(tuple, shares(other).collect())) == sorted(map(tuple, rows))
+    tie = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).collect()}
+    copies = {r.doc_id: r.copies for r in rows}
+    for nth, s in enumerate(order):  # systematic sampling by hand
+        ids = sorted((i for i in texts if texts[i].source == s), key=lambda i: (-size[i], tie[i]))
+        rate = min(3.0, target[s] / by[s])
+        offset = spark.range(1).select(fraction(F.lit(nth).cast("long"), seed="mix")).first()[0]
+        part, line = rate - int(rate), {}
+        for k, i in enumerate(ids):
+            run = int(k * part)
+            line[(math.ceil(run / part) + math.ceil((run + 1) / part) - 1 - k) if part and run % 2 else k] = i
+        want = {i: min(3, int(rate * (k + 1) + offset) - int(rate * k + offset)) for k, i in line.items()}
+        assert want == {i: copies[i] for i in ids}
     assert shares(clashing(odd)).count() == 10 and shares(odd.where("false")).count() == 0 and mixed(odd.where("false")).count() == 0
-    copies = Counter(r.doc_id for r in mixed(clashing(docs)).collect())
-    assert copies == Counter({r.doc_id: r.copies for r in rows if r.copies})
+    assert Counter(r.doc_id for r in mixed(clashing(docs)).collect()) == Counter({i: c for i, c in copies.items() if c})
 
 
 def test_mixing_caps(spark):
