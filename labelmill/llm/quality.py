@@ -156,7 +156,8 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     counts = {r[0]: r[1] for r in docs.groupBy(vote("text").alias("votes")).count().collect()}  # at most 3^9 patterns
     model = fit_accuracies(counts)
     part = min(1.0, 1.2 * sample / max(1, sum(counts.values())))
-    own = docs.where(fraction("text", *[c for c in ("doc_id",) if c in docs.columns], seed="quality") < part).select("text").limit(sample)
+    place = fraction("text", *[c for c in ("doc_id",) if c in docs.columns], seed="quality")
+    own = docs.select("text", place.alias("place")).where(F.col("place") < part).orderBy("place", "text").limit(sample).select("text")
     rows = own.select(vote("text"), feature("text")).collect()
     return train([{int(k): float(v) for k, v in r[1].items()} for r in rows], np.array([model["posterior"][r[0]] for r in rows]))
 
@@ -187,5 +188,5 @@ def score_quality(docs: DataFrame, sample: int = SAMPLE, least: float = 0.3) ->
 
 
 def good_documents(docs: DataFrame, sample: int = SAMPLE, least: float = 0.3) -> DataFrame:
-    """The rows of docs, whole, that score at least `least`."""
+    """The rows of docs, whole and with all their columns, that score at least `least`; null and blank texts go, repeats share one score, an empty table stays empty."""
     return docs.where(score_column(fit_quality(docs, sample)) >= least)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.common import cut, free_name, words_lower
+from labelmill.llm.common import cut, words_lower
 from labelmill.llm.components import components
 
 #: Documents that tell which shingles are common, in how many of them such a one is, and how many are kept.
@@ -45,11 +45,38 @@ def first_part(own: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
     return np.concatenate([own[~late], own[late]])[:many] & ((1 << 40) - 1)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+def set_print(own: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes: each bit the majority of that bit over the set, as a signed number."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(own), 1 << 16):
+        total += np.unpackbits(own[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(own)).tobytes(), "little", signed=True)
+
+
+def parts(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """For texts (row, text): row, key (the set of shingles), size, fp (its SimHash), part (its first part)."""
+    every = max(1, texts.count() // SAMPLE)
+
+    def seen(batches):
+        for b in batches:
+            yield pd.DataFrame({"shingle": np.concatenate([shingles(x, width) for x in b["text"]] or [np.zeros(0, np.int64)])})
+
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInPandas(seen, "shingle long")
+    common = np.array(sorted(r[0] for r in sample.groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST).collect()), np.int64)
+
+    def read(batches):
+        for b in batches:
+            own = [shingles(x, width) for x in b["text"]]
+            yield pd.DataFrame({"row": b["row"].to_numpy(), "key": [hashlib.md5(x.tobytes()).digest() for x in own], "size": [len(x) for x in own], "fp": [set_print(x) for x in own], "part": [first_part(x, least, common) for x in own]})
+
+    return texts.mapInPandas(read, "row long, key binary, size int, fp long, part array<long>")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Of pairs (a, b) of rows, those whose texts are similar."""
 
     @F.pandas_udf(T.BooleanType())
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+    def close(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(left, right, strict=True):
             x, y = shingles(x, width), shingles(y, width)
@@ -58,52 +85,25 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
         return pd.Series(out, dtype=bool)
 
     side = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
-    return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(similar("text_a", "text_b")).select("a", "b"), "similar")
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(close("text_a", "text_b")).select("a", "b"), "similar")
 
 
-def links(texts: DataFrame, parts: DataFrame, width: int, least: float) -> DataFrame:
-    """Edges (a, b) that connect all similar pairs, and no others; parts: row, size, part, distinct sets; texts: row, text."""
-    spread = parts.select("row", "size", F.explode("part").alias("shingle"))
-    hub = spread.groupBy("shingle").agg(F.min(F.struct("row", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+def links(texts: DataFrame, parts: DataFrame, width: int, least: float, known: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all similar pairs, and no others; parts: row, size, part, distinct sets; texts: row, text; known: edges found so far."""
+    found = cut(components(known, "a", "b"), "known-groups")
+    grouped = lambda df, label: df.join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("component", "row")).drop("component")
+    spread = grouped(parts.select("row", "size", F.explode("part").alias("shingle")), found)
+    hub = spread.groupBy("shingle").agg(F.min(F.struct("row", "size", "label")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = cut(spread.join(hub, "shingle"), "shared")
     close = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
-    stars = cut(shared.where(F.col("row") > F.col("hub.row")).where(close(F.col("size"), F.col("hub.size"))).select(F.col("hub.row").alias("a"), F.col("row").alias("b")).distinct(), "stars")
-    first = _similar(stars, texts, width, least)
+    apart = (F.col("row") > F.col("hub.row")) & (F.col("label") != F.col("hub.label"))
+    stars = cut(shared.where(apart).where(close(F.col("size"), F.col("hub.size"))).select(F.col("hub.row").alias("a"), F.col("row").alias("b")).distinct(), "stars")
+    first = cut(known.union(similar(stars, texts, width, least)), "first-links")
     label = cut(components(first, "a", "b"), "star-groups")
-    grouped = cut(shared.join(label.withColumnRenamed("node", "row"), "row", "left").select("shingle", "row", "size", F.coalesce("component", "row").alias("label")), "shared-labelled")
-    mixed = grouped.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    left = cut(grouped.join(mixed, "shingle"), "shared-mixed")
+    left = cut(grouped(shared.select("shingle", "row", "size"), label), "shared-labelled")
+    mixed = left.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    left = cut(left.join(mixed, "shingle"), "shared-mixed")
     other = left.select("shingle", F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
     rest = left.join(other, "shingle").where("row < b and label <> label_b").where(close(F.col("size"), F.col("size_b")))
     rest = cut(rest.select(F.col("row").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    return first.union(_similar(rest, texts, width, least))
-
-
-def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of docs, one for each group connected by pairs of similarity `least` or more: that with the smallest doc_id (of rows that repeat it, one).
-
-    Null and blank texts are alike. A group of null ids alone keeps its first row.
-    """
-    row = free_name(docs, "row")
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select(F.col(row).alias("row"), "text")
-    every = max(1, texts.count() // SAMPLE)
-
-    def seen(batches):
-        for b in batches:
-            yield pd.DataFrame({"shingle": np.concatenate([shingles(x, width) for x in b["text"]] or [np.zeros(0, np.int64)])})
-
-    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInPandas(seen, "shingle long")
-    common = np.array(sorted(r[0] for r in sample.groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST).collect()), np.int64)
-
-    def read(batches):
-        for b in batches:
-            own = [shingles(x, width) for x in b["text"]]
-            yield pd.DataFrame({"row": b["row"].to_numpy(), "key": [hashlib.md5(x.tobytes()).digest() for x in own], "size": [len(x) for x in own], "part": [first_part(x, least, common) for x in own]})
-
-    parts = cut(texts.mapInPandas(read, "row long, key binary, size int, part array<long>"), "parts")
-    ids = numbered.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("id"))
-    sets = cut(parts.select("row", "key").join(ids, "row").groupBy("key").agg(F.min("id").alias("id")).select(F.col("id.row").alias("row"), "id"), "sets")
-    label = components(links(texts, parts.join(sets.select("row"), "row", "left_semi").select("row", "size", "part"), width, least), "a", "b").withColumnRenamed("node", "row")
-    kept = sets.join(label, "row", "left").groupBy(F.coalesce("component", "row").alias("label")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(row))
-    return numbered.join(cut(kept, "kept"), row, "left_semi").select(*docs.columns)
+    return first.union(similar(rest, texts, width, least))

@@ -22,11 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelmill.llm import shingles
 from labelmill.llm.common import cut, free_name, words_lower
 from labelmill.llm.components import components
 
-#: Fingerprints that an anchor compares pairwise.
+#: Fingerprints that an anchor compares pairwise; beyond it they go to the finest code. Either way gives the same links: a small number costs
+#: more replicas (65 of each fingerprint in a crowded anchor), a large one more pairs (half its square for an anchor).
 CROWD = 64
+#: Shingles whose hashes are held at a time.
+SLICE = 1 << 16
 #: Generator polynomial of the [23,12] Golay code.
 GOLAY = 0b110001110101
 
@@ -37,13 +41,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     if not words:
         return 0
     line, at = b" ".join(words), list(accumulate((len(w) + 1 for w in words), initial=0))
-    digest = xxhash.xxh64_digest
-    if len(words) <= width:
-        hashes = digest(line, 42)
-    else:
-        hashes = b"".join([digest(line[a : b - 1], 42) for a, b in zip(at, at[width:])])  # noqa: B905
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes(), "big")
+    digest, total, last = xxhash.xxh64_digest, np.zeros(64, np.int64), max(1, len(words) - width + 1)
+    for i in range(0, last, SLICE):
+        own = [line] if last == 1 else [line[a : b - 1] for a, b in zip(at[i : min(i + SLICE, last)], at[i + width :])]  # noqa: B905
+        total += np.unpackbits(np.frombuffer(b"".join([digest(x, 42) for x in own]), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > last).tobytes(), "big")
 
 
 @F.pandas_udf(T.LongType())
@@ -119,29 +121,50 @@ def links(prints: DataFrame, half: int = 1, crowd: int = CROWD) -> DataFrame:
     return near.select("src", "dst").union(star).distinct()
 
 
-def near_duplicates(docs: DataFrame, half: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, half: int = 1, crowd: int = CROWD) -> DataFrame:
     """Returns doc_id, fp (signed 64 bits) and component_id (smallest doc_id reachable by links of at most 2 * half bits).
 
     One row for each input row; null and blank texts have fingerprint 0 and link like any
     other. Rows that repeat get the same component. Null ids take part but are never the
-    smallest; a component of null ids alone has a null component_id. Other columns are ignored.
+    smallest; a component of null ids alone has a null component_id. Other columns are
+    ignored. `crowd` moves work, not results (see CROWD).
     """
     prints = cut(docs.select("doc_id", fingerprint_udf("text").alias("fp")), "fingerprints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints-distinct")
-    label = components(links(distinct, half)).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    label = components(links(distinct, half, crowd)).select(F.col("node").alias("fp"), F.col("component").alias("label"))
     labelled = cut(distinct.join(label, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "fingerprints-labelled")
     least = cut(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "components")
     to = cut(labelled.join(least, "label").select("fp", "component_id"), "fingerprint-components")
     return prints.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, half: int = 1) -> DataFrame:
-    """The rows of docs, one for each component: that with the smallest doc_id (of rows that repeat it, one).
+def _proposed(sets: DataFrame, half: int, crowd: int) -> DataFrame:
+    """Pairs (a, b) of rows that share an anchor within 2 * half bits, one for each link of fingerprints and each row beyond a fingerprint's first."""
+    by = cut(sets.groupBy("fp").agg(F.min("row").alias("first")), "print-rows")
+    same = sets.join(by, "fp").where("row > first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    end = lambda c, to: by.select(F.col("fp").alias(c), F.col("first").alias(to))
+    near = links(by, half, crowd).join(end("src", "a"), "src").join(end("dst", "b"), "dst").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.union(near).distinct()
 
-    A component of null ids alone keeps its first row.
+
+def deduplicated(docs: DataFrame, half: int = 1, width: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """The rows of docs, one for each group of near copies: that with the smallest doc_id (of rows that repeat it, one).
+
+    Near copies: the sets of `width`-word shingles have Jaccard similarity `least` or more,
+    directly or along a chain. Fingerprints of those sets propose pairs by anchors, and the
+    texts decide. At 0.8 fingerprints differ in ten bits or so, far more than any cover can
+    afford, so a prefix filter (see shingles) finds, without loss, the groups that anchors
+    leave apart. Null and blank texts are alike. A group of null ids alone keeps its first
+    row. All columns are kept, whatever they are called; an empty table stays empty.
     """
     row = free_name(docs, "row")
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = cut(near_duplicates(numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row).alias("doc_id"), "text"), half), "near-duplicates")
-    keep = found.where("doc_id = component_id").select(F.col(f"doc_id.{row}").alias(row))
-    return numbered.join(keep, row, "left_semi").select(*docs.columns)
+    texts = numbered.select(F.col(row).alias("row"), "text")
+    parts = cut(shingles.parts(texts, width, least), "parts")
+    ids = numbered.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("id"))
+    sets = cut(parts.select("row", "key").join(ids, "row").groupBy("key").agg(F.min("id").alias("id")).select(F.col("id.row").alias("row"), "id"), "sets")
+    once = cut(parts.join(sets.select("row"), "row", "left_semi").select("row", "size", "fp", "part"), "parts-once")
+    anchored = shingles.similar(_proposed(once.select("row", "fp"), half, crowd), texts, width, least)
+    label = components(shingles.links(texts, once, width, least, anchored), "a", "b").withColumnRenamed("node", "row")
+    kept = sets.join(label, "row", "left").groupBy(F.coalesce("component", "row").alias("label")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(row))
+    return numbered.join(cut(kept, "kept"), row, "left_semi").select(*docs.columns)

@@ -283,8 +283,8 @@ def components_of(prints, bits=2):
     return {x: find(x) for x in names}
 
 
-def test_simhash(spark, odd):
-    from labelmill.llm.simhash import deduplicated, near_duplicates
+def test_simhash(spark, odd, monkeypatch):
+    from labelmill.llm.simhash import fingerprint, near_duplicates
 
     docs = odd.unionByName(spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 100))
     rows = docs.collect()
@@ -297,11 +297,10 @@ def test_simhash(spark, odd):
         if i is not None:
             least[comp[p]] = min(i, least.get(comp[p], i))
     assert all(r.component_id == least.get(comp[r.fp & (2**64 - 1)]) for r in got)
-    kept = deduplicated(clashing(docs))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values()) and len(kept.columns) == len(clashing(docs).columns)
-    assert near_duplicates(odd.where("false")).count() == 0 and deduplicated(odd.where("false")).count() == 0
-    nulls = deduplicated(odd.where("doc_id is null")).collect()
-    assert sorted((r.text or "") for r in nulls) == ["", "the cat sat on the mat"]
+    assert sorted(map(tuple, near_duplicates(clashing(docs), crowd=2).where("doc_id is not null").collect())) == sorted(tuple(r) for r in got if r.doc_id is not None)
+    assert near_duplicates(odd.where("false")).count() == 0
+    monkeypatch.setattr("labelmill.llm.simhash.SLICE", 7)  # hashes in slices
+    assert all(fingerprint(d.text) == slow_print(d.text) for d in rows[:60])
 
 
 @pytest.mark.parametrize("crowd", [2, 64])
@@ -329,7 +328,7 @@ def test_simhash_links_lose_nothing(spark, crowd):
 
 def test_pipeline_drops_near_copies(spark, odd):
     import corpus_pipeline
-    from labelmill.llm.shingles import deduplicated
+    from labelmill.llm.simhash import deduplicated
 
     rng = np.random.default_rng(6)
     word = lambda: f"w{rng.integers(5000)}"
@@ -385,6 +384,34 @@ def test_quality(spark, odd):
     assert abs(m["good"] - 0.8) < 0.05 and all(abs(m["vote"][1][:, 0] - 0.9) < 0.05)
 
 
+def test_quality_by_brute_force(spark):
+    from labelmill.llm.quality import DIM, features, fit_accuracies, fit_quality, score_quality, votes
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    cast = [votes(x) for x in rows.values()]
+    model = fit_accuracies(dict(Counter(cast)), rounds=12)
+    p = [0.05 if "0" in v else 0.97 for v in cast]  # EM a text at a time
+    prior = {0: dict(zip("10-", (1.0, 3.0, 4.0), strict=True)), 1: dict(zip("10-", (4.0, 0.2, 4.0), strict=True))}
+    for _ in range(12):
+        good = min(0.99, max(0.01, sum(p) / len(p)))
+        seen = {k: [dict(prior[k]) for _ in cast[0]] for k in (0, 1)}
+        for v, q in zip(cast, p, strict=True):
+            for j, c in enumerate(v):
+                seen[1][j][c] += q
+                seen[0][j][c] += 1 - q
+        rate = {k: [{c: n / sum(d.values()) for c, n in d.items()} for d in seen[k]] for k in (0, 1)}
+        p = [1 / (1 + math.exp(max(-50, min(50, math.log(1 - good) - math.log(good) + sum(math.log(rate[0][j][c]) - math.log(rate[1][j][c]) for j, c in enumerate(v)))))) for v in cast]
+    assert all(abs(model["posterior"][v] - q) < 1e-9 for v, q in zip(cast, p, strict=True))
+    weights = fit_quality(docs)
+    got = {r.doc_id: r.score for r in score_quality(docs).collect()}
+    assert len(weights) == DIM + 1 and got.keys() == rows.keys()
+    for i, x in rows.items():
+        z = weights[-1] + sum(v * weights[k] for k, v in features(x).items())
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-6
+    assert got == {r.doc_id: r.score for r in score_quality(docs.repartition(5)).collect()}  # whatever the partitions
+
+
 def test_toxicity(spark, odd):
     from labelmill.llm.toxicity import clean_documents, score_toxicity
 
@@ -598,6 +625,28 @@ def test_pipeline_stages(spark):
     assert bins <= 1.03 * least + 2
 
 
+def test_pipeline_on_odd_inputs(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    few = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    more = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 100)
+    for name, docs, labels in (("odd", odd.union(odd).unionByName(more), few), ("empty", odd.where("false"), few.where("false")), ("nulls", spark.createDataFrame([(None,) * 5] * 3, DOCS), few)):
+        sf = str(tmp_path / name)
+        docs.coalesce(1).write.parquet(f"{sf}/documents.parquet")
+        labels.coalesce(1).write.parquet(f"{sf}/labels.parquet")
+        kept = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            wide = clashing(kept)
+            assert function(spark, wide, sf).columns == wide.columns, stage
+            out = function(spark, kept, sf)
+            rows = out.collect()
+            assert out.columns == kept.columns and {r.doc_id for r in rows} <= {r.doc_id for r in kept.collect()}, stage
+            kept = spark.createDataFrame(rows, kept.schema)
+        packed = corpus_pipeline.run(spark, sf).collect()
+        bins, least = check_packing(kept.collect(), packed, 4096)
+        assert bins <= 1.03 * least + 2 and (packed or name != "odd")
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
