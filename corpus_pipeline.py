@@ -1,6 +1,8 @@
 """Documents to packed sequences: STAGES in order, each written as Parquet and read again by the next.
 
-A stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+A stage takes (spark, docs, sf_dir). All but the last return the columns of docs, whatever they are
+called. Null and blank texts count as bad and go in the first stage; null ids and sources stay, and
+rows that repeat are one group of copies, of which one stays. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from labelmill.llm.common import cut
 from labelmill.llm.mixing import mixed
 from labelmill.llm.packing import best_fit_pack
 from labelmill.llm.quality import good_documents
-from labelmill.llm.shingles import deduplicated
+from labelmill.llm.simhash import deduplicated
 from labelmill.llm.toxicity import clean_documents
 
 
@@ -27,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard of five-word shingles 0.8 or more) the document with the smallest id stays."""
-    return deduplicated(docs, width=5, least=0.8)
+    return deduplicated(docs, half=1, width=5, least=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
