@@ -44,12 +44,12 @@ class Codes:
         return code.astype(np.uint8), np.sqrt(((rest - back) ** 2).sum(axis=1))
 
     def distances(self, y: np.ndarray, centroid: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of the vectors y to the codes of one list."""
-        rest, total = y - centroid, np.zeros((len(y), len(code)))
+        """Asymmetric squared distances of one list's codes (rows) to the vectors y (columns): a table for each subspace, a row of it for each code."""
+        rest, total = y - centroid, np.zeros((len(code), len(y)), np.float32)
         for j, (s, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            table = ((rest[:, s, None] - b.T[None]) ** 2).sum(axis=1)
-            total += table[:, code[:, j]]
-        return np.sqrt(total)
+            table = (b**2).sum(axis=1)[:, None] - 2 * b @ rest[:, s].T + (rest[:, s] ** 2).sum(axis=1)
+            total += table.astype(np.float32)[code[:, j]]
+        return total
 
 
 class Forest:
@@ -168,15 +168,16 @@ def _found(groups: DataFrame, dim: int, threshold: float, probes: int, tile: int
         real = lambda f: np.frombuffer(b"".join(f["v"]), raw).reshape(len(f), dim).astype(float)
         vx, nx, gx = real(x), x["n"].to_numpy(), x["gid"].to_numpy()
         norm = np.sqrt((vx**2).sum(axis=1))
-        code, reach = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1), radius + x["err"].to_numpy()
+        code = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
+        reach = ((radius + x["err"].to_numpy()) ** 2 * (1 + 1e-4) + 1e-4).astype(np.float32)[:, None]  # with room for single precision
         gy_all, ny_all, away = y["gid"].to_numpy(), y["n"].to_numpy(), y["home"].to_numpy() != key[0]
         gids, node = np.unique(np.concatenate([gx, gy_all]), return_inverse=True)
         forest, sums, out = Forest(len(gids)), np.zeros(len(gids), np.int64), [none]
-        step = max(16, 512 * 4096 // len(x))
+        step = max(16, (1 << 19) // len(x))
         for i in range(0, len(y), step):
             vy, gy, ny, out_of = real(y.iloc[i : i + step]), gy_all[i : i + step], ny_all[i : i + step], away[i : i + step]
             far = np.sqrt((vy**2).sum(axis=1))
-            r, c = np.nonzero(codes.distances(vy / far[:, None], codes.coarse[key[0]], code) <= reach)
+            c, r = np.divmod(np.flatnonzero(codes.distances(vy / far[:, None], codes.coarse[key[0]], code) <= reach), len(vy))
             dots = (vy @ vx.T)[r, c] if 32 * len(r) > len(vy) * len(vx) else np.einsum("ij,ij->i", vy[r], vx[c])
             ok = (dots / (far[r] * norm[c]) >= threshold) & (gy[r] != gx[c])
             r, c = r[ok], c[ok]
