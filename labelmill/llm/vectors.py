@@ -15,6 +15,8 @@ spanning forest, never pairs. Long lists are split into tiles on both sides.
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from labelmill.llm.common import cut, usable
 from labelmill.llm.components import components
 
 SAMPLE, PROBES, TILE, SUBSPACES, WORDS = 20_000, 8, 4096, 8, 64
+#: Vector lengths, the most frequent ones, that get lists and codes of their own; of the others those with more than TILE vectors do too.
+LENGTHS = 16
 
 
 class Codes:
@@ -161,7 +165,7 @@ def _found(groups: DataFrame, dim: int, threshold: float, probes: int, tile: int
     x = kept.withColumn("xt", deal(x_tiles)).withColumn("yt", every(y_tiles))
     y = asked.withColumn("yt", deal(y_tiles)).withColumn("xt", every(x_tiles))
 
-    def compare(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple[Any, ...], x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"src": [], "dst": [], "n": []}).astype({"src": "int64", "dst": "Int64", "n": "int64"})
         if not len(x) or not len(y):
             return none
@@ -193,6 +197,27 @@ def _found(groups: DataFrame, dim: int, threshold: float, probes: int, tile: int
     return x.groupBy(*unit).cogroup(y.groupBy(*unit)).applyInPandas(compare, "src long, dst long, n long")
 
 
+def _few(threshold: float):
+    """Links within a group of at most `tile` vectors of one length, as _found gives them."""
+
+    def compare(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        x, n, gid = np.array(rows["v"].tolist(), float).reshape(len(rows), key[0]), rows["n"].to_numpy(), rows["gid"].to_numpy()
+        norm, none = np.sqrt((x**2).sum(axis=1)), {"src": "int64", "dst": "Int64", "n": "int64"}
+        forest, sums, out = Forest(len(x)), np.zeros(len(x), np.int64), [pd.DataFrame({"src": [], "dst": [], "n": []}).astype(none)]
+        for i in range(0, len(x), 256):
+            near = (x[i : i + 256] @ x.T) / (norm[i : i + 256, None] * norm) >= threshold
+            near[np.arange(len(near)), i + np.arange(len(near))] = False
+            sums[i : i + 256] = near @ n
+            a, b = np.nonzero(near)
+            used = forest.add(a + i, b)
+            out.append(pd.DataFrame({"src": gid[a[used] + i], "dst": gid[b[used]], "n": 0}).astype(none))
+        some = np.flatnonzero(sums)
+        out.append(pd.DataFrame({"src": gid[some], "dst": pd.NA, "n": sums[some]}).astype(none))
+        return pd.concat(out)[["src", "dst", "n"]]
+
+    return compare
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, probes: int = PROBES, tile: int = TILE) -> DataFrame:
     """Returns vec_id, n_links (other rows with cosine >= threshold), component_id (smallest vec_id reachable), kept.
 
@@ -208,9 +233,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, probes:
     groups = rows.where(fit).groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("first")).withColumn("gid", F.monotonically_increasing_id())
     groups = cut(groups, "groups")
     found = None
-    for (dim,) in sorted(groups.select(F.size("v")).distinct().collect()):  # the lengths that vectors have
+    lengths = cut(groups.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("of_length")), "lengths")
+    often = lengths.orderBy(F.desc("of_length"), "dim").limit(LENGTHS).union(lengths.where(F.col("of_length") > tile)).distinct()
+    chains = sorted(r["dim"] for r in often.collect())  # LENGTHS, and what has more than `tile` vectors
+    for dim in chains:
         own = cut(_found(groups, dim, threshold, probes, tile), "links")
         found = own if found is None else found.union(own)
+    if found is not None:
+        rare = groups.withColumn("dim", F.size("v")).join(lengths, "dim").where((F.col("of_length") > 1) & ~F.col("dim").isin(chains))
+        found = found.union(rare.select("dim", "gid", "n", F.transform("v", lambda x: x.cast("double")).alias("v")).groupBy("dim").applyInPandas(_few(threshold), "src long, dst long, n long"))
     if found is None:
         found = groups.select(F.col("gid").alias("src"), F.col("gid").alias("dst"), "n")
     sums = found.where("n > 0").groupBy(F.col("src").alias("gid")).agg(F.sum("n").alias("others"))

@@ -470,7 +470,7 @@ def test_toxicity_index_by_brute_force(spark, telling):
     assert x.tolist() == pytest.approx([0.1, 0.25, 0.4]) and y.tolist() == pytest.approx([0.5 / 101, 0.5, 100.5 / 101])
 
 
-def test_embedding_near_duplicates(spark):
+def test_embedding_near_duplicates(spark, monkeypatch):
     from labelmill.llm.vectors import near_duplicate_vectors
 
     rng = np.random.default_rng(2)
@@ -479,9 +479,10 @@ def test_embedding_near_duplicates(spark):
     for i in range(60):
         rows += [(1000 + 10 * i + j, (base[i] + 0.2 * rng.normal(size=16)).tolist()) for j in range(i % 7)]
     rows += [(5000 + i, base[3].tolist()) for i in range(50)] + [(6000, (3 * base[3]).tolist()), (0, base[0].tolist())]
-    rows += [(7000, None), (7001, [0.0] * 16), (7002, [float("nan")] + [1.0] * 15), (7003, [None] + [1.0] * 15), (7004, [1.0, 1.0]), (7005, [1.0, 1.0]), (None, base[9].tolist())]
+    rows += [(7000, None), (7001, [0.0] * 16), (7002, [float("nan")] + [1.0] * 15), (7003, [None] + [1.0] * 15), (7004, [1.0, 1.0]), (7005, [1.0, 1.0]), (7006, [1.0, 1.1]), (7007, [1.0, -1.0]), (None, base[9].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("label", F.lit(None).cast("int"))
-    for tile in (4096, 16):
+    for tile, lengths in ((4096, 16), (16, 16), (4096, 1)):
+        monkeypatch.setattr("labelmill.llm.vectors.LENGTHS", lengths)
         got = near_duplicate_vectors(df, 0.95, probes=8, tile=tile).collect()
         ok = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
         sim = lambda a, b: len(a) == len(b) and a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= 0.95 - 1e-12
@@ -515,6 +516,10 @@ def test_embedding_links_of_a_hot_group(spark):
     near = all_rows @ all_rows.T >= 0.95
     assert [got[i].n_links for i in range(len(all_rows))] == (near.sum(axis=1) - 1).tolist()
     assert {got[i].component_id for i in range(3000)} == {0} and all(got[8500 + i].component_id == 8000 + i for i in range(500))
+    links = int(sum(got[i].n_links for i in range(len(all_rows))))
+    assert links == int(near.sum()) - len(all_rows)  # recall 1, also between 0.95 and 0.96
+    edge = np.triu((all_rows @ all_rows.T >= 0.95) & (all_rows @ all_rows.T < 0.96), 1)
+    assert edge.any()
     forest = Forest(6)
     assert forest.add(np.array([0, 1, 0, 3]), np.array([1, 2, 2, 4])).size == 3 and forest.add(np.array([2, 0]), np.array([3, 4])).size == 1
 
