@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from labelmill.llm.common import cut, words_alnum
 
 #: Bound of the model: examples of each label.
-EXAMPLES = 3000
+EXAMPLES = 2000
 NEIGHBOURS, BLOCK, FOLDS = 15, 64, 4
 #: A word counts as shared by many if at least this share of the examples has it.
 SHARED = 1 / 16
@@ -165,8 +165,8 @@ class Index:
     def votes(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float | None, list[tuple[float, int]]]]:
         """The neighbours' votes by cosine for toxic, 0 to 1 (None without neighbours), and the neighbours."""
         out = []
-        for i in range(0, len(texts), 128):
-            for near in self.nearest(texts[i : i + 128]):
+        for i in range(0, len(texts), 64):
+            for near in self.nearest(texts[i : i + 64]):
                 who = [e for _, e in near]
                 w = np.array([c for c, _ in near]) * self.stands[who]
                 out.append((float(((w * self.toxic[who]).sum() + 0.05 * self.prior) / (w.sum() + 0.05)) if near else None, near))
@@ -262,6 +262,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, t
         own = np.flatnonzero(fold == k)
         other = Index(sample.take(np.flatnonzero(fold != k)), df, docs_n, telling)
         votes[own] = [np.nan if vote is None else vote for vote, _ in other.votes([texts[i] for i in own])]
+        del other
     told = ~np.isnan(votes)
     if told.any():
         index.map = monotone(votes[told], sample.toxic[told], sample.stands[told])
