@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
 from html.parser import HTMLParser
 
@@ -32,15 +33,21 @@ ELEMENTS = frozenset(
 )
 
 
-@F.pandas_udf(_DOUBLE)
-def difflib_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio, its automatic junk rule included; the cheaper upper bounds come first."""
+def difflib_ratio(least: float):
+    """A column function of two texts: difflib's ratio, its automatic junk rule included; null where an upper bound stays below `least`."""
 
-    def one(x, y):
-        m = difflib.SequenceMatcher(None, x, y)
-        return m.ratio() if m.quick_ratio() >= 0.5 else 0.0
+    @F.pandas_udf(_DOUBLE)
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, matcher, last = [], difflib.SequenceMatcher(), None
+        for x, y in zip(a, b, strict=True):
+            if y != last:  # what is known of the second text stays while it is the same
+                matcher.set_seq2(y)
+                last = y
+            matcher.set_seq1(x)
+            out.append(matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else None)
+        return pd.Series(out, dtype=float)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    return ratio
 
 
 def chunk_text(text: str | None, max_words: int = 400, min_words: int = 40) -> list[dict]:
@@ -129,20 +136,18 @@ def sanitize_html(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([page_text(x) for x in pages], columns=["title", "text"])
 
 
-#: Math delimiters, display before inline.
-MATH = [(re.compile(r"\$\$(.+?)\$\$", re.S), True), (re.compile(r"\\\[(.+?)\\\]", re.S), True), (re.compile(r"\\\((.+?)\\\)", re.S), False), (re.compile(r"(?<!\$)\$(?!\$)(.+?)(?<!\$)\$(?!\$)", re.S), False)]
+#: What opens and closes math, display first, and which of them is display.
+MATH = ((r"\$\$", r"\$\$", True), (r"\\\[", r"\\\]", True), (r"\\\(", r"\\\)", False), (r"(?<!\$)\$(?!\$)", r"(?<!\$)\$(?!\$)", False))
+_MATH = re.compile("|".join(f"{opens}(?P<m{k}>.+?){closes}" for k, (opens, closes, _) in enumerate(MATH)), re.S)
 
 
 def math_segments(text: str | None) -> list[dict]:
-    """Delimited math (latex, display, start, end) in order; a span that another kind has taken is not taken again."""
-    taken = np.zeros(len(text or "") + 1, bool)
-    out = []
-    for form, display in MATH:
-        for m in form.finditer(text or ""):
-            if not taken[m.start() : m.end()].any():
-                taken[m.start() : m.end()] = True
-                out.append({"latex": m[1].strip(), "display": display, "start": m.start(), "end": m.end()})
-    return sorted(out, key=lambda s: s["start"])
+    """Delimited math (latex, display, start, end) in order of the text; where kinds start at one place the earlier in MATH goes first."""
+    found = []
+    for m in _MATH.finditer(text or ""):
+        kind = int(m.lastgroup[1:])
+        found.append({"latex": m[m.lastgroup].strip(), "display": MATH[kind][2], "start": m.start(), "end": m.end()})
+    return found
 
 
 @F.pandas_udf(T.ArrayType(_struct(latex=_TEXT, display=T.BooleanType(), start=_INT, end=_INT)))
@@ -150,26 +155,49 @@ def latex_segments(texts: pd.Series) -> pd.Series:
     return texts.map(math_segments, na_action=None)
 
 
+_ATOM = re.compile(r"([A-Z][a-z]?)(\d*)|(\()|\)(\d*)")
+_CHARGE = re.compile(r"(?:\^\{?\d*[+-]+\}?|[+-]+)$")
+
+
 def formula_counts(formula: str | None) -> tuple[dict[str, int], str | None]:
-    """Element counts of a formula and what is wrong with it; a group's repeat count repeats its text."""
-    body = re.sub(r"(\^\{?\d*[+-]+\}?|[+-]+)$", "", re.sub(r"^\\ce\{(.*)\}$", r"\1", (formula or "").strip(), flags=re.S))
-    if body.count("(") != body.count(")"):
+    """Element counts of a formula and what is wrong with it (first: parentheses, then the first piece that is no element).
+
+    One pass from the right: a closing parenthesis opens a group whose factor multiplies the factors around it, so each
+    element is counted once, with the product of all groups that it stands in.
+    """
+    text = (formula or "").strip()
+    if text.startswith("\\ce{") and text.endswith("}"):
+        text = text[4:-1]
+    text = _CHARGE.sub("", text)
+    pieces, at, stray = [], 0, None
+    while at < len(text) and stray is None:
+        if m := _ATOM.match(text, at):
+            pieces.append(m)
+            at = m.end()
+        else:
+            stray = at
+    depth = 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            break
+    if depth:
         return {}, "unbalanced_parentheses"
-    while "(" in body:
-        wider = re.sub(r"\(([^()]*)\)(\d*)", lambda m: m[1] * int(m[2] or 1), body)
-        if wider == body:
-            return {}, "unbalanced_parentheses"
-        body = wider
+    factors, elements = [1], []
+    for m in reversed(pieces):
+        if m[1]:
+            elements.append((m[1], factors[-1] * int(m[2] or 1)))
+        elif m[3]:
+            if len(factors) > 1:
+                factors.pop()
+        else:
+            factors.append(factors[-1] * int(m[4] or 1))
     counts: dict[str, int] = {}
-    while body:
-        m = re.match(r"([A-Z][a-z]?)(\d*)", body)
-        if not m:
-            return counts, "unrecognized_token"
-        if m[1] not in ELEMENTS:
+    for name, n in reversed(elements):
+        if name not in ELEMENTS:
             return counts, "unknown_element"
-        counts[m[1]] = counts.get(m[1], 0) + int(m[2] or 1)
-        body = body[m.end() :]
-    return counts, None
+        counts[name] = counts.get(name, 0) + n
+    return counts, "unrecognized_token" if stray is not None else None
 
 
 @F.pandas_udf(_struct(counts=T.MapType(_TEXT, _INT), error=_TEXT))
@@ -236,13 +264,25 @@ def wilcoxon_exact(w: float, n: int) -> float:
     ways[0] = 1
     for r in range(1, n + 1):
         ways[r:] = ways[r:] + ways[:-r]
-    return float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2.0**n))
+    return float(min(1.0, 2 * ways[: math.floor(w) + 1].sum() / 2.0**n))
+
+
+def wilcoxon_normal(w: float, n: int, ties: float) -> float:
+    """Two-sided p by the normal approximation; ties: the sum of t^3 - t over groups of t equal sizes."""
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    return math.erfc(abs(w - n * (n + 1) / 4) / spread / math.sqrt(2)) if spread else 1.0
 
 
 @F.pandas_udf(_DOUBLE)
-def wilcoxon_p(w: pd.Series, n: pd.Series) -> pd.Series:
-    """Exact p up to 50 differences; null beyond."""
-    return pd.Series([wilcoxon_exact(float(a), int(b)) if pd.notna(a) and b <= 50 else None for a, b in zip(w, n, strict=True)], dtype=float)
+def wilcoxon_p(w: pd.Series, pairs: pd.Series, used: pd.Series, ties: pd.Series) -> pd.Series:
+    """Exact p for up to 50 untied differences without zeros, else the normal approximation; null below six pairs or where all are equal."""
+
+    def one(w, n, used, ties):
+        if n < 6 or not used:
+            return None
+        return wilcoxon_exact(w, used) if used <= 50 and not ties and used == n else wilcoxon_normal(w, used, ties)
+
+    return pd.Series([one(*x) for x in zip(w, pairs, used, ties, strict=True)], dtype=float)
 
 
 def mask_components(runs: pd.DataFrame, eight: bool) -> pd.DataFrame:
@@ -269,8 +309,8 @@ def mask_components(runs: pd.DataFrame, eight: bool) -> pd.DataFrame:
     return runs.assign(comp=[find(i) for i in range(len(runs))])[["image", "y", "x0", "x1", "comp"]]
 
 
-def components(px: DataFrame, mask, eight: bool = True) -> DataFrame:
-    """(image, comp, size, x0, y0, x1, y1) of connected regions of a mask, image by image.
+def component_runs(px: DataFrame, mask, eight: bool = True) -> DataFrame:
+    """(image, y, x0, x1, comp): the row runs of a mask's connected regions, image by image.
 
     Spark finds the runs; the helper joins an image's runs, never its pixels, and never more than one image.
     """
@@ -280,7 +320,9 @@ def components(px: DataFrame, mask, eight: bool = True) -> DataFrame:
     gap = F.col("x") - F.row_number().over(Window.partitionBy("image", "y").orderBy("x"))
     runs = m.withColumn("g", gap).groupBy("image", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("g")
     kind = dict(runs.dtypes)["image"]
-    joined = runs.groupBy("image").applyInPandas(lambda pdf: mask_components(pdf, eight), f"image {kind}, y int, x0 int, x1 int, comp long")
-    return joined.groupBy("image", "comp").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("size"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))
+    return runs.groupBy("image").applyInPandas(lambda pdf: mask_components(pdf, eight), f"image {kind}, y int, x0 int, x1 int, comp long")
 
 
+def components(px: DataFrame, mask, eight: bool = True) -> DataFrame:
+    """(image, comp, size, x0, y0, x1, y1) of connected regions of a mask."""
+    return component_runs(px, mask, eight).groupBy("image", "comp").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("size"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))

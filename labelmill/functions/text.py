@@ -89,8 +89,17 @@ def wrap_context(text: Column, token: Column) -> Column:
     return F.concat(token, notice, token, F.lit("\n"), text, F.lit("\n"), token)
 
 
-def boundary_token(seed: Column) -> Column:
-    return F.concat(F.lit("CONTEXT-"), F.substring(F.md5(seed.cast("string")), 1, 16))
+def boundary_token(seed: Column, secret: str) -> Column:
+    """A mark that a text can't forge without the secret: take a new one for each run."""
+    return F.concat(F.lit("CONTEXT-"), F.substring(F.sha2(F.concat(F.lit(secret), F.lit("|"), seed.cast("string"), F.lit("|"), F.lit(secret)), 256), 1, 16))
+
+
+def token_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the token counts of two short texts; 0 without tokens."""
+    same = lambda x, y: F.aggregate(F.transform(x, lambda t: F.size(F.filter(y, lambda u: u == t))), F.lit(0), lambda s, n: s + n).cast("double")
+    x, y = tokens(a), tokens(b)
+    norm = F.sqrt(same(x, x)) * F.sqrt(same(y, y))
+    return F.when(norm > 0, same(x, y) / norm).otherwise(0.0)
 
 
 def point_id(namespace: str, key: Column) -> Column:

@@ -95,22 +95,64 @@ def exact_duplicates(candidates: DataFrame) -> DataFrame:
     return first.where("matched < id").select("id", "matched")
 
 
+#: Characters that the lexical bound counts one by one; all others count together.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
 def lexical_pairs(candidates: DataFrame, threshold: float = 0.9, tile: int = 512) -> DataFrame:
-    """(id, matched, ratio) with a difflib ratio of at least the threshold, within blocks.
+    """(id, matched, ratio) of distinct stems with a difflib ratio of at least the threshold, within blocks (subject, topic).
 
-    Lossless bounds come first: equal stems are compared once; lengths must lie within
-    threshold / (2 - threshold), which an equi-join on length bands holds to; then the
-    character-count bound. Only pairs that pass are measured.
+    A stem that repeats is compared once, under its smallest id; exact_duplicates has the rest. Lossless bounds come
+    first: lengths must lie within threshold / (2 - threshold), which an equi-join on length bands holds to; then twice
+    the sum of least character counts must reach the threshold. Only pairs that pass are measured. A band of a block
+    is compared in tiles of about `tile` stems, so that a hot block is many tasks.
     """
     from labelmill.functions.helpers import difflib_ratio
 
-    rows = candidates.select("id", "subject", "topic", normalize(F.col("stem")).alias("s")).where("s <> ''").withColumn("n", F.length("s"))
-    step = 2 / threshold - 1  # longest over shortest
-    band = F.floor(F.log("n") / F.log(F.lit(step))).cast("int")
-    left = rows.withColumn("band", band)
-    right = rows.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).select(F.col("id").alias("other"), "subject", "topic", F.col("s").alias("t"), F.col("n").alias("m"), "band")
-    near = left.join(right, ["subject", "topic", "band"]).where("other < id").where(2 * F.least("n", "m") >= threshold * (F.col("n") + F.col("m")))
-    return near.select("id", F.col("other").alias("matched"), difflib_ratio("s", "t").alias("ratio")).where(F.col("ratio") >= threshold)
+    rows = candidates.select("id", "subject", "topic", normalize(F.col("stem")).alias("s")).where("s <> ''").groupBy("subject", "topic", "s").agg(F.min("id").alias("id")).withColumn("n", F.length("s"))
+    counts = F.array(*[F.col("n") - F.length(F.replace("s", F.lit(c), F.lit(""))) for c in COUNTED])
+    rows = rows.withColumn("c", counts).withColumn("c", F.concat("c", F.array(F.col("n") - F.aggregate("c", F.lit(0), lambda x, y: x + y))))
+    band = F.floor(F.log("n") / F.log(F.lit(2 / threshold - 1))).cast("int")  # longest over shortest
+    rows = rows.withColumn("band", band)
+    many = rows.groupBy("subject", "topic", "band").agg(F.ceil(F.count("*") / float(tile)).cast("int").alias("tiles"))
+    key = [F.col("subject").eqNullSafe(F.col("m_subject")), F.col("topic").eqNullSafe(F.col("m_topic")), F.col("to") == F.col("m_band")]
+    size = many.select(F.col("subject").alias("m_subject"), F.col("topic").alias("m_topic"), F.col("band").alias("m_band"), "tiles")
+    block = F.xxhash64(F.coalesce("subject", F.lit("")), F.coalesce("topic", F.lit("")))
+    right = rows.withColumn("to", F.col("band")).join(size, key).select("id", "s", "n", "c", F.struct(block.alias("block"), F.col("band").alias("to"), F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile")).alias("cell"), "subject", "topic")
+    right = right.select(F.col("id").alias("other"), F.col("s").alias("t"), F.col("n").alias("m"), F.col("c").alias("d"), "cell", F.col("subject").alias("o_subject"), F.col("topic").alias("o_topic"))
+    left = rows.withColumn("to", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).join(size, key).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    left = left.select("id", "s", "n", "c", F.struct(block.alias("block"), "to", "tile").alias("cell"), "subject", "topic")
+    least = F.aggregate(F.zip_with("c", "d", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    near = left.join(right, "cell").where(F.col("subject").eqNullSafe(F.col("o_subject")) & F.col("topic").eqNullSafe(F.col("o_topic")) & (F.col("other") < F.col("id")))
+    near = near.where(2 * F.least("n", "m") >= threshold * (F.col("n") + F.col("m"))).where(2 * least >= threshold * (F.col("n") + F.col("m")))
+    return near.select("id", F.col("other").alias("matched"), difflib_ratio(threshold)("s", "t").alias("ratio")).where(F.col("ratio") >= threshold)
+
+
+def embedding_matches(vectors: DataFrame, low: float, high: float) -> DataFrame:
+    """(id, matched, score, verdict): the nearest earlier vector of the block, from `low` on; duplicate from `high`, else borderline.
+
+    vectors: id, subject, topic, v. Ties: the smaller id.
+    """
+    from labelmill.functions.text import cosine
+
+    other = vectors.select(F.col("id").alias("other"), "subject", "topic", F.col("v").alias("w"))
+    p = vectors.join(other, ["subject", "topic"]).where("other < id").select("id", "other", cosine(F.col("v"), F.col("w")).alias("s"))
+    best = p.groupBy("id").agg(F.max("s").alias("score"), F.max_by("other", F.struct(F.round("s", 9), -F.col("other"))).alias("matched"))
+    return best.where(F.col("score") >= low).select("id", "matched", "score", F.when(F.col("score") >= high, "duplicate").otherwise("borderline").alias("verdict"))
+
+
+def cascade_edges(candidates: DataFrame, vectors: DataFrame, judged: DataFrame, lexical: float = 0.9, low: float = 0.8, high: float = 0.92) -> DataFrame:
+    """(id, matched, level) of alive candidates of a block: equal stems, lexical pairs, embedding matches, and borderline ones that the judge confirms.
+
+    judged: id, duplicate (a judge's answer for the candidate's nearest). A pair stands under its first level. Lexical pairs
+    of a stem hold for all its copies, since those are linked to its first one.
+    """
+    live = candidates.where(alive(F.col("status"), F.col("stem")))
+    near = embedding_matches(live.select("id").join(vectors, "id"), low, high)
+    sure = near.where("verdict = 'duplicate'").select("id", "matched", F.lit(3).alias("level"))
+    told = near.where("verdict = 'borderline'").join(judged.where("duplicate").select("id").distinct(), "id", "left_semi").select("id", "matched", F.lit(4).alias("level"))
+    edges = exact_duplicates(live).select("id", "matched", F.lit(1).alias("level")).union(lexical_pairs(live, lexical).select("id", "matched", F.lit(2).alias("level"))).union(sure).union(told)
+    return edges.groupBy("id", "matched").agg(F.min("level").alias("level"))
 
 
 def first_kept(edges: DataFrame, nodes: DataFrame, checkpoint) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,16 +55,40 @@ def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = 384) -> Data
     return b.join(norm, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
 
 
-def top_k_vectors(queries: DataFrame, chunks: DataFrame, on: list[str], k: int = 8) -> DataFrame:
-    """(query_id, chunk_id, score, rank): nearest chunks by cosine among those equal in `on`.
+def nearest_vectors(queries: DataFrame, chunks: DataFrame, k: int = 8, by: str = "cosine", block: int = 1024, shard: int = 8192) -> DataFrame:
+    """(query_id, chunk_id, value, rank): the k chunks of highest cosine, or least Euclidean distance (by="euclid"), other than the query itself.
 
-    queries: query_id, q, on; chunks: chunk_id, v, on. Norms are computed once on either side.
+    queries: query_id, q; chunks: chunk_id, v, of one length. Query blocks meet shards of all chunks; a task holds one of
+    each and returns k rows a query. Values are compared to nine places, ties go to the smaller chunk_id; a zero vector
+    has cosine 0 with everything.
     """
-    from labelmill.functions.text import cosine  # the exact expression, zero norms included
-
-    pairs = queries.join(chunks, on).select("query_id", "chunk_id", cosine(F.col("q"), F.col("v")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    sizes = queries.agg(F.count("*").alias("n")).crossJoin(chunks.agg(F.count("*").alias("m"))).first()  # one row each
+    blocks, shards = max(1, -(-sizes["n"] // block)), max(1, -(-sizes["m"] // shard))
+    q = queries.select(F.col("query_id").alias("id"), F.col("q").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
+    c = chunks.select(F.col("chunk_id").alias("id"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("s"))
+
+    def meet(key: tuple[Any, ...], asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks) or not len(held):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "value": []}).astype({"query_id": "int64", "chunk_id": "int64", "value": "float64"})
+        x, y, own, ids = np.array(asks["v"].tolist(), float), np.array(held["v"].tolist(), float), asks["id"].to_numpy(), held["id"].to_numpy()
+        if by == "cosine":
+            norm = np.sqrt((x**2).sum(axis=1))[:, None] * np.sqrt((y**2).sum(axis=1))
+            value = (x @ y.T) / np.where(norm > 0, norm, 1)
+        else:
+            value = np.stack([np.sqrt(((y - row) ** 2).sum(axis=1)) for row in x])
+        order = np.round(-value if by == "cosine" else value, 9)
+        order[own[:, None] == ids] = np.inf
+        out = []
+        for i in range(len(x)):
+            best = np.lexsort((ids, order[i]))[:k]
+            best = best[order[i, best] < np.inf]
+            out.append(pd.DataFrame({"query_id": own[i], "chunk_id": ids[best], "value": value[i, best]}))
+        return pd.concat(out)
+
+    found = q.groupBy("b", "s").cogroup(c.groupBy("b", "s")).applyInPandas(meet, "query_id long, chunk_id long, value double")
+    order = F.round("value", 9)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order.desc() if by == "cosine" else order.asc(), "chunk_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def provenance(citations: DataFrame, chunks: DataFrame) -> DataFrame:

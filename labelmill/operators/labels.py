@@ -30,10 +30,9 @@ def box_pixels(ann: DataFrame) -> DataFrame:
     return row.withColumn("x", F.explode(F.sequence("bx", F.col("bx") + F.col("bw") - 1)))
 
 
-def topmost(px: DataFrame, cls: str = "cls", order: tuple[str, ...] = ("z",)) -> DataFrame:
-    """(image, y, x, cls, claims): the class of the claim that is last in order; a grouped maximum, combined before the shuffle."""
-    top = F.max(F.struct(*order, F.col(cls).alias("_c")))
-    return px.groupBy("image", "y", "x").agg(top.alias("t"), F.count("*").alias("claims")).select("image", "y", "x", F.col("t._c").alias("cls"), "claims")
+def topmost(px: DataFrame, cls: str = "cls", order: str = "z") -> DataFrame:
+    """(image, y, x, cls, claims): the class of the claim that is last in order (unique within a pixel); hashed maxima, combined before the shuffle."""
+    return px.groupBy("image", "y", "x").agg(F.max_by(cls, order).alias("cls"), F.count("*").alias("claims"))
 
 
 def box_overlap(ann: DataFrame) -> DataFrame:
@@ -213,16 +212,14 @@ def average_precision(preds: DataFrame, truths: DataFrame, threshold: float) ->
     n = truths.groupBy("cls").agg(F.count("*").alias("n"))
     c = p.withColumn("ctp", F.sum("tp").over(run)).withColumn("rank", F.count("*").over(run)).join(n, "cls")
     c = c.withColumn("recall", F.col("ctp") / F.col("n")).withColumn("precision", F.col("ctp") / F.col("rank"))
-    c = c.withColumn("envelope", F.max("precision").over(Window.partitionBy("cls").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)))
+    c = c.withColumn("envelope", F.max("precision").over(Window.partitionBy("cls").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)))
     step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.partitionBy("cls").orderBy("rank")), F.lit(0.0))
     ap = c.withColumn("part", step * F.col("envelope")).groupBy("cls").agg(F.sum("part").alias("ap"))
     return n.join(ap, "cls", "left").select("cls", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
-def knn_vote(queries: DataFrame, exemplars: DataFrame, distance: Column, k: int = 5) -> DataFrame:
-    """(query_id, label, similarity, share): votes of the k nearest, each 1 / (1e-6 + d). Exemplars: exemplar_id, label."""
-    pairs = queries.join(exemplars, "block").withColumn("d", F.round(distance, 9))
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "exemplar_id"))).where(F.col("rank") <= k)
+def knn_vote(near: DataFrame) -> DataFrame:
+    """(query_id, label, similarity, share): votes of the nearest exemplars (query_id, label, d), each 1 / (1e-6 + d); ties to the smaller label."""
     v = near.groupBy("query_id", "label").agg(F.sum(1 / (1e-6 + F.col("d"))).alias("w"), F.min("d").alias("dmin"))
     tot = v.groupBy("query_id").agg(F.sum("w").alias("total"), F.min("dmin").alias("least"), F.max(F.struct(F.round("w", 9).alias("w"), (-F.col("label")).alias("neg"))).alias("m"))
     return tot.select("query_id", (-F.col("m.neg")).alias("label"), (1 / (1 + F.col("least"))).alias("similarity"), (F.col("m.w") / F.col("total")).alias("share"))

@@ -181,9 +181,35 @@ def bootstrap(units: DataFrame, order: list[str], value: Column, rounds: int = 2
     return draws(units, order[0], rounds, seed).join(placed, "idx").groupBy("iter").agg(value.alias("stat"))
 
 
-def interval(stats: DataFrame, level: float = 0.95) -> DataFrame:
+def interval(stats: DataFrame, sample: DataFrame, level: float = 0.95) -> DataFrame:
+    """(estimate, lo, hi): the statistic of the sample itself (one row, `estimate`) and percentiles of the resampled ones."""
     a = (1 - level) / 2
-    return stats.agg(F.avg("stat").alias("mean"), F.percentile("stat", F.lit(a)).alias("lo"), F.percentile("stat", F.lit(1 - a)).alias("hi"))
+    return sample.select("estimate").crossJoin(stats.agg(F.percentile("stat", F.lit(a)).alias("lo"), F.percentile("stat", F.lit(1 - a)).alias("hi")))  # one row each
+
+
+def bootstrap_interval(units: DataFrame, order: list[str], value: Column, rounds: int = 200, seed: str = "boot", level: float = 0.95) -> DataFrame:
+    """(estimate, lo, hi) of an aggregate expression over units, by resampling them."""
+    return interval(bootstrap(units, order, value, rounds, seed), units.agg(value.alias("estimate")), level)
+
+
+def bootstrap_paired(units: DataFrame, order: list[str], diff: str, rounds: int = 200, seed: str = "boot", level: float = 0.95) -> DataFrame:
+    """(estimate, lo, hi, p, p_centred) of the mean difference: p doubles the smaller share beyond 0; p_centred is the share of means at least as
+    far from the estimate as that is from 0, and 1 / rounds at least."""
+    stats, own = bootstrap(units, order, F.avg(diff), rounds, seed), units.agg(F.avg(diff).alias("estimate"))
+    share = lambda c: F.avg(c.cast("int"))
+    both = stats.crossJoin(F.broadcast(own))  # one row
+    p = both.agg(F.least(F.lit(1.0), 2 * F.least(share(F.col("stat") <= 0), share(F.col("stat") >= 0))).alias("p"), F.greatest(share(F.abs(F.col("stat") - F.col("estimate")) >= F.abs("estimate")), F.lit(1.0 / rounds)).alias("p_centred"))
+    return interval(stats, own, level).crossJoin(p)  # one row each
+
+
+def wilcoxon(pairs: DataFrame) -> DataFrame:
+    """(a, b, n, used, w, ties): pairs, differences other than 0, the smaller rank sum, and the sum of t^3 - t over groups of t equal sizes."""
+    size = pairs.withColumn("size", F.abs("diff"))
+    by = size.where("diff <> 0").groupBy("a", "b", "size").agg(F.count("*").cast("double").alias("t"), F.count_if(F.col("diff") > 0).cast("double").alias("up"))
+    upto = F.sum("t").over(Window.partitionBy("a", "b").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    rank = by.withColumn("rank", upto - (F.col("t") - 1) / 2.0)
+    sums = rank.groupBy("a", "b").agg(F.sum("t").cast("long").alias("used"), F.least(F.sum(F.col("rank") * F.col("up")), F.sum(F.col("rank") * (F.col("t") - F.col("up")))).alias("w"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).join(sums, ["a", "b"], "left").select("a", "b", "n", F.coalesce("used", F.lit(0)).alias("used"), "w", "ties")
 
 
 def holm_bh(df: DataFrame, p: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -193,7 +219,7 @@ def holm_bh(df: DataFrame, p: str, by: tuple[str, ...] = ()) -> DataFrame:
     m, i = F.count("*").over(w), F.row_number().over(w.orderBy(p))
     out = ok.withColumn("_m", m).withColumn("_i", i)
     holm = F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_i") + 1) * F.col(p)).over(w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))
-    bh = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_i")).over(w.orderBy("_i").rowsBetween(0, Window.unboundedFollowing)))
+    bh = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_i")).over(w.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)))
     done = out.withColumn("holm", holm).withColumn("bh", bh).drop("_m", "_i")
     return done.unionByName(df.where(F.col(p).isNull() | F.isnan(p)).withColumn("holm", F.lit(None).cast("double")).withColumn("bh", F.lit(None).cast("double")))
 

@@ -11,20 +11,23 @@ from pyspark.sql.window import Window
 from labelmill.functions import helpers as H
 from labelmill.functions.base import r6
 from labelmill.operators import bank as B
+from labelmill.operators import corpus as C
 from labelmill.operators import labels as L
 from labelmill.operators import splits as SP
 from labelmill.operators import tables as T
 from labelmill.plans.data import PX, RESULTS, pixels, results
 from labelmill.plans.registry import query, table
 from labelmill.plans.stats import rounded
-from labelmill.plans.text import CAND, candidates
+from labelmill.plans.text import candidates
 from labelmill.streaming import jobs as J
 
 
 def scratch(spark, name):
-    """A new folder in the shared checkpoint folder; a local one where none is set."""
+    """A new folder in the shared checkpoint folder; where none is set, a local session gets one of its own and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="labelmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -120,13 +123,12 @@ def _(spark, sf):
 # ---------------------------------------------------------------- selections
 
 
-@query("top_knn_vote", "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS eid, e.label%3 AS label, round(sqrt(list_sum(list_transform(list_zip(q.embedding,e.embedding), lambda t: power(CAST(t[1] AS DOUBLE)-CAST(t[2] AS DOUBLE),2)))),9) AS d FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id%9=0 AND e.vec_id%9<>0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, eid) AS rk FROM p), v AS (SELECT query_id, label, sum(1/(1e-6+d)) AS w, min(d) AS dm FROM r WHERE rk<=5 GROUP BY ALL) SELECT query_id, arg_max(label, struct_pack(w:=round(w,9), n:=-label)) AS label, round(1/(1+min(dm)),6) AS similarity, round(max(w)/sum(w),6) AS share FROM v GROUP BY query_id")
+@query("top_knn_vote", "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS eid, e.label%3 AS label, round(sqrt(list_sum(list_transform(list_zip(q.embedding,e.embedding), lambda t: power(CAST(t[1] AS DOUBLE)-CAST(t[2] AS DOUBLE),2)))),9) AS d FROM embeddings q JOIN embeddings e ON q.vec_id<>e.vec_id WHERE q.vec_id%100=0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, eid) AS rk FROM p), v AS (SELECT query_id, label, sum(1/(1e-6+d)) AS w, min(d) AS dm FROM r WHERE rk<=5 GROUP BY ALL) SELECT query_id, arg_max(label, struct_pack(w:=round(w,9), n:=-label)) AS label, round(1/(1+min(dm)),6) AS similarity, round(max(w)/sum(w),6) AS share FROM v GROUP BY query_id")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("block"))
-    x = e.where("vec_id % 9 <> 0").select(F.col("vec_id").alias("exemplar_id"), F.col("embedding").alias("e"), (F.col("label") % 3).alias("label"), F.col("label").alias("block"))
-    d = F.sqrt(F.aggregate(F.zip_with("q", "e", lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, v: s + v))
-    return rounded(L.knn_vote(q, x, d))
+    q, x = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+    near = C.nearest_vectors(q, x, 5, by="euclid").join(e.select(F.col("vec_id").alias("chunk_id"), (F.col("label") % 3).alias("label")), "chunk_id")
+    return rounded(L.knn_vote(near.select("query_id", "label", F.round("value", 9).alias("d"))))
 
 
 SC = f"{PX}, sc AS (SELECT image*100+y AS image, avg(-(p0*ln(p0)+p1*ln(p1)+p2*ln(p2)+p3*ln(p3))/ln(4)) AS score FROM px GROUP BY ALL)"
@@ -342,15 +344,15 @@ def _(spark, sf):
     return spark.read.parquet(path).where("image % 2 = 0").select("id", "state")
 
 
-@query("src_plain_text", "SELECT count(*) AS files, min(h) AS first, max(h) AS last FROM (SELECT md5(source||':'||doc_id) AS h FROM documents)")
+@query("src_plain_text", r"SELECT count(*) AS lines, min(h) AS first, max(h) AS last FROM (SELECT md5(regexp_replace(text,'[\r\n]',' ','g')) AS h FROM documents WHERE text<>'')")
 def _(spark, sf):
-    """Text files written from the documents' names, read whole and taken apart into lines again."""
+    """Text files written from the documents' texts, one a line, read whole and taken apart into lines again."""
     from labelmill.sources.readers import read_plain_text
 
     path = scratch(spark, "plain")
-    table(spark, sf, "documents").select(F.concat_ws(":", "source", F.col("doc_id").cast("string"))).repartition(3).write.text(path)
+    table(spark, sf, "documents").select(F.regexp_replace("text", r"[\r\n]", " ")).repartition(3).write.text(path)
     lines = read_plain_text(spark, path).select(F.explode(F.split(F.rtrim(F.col("text"), F.lit("\n")), "\n")).alias("line")).where("line <> ''")
-    return lines.agg(F.count("*").alias("files"), F.min(F.md5("line")).alias("first"), F.max(F.md5("line")).alias("last"))
+    return lines.agg(F.count("*").alias("lines"), F.min(F.md5("line")).alias("first"), F.max(F.md5("line")).alias("last"))
 
 
 # ---------------------------------------------------------------- helpers
@@ -361,10 +363,14 @@ def _(spark, sf):
     return rounded(B.lexical_pairs(candidates(spark, sf).where(B.alive(F.col("status"), F.col("stem")))))
 
 
-@query("dedup_cascade", f"""WITH {CAND}, h AS (SELECT id, subject, topic, sha256(regexp_replace(regexp_replace(regexp_replace(lower(stem),'^\\s+|\\s+$','','g'),'[^\\p{{L}}\\p{{N}}_\\s]','','g'),'\\s+',' ','g')) AS h FROM cand), f AS (SELECT id, min(id) OVER (PARTITION BY subject, topic, h) AS first FROM h) SELECT id, id=first AS kept, CASE WHEN first<id THEN first END AS matched FROM f""")
+@query("dedup_cascade")
 def _(spark, sf):
+    """Kept candidates and what each other one repeats, over all four levels; vectors are the embeddings of the same id, a judge confirms even ids."""
     c = candidates(spark, sf)
-    return B.first_kept(cut(B.exact_duplicates(c)), c.select("id"), cut)
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).join(c.select("id", "subject", "topic"), "id")
+    edges = cut(B.cascade_edges(c, vectors, c.select("id", (F.col("id") % 2 == 0).alias("duplicate")), low=0.2, high=0.3))
+    live = c.where(B.alive(F.col("status"), F.col("stem"))).select("id")
+    return B.first_kept(edges, live, cut).join(edges, ["id", "matched"], "left").select("id", "kept", "matched", "level")
 
 
 @query("fn_chunk")
@@ -434,13 +440,14 @@ def _(spark, sf):
 
 @query("agg_small_region_recall")
 def _(spark, sf):
-    """Share of small regions of a class with at least half of their pixels predicted right."""
-    px = pixels(spark, sf)
-    mask = F.col("ref") == 3
-    comp = H.components(px, mask).where("size <= 200")
-    hit = px.where(mask).join(comp.withColumnRenamed("image", "im"), (F.col("image") == F.col("im")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    g = hit.groupBy("image", "comp").agg(F.avg((F.col("pred") == 3).cast("int")).alias("share"))
-    return rounded(g.groupBy("image").agg(F.avg((F.col("share") >= 0.5).cast("int")).alias("recall"), F.count("*").alias("regions")))
+    """Share of the small regions (4-connected, at most 200 pixels) of all classes but 0 with at least half of their pixels predicted right, image by image."""
+    px, found = pixels(spark, sf), None
+    for k in range(1, 6):
+        runs = H.component_runs(px, F.col("ref") == k, eight=False)
+        region = px.select("image", "y", "x", "pred").join(runs, ["image", "y"]).where(F.col("x").between(F.col("x0"), F.col("x1")))  # a pixel lies in one run
+        g = region.groupBy("image", "comp").agg(F.count("*").alias("size"), F.avg((F.col("pred") == k).cast("int")).alias("share")).where("size <= 200")
+        found = g if found is None else found.union(g)
+    return rounded(found.groupBy("image").agg(F.avg((F.col("share") >= 0.5).cast("int")).alias("recall"), F.count("*").alias("regions")))
 
 
 @query("top_region_candidates")
@@ -473,11 +480,11 @@ def _(spark, sf):
 
 @query("agg_wilcoxon_p")
 def _(spark, sf):
-    from labelmill.operators.stats import paired_tests
+    from labelmill.operators.stats import wilcoxon
     from labelmill.plans.stats import pairs
 
-    t = paired_tests(pairs(spark, sf))
-    return rounded(t.select("a", "b", "n", H.wilcoxon_p(F.col("w"), F.col("n")).alias("p")))
+    t = wilcoxon(pairs(spark, sf))
+    return rounded(t.select("a", "b", "n", "used", H.wilcoxon_p("w", "n", "used", "ties").alias("p")))
 
 
 @query("udf_predictor")

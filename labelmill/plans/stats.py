@@ -215,19 +215,19 @@ def units(spark, sf):
     return results(spark, sf).groupBy("image").agg(F.sum("score").alias("s"), F.count("*").alias("n"), F.avg("score").alias("m"))
 
 
-@query("agg_bootstrap", UNITS + f", {DRAW}, t AS (SELECT iter, avg(m) AS stat FROM d JOIN u USING (idx) GROUP BY iter) SELECT round(avg(stat),6) AS mean, round(quantile_cont(stat,0.025),6) AS lo, round(quantile_cont(stat,0.975),6) AS hi FROM t")
+@query("agg_bootstrap", UNITS + f", {DRAW}, t AS (SELECT iter, avg(m) AS stat FROM d JOIN u USING (idx) GROUP BY iter) SELECT round((SELECT avg(m) FROM u),6) AS estimate, round(quantile_cont(stat,0.025),6) AS lo, round(quantile_cont(stat,0.975),6) AS hi FROM t")
 def _(spark, sf):
-    return rounded(S.interval(S.bootstrap(units(spark, sf), ["image"], F.avg("m"))))
+    return rounded(S.bootstrap_interval(units(spark, sf), ["image"], F.avg("m")))
 
 
-@query("agg_bootstrap_grouped", UNITS + f", {DRAW}, t AS (SELECT iter, sum(s)/sum(n) AS stat FROM d JOIN u USING (idx) GROUP BY iter) SELECT round(avg(stat),6) AS mean, round(quantile_cont(stat,0.025),6) AS lo, round(quantile_cont(stat,0.975),6) AS hi FROM t")
+@query("agg_bootstrap_grouped", UNITS + f", {DRAW}, t AS (SELECT iter, sum(s)/sum(n) AS stat FROM d JOIN u USING (idx) GROUP BY iter) SELECT round((SELECT sum(s)/sum(n) FROM u),6) AS estimate, round(quantile_cont(stat,0.025),6) AS lo, round(quantile_cont(stat,0.975),6) AS hi FROM t")
 def _(spark, sf):
-    return rounded(S.interval(S.bootstrap(units(spark, sf), ["image"], F.sum("s") / F.sum("n"))))
+    return rounded(S.bootstrap_interval(units(spark, sf), ["image"], F.sum("s") / F.sum("n")))
 
 
-@query("udaf_stat", UNITS + f", {DRAW}, t AS (SELECT iter, median(m) AS stat FROM d JOIN u USING (idx) GROUP BY iter) SELECT round(avg(stat),6) AS mean, round(quantile_cont(stat,0.025),6) AS lo, round(quantile_cont(stat,0.975),6) AS hi FROM t")
+@query("udaf_stat", UNITS + f", {DRAW}, t AS (SELECT iter, median(m) AS stat FROM d JOIN u USING (idx) GROUP BY iter) SELECT round((SELECT median(m) FROM u),6) AS estimate, round(quantile_cont(stat,0.025),6) AS lo, round(quantile_cont(stat,0.975),6) AS hi FROM t")
 def _(spark, sf):
-    return rounded(S.interval(S.bootstrap(units(spark, sf), ["image"], F.median("m"))))
+    return rounded(S.bootstrap_interval(units(spark, sf), ["image"], F.median("m")))
 
 
 PAIRS = f"WITH {RESULTS}, m AS (SELECT image, method, avg(score) AS v FROM res GROUP BY ALL), pr AS (SELECT l.image, l.method AS a, r.method AS b, l.v-r.v AS diff FROM m l JOIN m r ON l.image=r.image AND l.method<r.method)"
@@ -243,18 +243,17 @@ def _(spark, sf):
 
 
 @query("agg_bootstrap_paired", PAIRS + f""", u AS (SELECT image, diff, row_number() OVER (ORDER BY image) AS idx FROM pr WHERE a='A' AND b='N'), k AS (SELECT count(*) AS units FROM u), {DRAW}, t AS (SELECT iter, avg(diff) AS stat FROM d JOIN u USING (idx) GROUP BY iter)
-SELECT round(avg(stat),6) AS mean, round(quantile_cont(stat,0.025),6) AS lo, round(quantile_cont(stat,0.975),6) AS hi, round(least(1.0,2*least(avg(CAST(stat<=0 AS INTEGER)),avg(CAST(stat>=0 AS INTEGER)))),6) AS p FROM t""")
+SELECT round(e,6) AS estimate, round(quantile_cont(stat,0.025),6) AS lo, round(quantile_cont(stat,0.975),6) AS hi, round(least(1.0,2*least(avg(CAST(stat<=0 AS INTEGER)),avg(CAST(stat>=0 AS INTEGER)))),6) AS p, round(greatest(1/200e0,avg(CAST(abs(stat-e)>=abs(e) AS INTEGER))),6) AS p_centred FROM t, (SELECT avg(diff) AS e FROM u) GROUP BY e""")
 def _(spark, sf):
-    st = S.bootstrap(pairs(spark, sf).where("a = 'A' and b = 'N'"), ["image"], F.avg("diff"))
-    p = st.agg(F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("stat") <= 0).cast("int")), F.avg((F.col("stat") >= 0).cast("int")))).alias("p"))
-    return rounded(S.interval(st).crossJoin(p))
+    return rounded(S.bootstrap_paired(pairs(spark, sf).where("a = 'A' and b = 'N'"), ["image"], "diff"))
 
 
 @query("agg_bootstrap_kappa", f"""WITH {PX}, cell AS (SELECT image, pred AS a, pred3 AS b, count(*) AS n FROM px WHERE pred<>255 AND pred3<>255 GROUP BY ALL), im AS (SELECT image, row_number() OVER (ORDER BY image) AS idx FROM (SELECT DISTINCT image FROM cell)), k AS (SELECT count(*) AS units FROM im),
 d AS (SELECT i AS iter, CAST(('0x'||substr(md5('boot|'||i||'|'||j),1,8)) AS BIGINT) % units + 1 AS idx FROM k, range(100) a(i), range(1,51) b(j) WHERE j <= units),
 c AS (SELECT iter, a, b, CAST(sum(n) AS DOUBLE) AS n FROM d JOIN im USING (idx) JOIN cell USING (image) GROUP BY ALL), tot AS (SELECT iter, sum(n) AS n, sum(CASE WHEN a=b THEN n ELSE 0 END) AS same FROM c GROUP BY iter),
 na AS (SELECT iter, a AS k, sum(n) AS na FROM c GROUP BY ALL), nb AS (SELECT iter, b AS k, sum(n) AS nb FROM c GROUP BY ALL), pe AS (SELECT iter, sum(na*nb) AS ch FROM na JOIN nb USING (iter,k) GROUP BY iter),
-t AS (SELECT (same/n-ch/(n*n))/(1-ch/(n*n)) AS stat FROM tot JOIN pe USING (iter)) SELECT round(avg(stat),6) AS mean, round(quantile_cont(stat,0.025),6) AS lo, round(quantile_cont(stat,0.975),6) AS hi FROM t""")
+t AS (SELECT (same/n-ch/(n*n))/(1-ch/(n*n)) AS stat FROM tot JOIN pe USING (iter)), o AS (SELECT sum(n) AS n, sum(CASE WHEN a=b THEN n ELSE 0 END) AS same FROM cell), oc AS (SELECT sum(CAST(x.n AS DOUBLE)*y.n) AS ch FROM (SELECT a AS k, sum(n) AS n FROM cell GROUP BY a) x JOIN (SELECT b AS k, sum(n) AS n FROM cell GROUP BY b) y USING (k))
+SELECT round((SELECT (same/n-ch/(CAST(n AS DOUBLE)*n))/(1-ch/(CAST(n AS DOUBLE)*n)) FROM o, oc),6) AS estimate, round(quantile_cont(stat,0.025),6) AS lo, round(quantile_cont(stat,0.975),6) AS hi FROM t""")
 def _(spark, sf):
     cell = pixels(spark, sf).where("pred <> 255 and pred3 <> 255").groupBy("image", "pred", "pred3").agg(F.count("*").cast("double").alias("n"))
     im = S.numbered(cell.select("image").distinct(), "image")
@@ -263,7 +262,8 @@ def _(spark, sf):
     pe = side("pred", "na").join(side("pred3", "nb"), ["iter", "k"]).groupBy("iter").agg(F.sum(F.col("na") * F.col("nb")).alias("ch"))
     tot = c.groupBy("iter").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("pred") == F.col("pred3"), F.col("n")).otherwise(0.0)).alias("same"))
     ch = F.col("ch") / (F.col("n") * F.col("n"))
-    return rounded(S.interval(tot.join(pe, "iter").select(((F.col("same") / F.col("n") - ch) / (1 - ch)).alias("stat"))))
+    own = S.cohen_kappa(pixels(spark, sf).where("pred <> 255 and pred3 <> 255"), "pred", "pred3").select(F.col("kappa").alias("estimate"))
+    return rounded(S.interval(tot.join(pe, "iter").select(((F.col("same") / F.col("n") - ch) / (1 - ch)).alias("stat")), own))
 
 
 @query("agg_paired_tests", PAIRS + """, bs AS (SELECT a,b,count(*) AS n, avg(diff) AS md, stddev_samp(diff) AS sd FROM pr GROUP BY ALL), rk AS (SELECT a,b,diff, rank() OVER (PARTITION BY a,b ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY a,b,abs(diff))-1)/2e0 AS r FROM pr WHERE diff<>0),

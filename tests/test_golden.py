@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -118,6 +119,9 @@ def test_rle_round_trip(seed):
 def test_chemistry(spark):
     assert H.formula_counts("H2SO4") == ({"H": 2, "S": 1, "O": 4}, None)
     assert H.formula_counts(r"\ce{SO4^2-}") == ({"S": 1, "O": 4}, None) and H.formula_counts("NH4+") == ({"N": 1, "H": 4}, None)
+    assert H.formula_counts("Al2(SO4)3") == ({"Al": 2, "S": 3, "O": 12}, None) and H.formula_counts("K4(Fe(CN)6)2") == ({"K": 4, "Fe": 2, "C": 12, "N": 12}, None)
+    assert H.formula_counts("H2)O(")[1] == H.formula_counts("((H)")[1] == "unbalanced_parentheses" and H.formula_counts("H2(Xx)q")[1] == "unknown_element" and H.formula_counts("H2 O")[1] == "unrecognized_token"
+    assert [(x["latex"], x["start"]) for x in H.math_segments("a $x$ and $$y $ z$$ \\(p $q$\\)")] == [("x", 2), ("y $ z", 10), ("p $q$", 20)]
     assert H.formula_counts("Ca(OH)2") == ({"Ca": 1, "O": 2, "H": 2}, None)
     assert H.formula_counts("Xx2")[1] == "unknown_element" and H.formula_counts("(H")[1] == "unbalanced_parentheses" and H.formula_counts("h2")[1] == "unrecognized_token"
     eq = spark.createDataFrame([(1, "2H2 + O2 -> 2H2O"), (2, "H2 + O2 -> H2O")], "id int, eq string")
@@ -167,7 +171,100 @@ def test_lexical_pairs_lose_nothing(spark):
     stems = [" ".join(rng.choice(words, rng.integers(3, 9))) for _ in range(60)]
     df = spark.createDataFrame([(i, "s", "t", s) for i, s in enumerate(stems)], "id int, subject string, topic string, stem string")
     want = {(i, j) for i, a in enumerate(stems) for j, b in enumerate(stems[:i]) if difflib.SequenceMatcher(None, a, b).ratio() >= 0.9}
-    assert {(r.id, r.matched) for r in B.lexical_pairs(df).collect()} == want
+    for tile in (512, 3):
+        assert {(r.id, r.matched) for r in B.lexical_pairs(df, tile=tile).collect()} == want
+    twice = df.union(df.withColumn("id", F.col("id") + 100))  # a stem that repeats is compared once
+    assert {(r.id, r.matched) for r in B.lexical_pairs(twice).collect()} == want
+
+
+def test_cascade_by_brute_force(spark):
+    import difflib
+
+    rng = np.random.default_rng(9)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split()
+    rows, vectors = [], {}
+    for i in range(80):
+        stem = " ".join(rng.choice(words, rng.integers(4, 8))) if i < 40 or rng.random() < 0.3 else rows[int(rng.integers(i))][4]
+        if i > 40 and rng.random() < 0.5:
+            stem = stem[:-1] + "xyz"[int(rng.integers(3))]
+        rows.append((i, "s", "tu"[i % 2], "REJECTED" if i % 11 == 10 else "PENDING_REVIEW", stem))
+        vectors[i] = rng.normal(size=3).tolist()
+    df = spark.createDataFrame(rows, "id long, subject string, topic string, status string, stem string")
+    v = spark.createDataFrame([(i, r[1], r[2], vectors[i]) for i, r in enumerate(rows)], "id long, subject string, topic string, v array<double>")
+    judged = df.select("id", (F.col("id") % 2 == 0).alias("duplicate"))
+    edges = spark.createDataFrame(B.cascade_edges(df, v, judged, low=0.97, high=0.99).collect(), "id long, matched long, level int")
+    got = {r.id: (r.kept, r.matched) for r in B.first_kept(edges, df.where(B.alive(F.col("status"), F.col("stem"))).select("id"), lambda d: spark.createDataFrame(d.collect(), d.schema)).collect()}
+    live = [r for r in rows if r[3] != "REJECTED"]
+    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    want, first, chained = {}, {}, False
+    for i, _, topic, _, stem in live:
+        pool = [r for r in live if r[0] < i and r[2] == topic]
+        first.setdefault((topic, stem), i)
+        own = {first[topic, stem]} - {i}
+        if not own:  # a copy stands with the first of its stem; other links hold between first ones
+            own |= {r[0] for r in pool if first[topic, r[4]] == r[0] and difflib.SequenceMatcher(None, r[4], stem).ratio() >= 0.9}
+        if pool:
+            best = max(pool, key=lambda r: (round(cos(vectors[i], vectors[r[0]]), 9), -r[0]))
+            s = cos(vectors[i], vectors[best[0]])
+            own |= {best[0]} if s >= 0.99 or s >= 0.97 and i % 2 == 0 else set()
+        hits = [j for j in own if want[j][0]]
+        chained |= bool(own) and not hits
+        want[i] = (not hits, min(hits, default=None))
+    assert got == want and {r.level for r in edges.collect()} == {1, 2, 3, 4} and chained
+
+
+def test_wilcoxon_p(spark):
+    from labelmill.operators.stats import wilcoxon
+
+    rng = np.random.default_rng(2)
+    cases = {"exact": rng.normal(0.3, 1, 20), "ties": rng.integers(-3, 5, 30).astype(float), "many": rng.normal(0.1, 1, 200), "few": rng.normal(size=5), "zero": np.zeros(9)}
+    df = spark.createDataFrame([(k, "z", float(x)) for k, v in cases.items() for x in v], "a string, b string, diff double")
+    got = {r.a: r.p for r in wilcoxon(df).select("a", H.wilcoxon_p("w", "n", "used", "ties").alias("p")).collect()}
+    assert got["few"] is None and got["zero"] is None
+    for k in ("exact", "ties", "many"):
+        d = cases[k][cases[k] != 0]
+        size = np.abs(d)
+        rank = np.array([(size < x).sum() + ((size == x).sum() + 1) / 2 for x in size])
+        w, n = min(rank[d > 0].sum(), rank[d < 0].sum()), len(d)
+        t = np.unique(size, return_counts=True)[1]
+        z = (w - n * (n + 1) / 4) / np.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (t**3 - t).sum() / 48)
+        want = math.erfc(abs(z) / math.sqrt(2))
+        if k == "exact":  # by counting all signs
+            ways = np.zeros(n * (n + 1) // 2 + 1)
+            ways[0] = 1
+            for r in range(1, n + 1):
+                ways[r:] += ways[:-r].copy()
+            want = min(1, 2 * ways[: int(w) + 1].sum() / 2**n)
+        assert got[k] == pytest.approx(want)
+
+
+def test_small_region_recall(spark):
+    from labelmill.plans import registry
+    from labelmill.plans.data import pixels
+
+    registry.load()
+    sf = "/root/testdata/sf0.001"
+    px = {}
+    for r in pixels(spark, sf).collect():
+        px.setdefault(r.image, {})[r.y, r.x] = (r.ref, r.pred)
+    want = {}
+    for image, p in px.items():
+        seen, hits = set(), []
+        for at, (k, _) in p.items():
+            if at in seen or k not in range(1, 6):
+                continue
+            todo, own = [at], set()
+            while todo:
+                y, x = todo.pop()
+                if (y, x) not in own and p.get((y, x), (None,))[0] == k:
+                    own.add((y, x))
+                    todo += [(y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)]
+            seen |= own
+            if len(own) <= 200:
+                hits.append(sum(p[c][1] == k for c in own) / len(own) >= 0.5)
+        if hits:
+            want[image] = (round(sum(hits) / len(hits), 6), len(hits))
+    assert {r.image: (r.recall, r.regions) for r in registry.QUERIES["agg_small_region_recall"](spark, sf).collect()} == want
 
 
 def test_stokes_identity(spark):
