@@ -20,12 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from labelmill.llm.common import cut, words_lower
 from labelmill.llm.components import components
 
 #: Documents that tell which shingles are common, in how many of them such a one is, and how many are kept.
 SAMPLE, COMMON, MOST = 20_000, 4, 50_000
+#: Rows that a list of rows may have to be broadcast (8 bytes each).
+ASKED = 1_000_000
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -73,7 +76,7 @@ def parts(texts: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Of pairs (a, b) of rows, those whose texts are similar."""
+    """Of pairs (a, b) of rows, those whose texts are similar. Texts that no pair asks for are left where they are, as long as the list of rows is short."""
 
     @F.pandas_udf(T.BooleanType())
     def close(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -84,23 +87,24 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
             out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
         return pd.Series(out, dtype=bool)
 
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "asked")
+    if asked.count() <= ASKED:
+        texts = texts.join(F.broadcast(asked), "row", "left_semi")
     side = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(close("text_a", "text_b")).select("a", "b"), "similar")
 
 
-def links(texts: DataFrame, parts: DataFrame, width: int, least: float, known: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all similar pairs, and no others; parts: row, size, part, distinct sets; texts: row, text; known: edges found so far."""
-    found = cut(components(known, "a", "b"), "known-groups")
-    grouped = lambda df, label: df.join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("component", "row")).drop("component")
-    spread = grouped(parts.select("row", "size", F.explode("part").alias("shingle")), found)
-    hub = spread.groupBy("shingle").agg(F.min(F.struct("row", "size", "label")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = cut(spread.join(hub, "shingle"), "shared")
+def links(texts: DataFrame, parts: DataFrame, width: int, least: float, proposed: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all similar pairs, and no others; parts: row, size, part, distinct sets; texts: row, text; proposed: further pairs worth a look."""
+    spread = parts.select("row", "size", F.explode("part").alias("shingle"))
+    group = Window.partitionBy("shingle")
+    shared = cut(spread.withColumn("n", F.count("*").over(group)).withColumn("hub", F.min(F.struct("row", "size")).over(group)).where("n > 1").drop("n"), "shared")
     close = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
-    apart = (F.col("row") > F.col("hub.row")) & (F.col("label") != F.col("hub.label"))
-    stars = cut(shared.where(apart).where(close(F.col("size"), F.col("hub.size"))).select(F.col("hub.row").alias("a"), F.col("row").alias("b")).distinct(), "stars")
-    first = cut(known.union(similar(stars, texts, width, least)), "first-links")
+    stars = shared.where(F.col("row") > F.col("hub.row")).where(close(F.col("size"), F.col("hub.size"))).select(F.col("hub.row").alias("a"), F.col("row").alias("b"))
+    stars = cut(stars.union(proposed).distinct(), "stars")
+    first = similar(stars, texts, width, least)
     label = cut(components(first, "a", "b"), "star-groups")
-    left = cut(grouped(shared.select("shingle", "row", "size"), label), "shared-labelled")
+    left = cut(shared.select("shingle", "row", "size").join(label.withColumnRenamed("node", "row"), "row", "left").select("shingle", "row", "size", F.coalesce("component", "row").alias("label")), "shared-labelled")
     mixed = left.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
     left = cut(left.join(mixed, "shingle"), "shared-mixed")
     other = left.select("shingle", F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
