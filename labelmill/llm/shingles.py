@@ -40,12 +40,13 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.frombuffer(hashes, np.int64))
 
 
-def first_part(own: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
-    """What any set similar to `own` shares a shingle with, in 40 bits; `common` shingles come last."""
+def first_part(own: np.ndarray, least: float, common: np.ndarray) -> tuple[np.ndarray, bool, int]:
+    """What any set similar to `own` shares a shingle with, in 40 bits, and where it ends in the common order: `common` shingles last, then by value."""
     many = len(own) - math.ceil(least * len(own) - 1e-9) + 1
     at = np.searchsorted(common, own)
     late = common[np.minimum(at, len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
-    return np.concatenate([own[~late], own[late]])[:many] & ((1 << 40) - 1)
+    part = np.concatenate([own[~late], own[late]])[:many]
+    return part & ((1 << 40) - 1), len(part) > (~late).sum(), int(part[-1])
 
 
 def set_print(own: np.ndarray) -> int:
@@ -57,7 +58,7 @@ def set_print(own: np.ndarray) -> int:
 
 
 def parts(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """For texts (row, text): row, key (the set of shingles), size, fp (its SimHash), part (its first part)."""
+    """For texts (row, text): row, key (the set of shingles), size, fp (its SimHash), part (its first part) and where that ends (late, last)."""
     every = max(1, texts.count() // SAMPLE)
 
     def seen(batches):
@@ -70,9 +71,10 @@ def parts(texts: DataFrame, width: int, least: float) -> DataFrame:
     def read(batches):
         for b in batches:
             own = [shingles(x, width) for x in b["text"]]
-            yield pd.DataFrame({"row": b["row"].to_numpy(), "key": [hashlib.md5(x.tobytes()).digest() for x in own], "size": [len(x) for x in own], "fp": [set_print(x) for x in own], "part": [first_part(x, least, common) for x in own]})
+            first = [first_part(x, least, common) for x in own]
+            yield pd.DataFrame({"row": b["row"].to_numpy(), "key": [hashlib.md5(x.tobytes()).digest() for x in own], "size": [len(x) for x in own], "fp": [set_print(x) for x in own], "part": [x for x, _, _ in first], "late": [x for _, x, _ in first], "last": [x for _, _, x in first]})
 
-    return texts.mapInPandas(read, "row long, key binary, size int, fp long, part array<long>")
+    return texts.mapInPandas(read, "row long, key binary, size int, fp long, part array<long>, late boolean, last long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -95,8 +97,12 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
 
 
 def links(texts: DataFrame, parts: DataFrame, width: int, least: float, proposed: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all similar pairs, and no others; parts: row, size, part, distinct sets; texts: row, text; proposed: further pairs worth a look."""
-    spread = parts.select("row", "size", F.explode("part").alias("shingle"))
+    """Edges (a, b) that connect all similar pairs, and no others; parts: row, size, part, late, last, distinct sets; texts: row, text; proposed: further pairs worth a look.
+
+    Of two first parts, the one that ends first has, in its order, no shingle of the other set but those they share: what it
+    does not share is outside the other set, and may be no more than the similarity leaves.
+    """
+    spread = parts.select("row", "size", F.size("part").alias("many"), "late", "last", F.explode("part").alias("shingle"))
     group = Window.partitionBy("shingle")
     shared = cut(spread.withColumn("n", F.count("*").over(group)).withColumn("hub", F.min(F.struct("row", "size")).over(group)).where("n > 1").drop("n"), "shared")
     close = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
@@ -104,10 +110,15 @@ def links(texts: DataFrame, parts: DataFrame, width: int, least: float, proposed
     stars = cut(stars.union(proposed).distinct(), "stars")
     first = similar(stars, texts, width, least)
     label = cut(components(first, "a", "b"), "star-groups")
-    left = cut(shared.select("shingle", "row", "size").join(label.withColumnRenamed("node", "row"), "row", "left").select("shingle", "row", "size", F.coalesce("component", "row").alias("label")), "shared-labelled")
+    left = cut(shared.drop("hub").join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("component", "row")).drop("component"), "shared-labelled")
     mixed = left.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
     left = cut(left.join(mixed, "shingle"), "shared-mixed")
-    other = left.select("shingle", F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    rest = left.join(other, "shingle").where("row < b and label <> label_b").where(close(F.col("size"), F.col("size_b")))
-    rest = cut(rest.select(F.col("row").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    ends = F.struct("size", "many", "late", "last")
+    one, other = left.select("shingle", F.col("row").alias("a"), "label", ends.alias("x")), left.select("shingle", F.col("row").alias("b"), F.col("label").alias("label_b"), ends.alias("y"))
+    rest = one.join(other, "shingle").where("a < b and label <> label_b").where(close(F.col("x.size"), F.col("y.size")))
+    rest = rest.groupBy("a", "b").agg(F.count("*").alias("both"), F.first("x").alias("x"), F.first("y").alias("y"))
+    apart = lambda c: F.col(f"{c}.size") - F.ceil(least / (1 + least) * (F.col("x.size") + F.col("y.size")) - 1e-9)  # noqa: E731  shingles that one may have alone
+    x_ends = F.struct("x.late", "x.last") <= F.struct("y.late", "y.last")
+    rest = rest.where(F.when(x_ends, F.col("x.many") - F.col("both") <= apart("x")).otherwise(F.col("y.many") - F.col("both") <= apart("y")))
+    rest = cut(rest.select("a", "b").join(stars, ["a", "b"], "left_anti"), "rest")
     return first.union(similar(rest, texts, width, least))

@@ -162,9 +162,9 @@ def deduplicated(docs: DataFrame, half: int = 1, width: int = 5, least: float =
     texts = numbered.select(F.col(row).alias("row"), "text")
     parts = cut(shingles.parts(texts, width, least), "parts")
     ids = numbered.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("id"))
-    sets = cut(parts.select("row", "key").join(ids, "row").groupBy("key").agg(F.min("id").alias("id")).select(F.col("id.row").alias("row"), "id"), "sets")
-    once = cut(parts.join(sets.select("row"), "row", "left_semi").select("row", "size", "fp", "part"), "parts-once")
-    anchored = _proposed(once.select("row", "fp"), half, crowd)
+    sets = cut(parts.select("row", "key", "fp").join(ids, "row").groupBy("key").agg(F.min("id").alias("id"), F.first("fp").alias("fp")).select(F.col("id.row").alias("row"), "id", "fp"), "sets")
+    once = parts.join(sets.select("row"), "row", "left_semi").select("row", "size", "part", "late", "last")
+    anchored = _proposed(sets.select("row", "fp"), half, crowd)
     label = components(shingles.links(texts, once, width, least, anchored), "a", "b").withColumnRenamed("node", "row")
     kept = sets.join(label, "row", "left").groupBy(F.coalesce("component", "row").alias("label")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(row))
     return numbered.join(cut(kept, "kept"), row, "left_semi").select(*docs.columns)

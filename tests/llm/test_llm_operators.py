@@ -358,6 +358,33 @@ def test_pipeline_drops_near_copies(spark, odd):
     assert deduplicated(clashing(odd)).columns == clashing(odd).columns and deduplicated(odd.where("false")).count() == 0
 
 
+def test_first_parts_lose_no_pair(monkeypatch, spark):
+    from labelmill.llm.simhash import deduplicated
+
+    rng = np.random.default_rng(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(120):  # texts around a shared passage, near copies that differ in their rare words, and lengths apart
+        own = " ".join(f"r{rng.integers(10**6)}" for _ in range(int(rng.integers(5, 120))))
+        rows.append(f"{own} {passage}" if i % 2 else own)
+        for _ in range(int(rng.integers(0, 3))):
+            words = rows[-1].split()
+            for _ in range(int(rng.integers(0, 6))):
+                words.insert(int(rng.integers(len(words) + 1)), f"n{rng.integers(10**6)}")
+            rows.append(" ".join(words[int(rng.integers(0, 12)) :]))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, rows)]
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for common in (4, 10**6):  # with and without shingles that count as common
+        monkeypatch.setattr("labelmill.llm.shingles.COMMON", common)
+        assert sorted(r.doc_id for r in deduplicated(docs).collect()) == sorted(set(comp))
+
+
 def test_components(spark):
     from labelmill.llm.components import components
 
