@@ -26,7 +26,9 @@ from labelmill.llm.common import cut, words_lower
 from labelmill.llm.components import components
 
 #: Documents that tell which shingles are common, in how many of them such a one is, and how many are kept.
-SAMPLE, COMMON, MOST = 20_000, 4, 50_000
+SAMPLE, COMMON, MOST = 8_000, 4, 50_000
+#: Texts whose shingles a worker holds at a time.
+SLICE = 256
 #: Rows that a list of rows may have to be broadcast (8 bytes each).
 ASKED = 1_000_000
 
@@ -63,13 +65,15 @@ def parts(texts: DataFrame, width: int, least: float) -> DataFrame:
 
     def seen(batches):
         for b in batches:
-            yield pd.DataFrame({"shingle": np.concatenate([shingles(x, width) for x in b["text"]] or [np.zeros(0, np.int64)])})
+            for i in range(0, len(b), SLICE):
+                yield pd.DataFrame({"shingle": np.concatenate([shingles(x, width) for x in b["text"].iloc[i : i + SLICE]])})
 
     sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInPandas(seen, "shingle long")
     common = np.array(sorted(r[0] for r in sample.groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST).collect()), np.int64)
 
     def read(batches):
-        for b in batches:
+        for whole, i in ((b, i) for b in batches for i in range(0, len(b), SLICE)):
+            b = whole.iloc[i : i + SLICE]
             own = [shingles(x, width) for x in b["text"]]
             first = [first_part(x, least, common) for x in own]
             yield pd.DataFrame({"row": b["row"].to_numpy(), "key": [hashlib.md5(x.tobytes()).digest() for x in own], "size": [len(x) for x in own], "fp": [set_print(x) for x in own], "part": [x for x, _, _ in first], "late": [x for _, x, _ in first], "last": [x for _, _, x in first]})

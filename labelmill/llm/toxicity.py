@@ -276,7 +276,10 @@ def score_column(index: Index, text: str = "text", kind: str = "bigint"):
     def score(texts: pd.Series) -> pd.DataFrame:
         key = [hashlib.md5((x or "").encode("utf-8", "replace")).digest() for x in texts]
         once = dict(zip(key, texts, strict=True))  # copies in a batch are scored once
-        found = dict(zip(once, index.scores([terms_of(x) for x in once.values()]), strict=True))
+        found, distinct = {}, list(once)
+        for i in range(0, len(distinct), 64):
+            own = distinct[i : i + 64]
+            found.update(zip(own, index.scores([terms_of(once[k]) for k in own]), strict=True))
         got = [found[k] for k in key]
         return pd.DataFrame({"score": [s for s, _ in got], "neighbours": [[{"doc_id": index.ids[e], "cosine": c, "label": int(index.toxic[e])} for c, e in near] for _, near in got]})
 
