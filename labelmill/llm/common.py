@@ -31,8 +31,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/labelmill/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Workers get 1,000 rows of text at a time, as whole texts may be long; a session that has set its own number keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df in the shared folder and read it again: lineage ends in files that survive a lost executor."""
+    small_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import fraction
+from labelmill.llm.common import fraction, small_batches
 
 DIM = 1 << 16
 #: Rows that the scorer is fitted on, at most.
@@ -145,6 +145,8 @@ def train(rows: list[dict[int, float]], wanted: np.ndarray, rounds: int = 30) ->
 def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """The scorer's weights. Vote patterns are counted over all rows; `sample` bounds the rows that train the scorer."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def vote(texts: pd.Series) -> pd.Series:
         return texts.map(votes, na_action=None)
