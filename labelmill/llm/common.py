@@ -32,10 +32,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Workers get 1,000 rows of text at a time, as whole texts may be long; a session that has set its own number keeps it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, "1000")
+    """Workers get at most 1,000 rows of text, or 8 MB, at a time, as whole texts may be long; a session that has set its own limits keeps them."""
+    of = "spark.sql.execution.arrow."
+    if spark.conf.get(f"{of}maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set(f"{of}maxRecordsPerBatch", "1000")
+    if spark.conf.get(f"{of}maxBytesPerBatch", None) in (None, "64MB", str(64 << 20)):
+        spark.conf.set(f"{of}maxBytesPerBatch", str(8 << 20))
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
