@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelmill.functions.base import all_of, ratio, when_chain
+from labelmill.operators.geometry import self_intersecting
 
 
 def review_queue(ann: DataFrame, **given) -> DataFrame:
@@ -184,14 +185,38 @@ def size_bucket(area: Column) -> Column:
     return when_chain([(area <= 10**k, 10**k) for k in range(1, 10)], 10**10).cast("long")
 
 
-def quality_issues(ann: DataFrame, width: int, height: int, tiny: int) -> DataFrame:
-    """(ann, image, severity, message): one row for each rule that an annotation breaks."""
+def quality_issues(ann: DataFrame, width: int, height: int, tiny: int, classes: DataFrame, files: DataFrame) -> DataFrame:
+    """(ann, image, severity, message): one row for each rule that an annotation breaks; rules of an image have no ann.
+
+    ann: ann, image, cls, bx, bt, bw, bh, status, verified (a rank), points; classes: cls, enabled, required (a rank);
+    files: image. An empty annotation breaks no other rule of geometry; nulls break none but that of the class.
+    """
+    rule = lambda broken, severity, message: F.when(broken, F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message")))
+    empty = F.coalesce((F.col("bw") <= 0) | (F.col("bh") <= 0), F.lit(False))
+    outside = F.exists("points", lambda p: (p["x"] < 0) | (p["y"] < 0) | (p["x"] >= width) | (p["y"] >= height))
     found = F.array(
-        F.when((F.col("bx") < 0) | (F.col("bt") < 0) | (F.col("bx") + F.col("bw") > width) | (F.col("bt") + F.col("bh") > height), F.struct(F.lit("error").alias("severity"), F.lit("outside the image").alias("message"))),
-        F.when(F.col("bw") * F.col("bh") < tiny, F.struct(F.lit("warning").alias("severity"), F.lit("very small").alias("message"))),
-        F.when(F.col("status") == "P", F.struct(F.lit("info").alias("severity"), F.lit("not verified").alias("message"))),
+        rule(empty, "error", "empty"),
+        rule(~empty & ((F.col("bx") < 0) | (F.col("bt") < 0) | (F.col("bx") + F.col("bw") > width) | (F.col("bt") + F.col("bh") > height)), "error", "outside the image"),
+        rule(~empty & outside, "error", "vertex outside the image"),
+        rule(~empty & (F.col("bw") * F.col("bh") < tiny), "warning", "very small"),
+        rule(F.col("enabled").isNull(), "error", "class not defined"),
+        rule(~F.col("enabled"), "info", "class not enabled"),
+        rule(F.col("verified") < F.col("required"), "info", "less verified than its class asks for"),
+        rule(F.col("status") == "P", "info", "not verified"),
     )
-    return ann.select("ann", "image", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("ann", "image", "i.*")
+    own = ann.join(classes, "cls", "left").select("ann", "image", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("ann", "image", "i.*")
+    crossed = ann.join(self_intersecting(ann.where(~empty), "ann"), "ann", "left_semi").select("ann", "image", F.lit("warning").alias("severity"), F.lit("crosses itself").alias("message"))
+    images = ann.select("image").distinct()
+    shared = box_overlap(ann.where(~empty)).join(ann.select(F.col("ann").alias("a"), "image"), "a").select("image").distinct()
+    of_image = lambda d, severity, message: d.select(F.lit(None).cast(ann.schema["ann"].dataType).alias("ann"), "image", F.lit(severity).alias("severity"), F.lit(message).alias("message"))
+    return own.union(crossed).union(of_image(shared, "warning", "pixels claimed by several")).union(of_image(images.join(files, "image", "left_anti"), "error", "file not found"))
+
+
+def perimeters(pixels: DataFrame, *by: str) -> DataFrame:
+    """(*by, perimeter): pixel sides between a region and what is not of it; a side that two pixels of a region share counts for none. One grouping, no join."""
+    side = lambda d, y, x: F.struct(F.lit(d).alias("d"), (F.col("y") + y).alias("y"), (F.col("x") + x).alias("x"))
+    sides = pixels.select(*by, F.explode(F.array(side(0, 0, 0), side(0, 1, 0), side(1, 0, 0), side(1, 0, 1))).alias("s")).select(*by, "s.*")
+    return sides.groupBy(*by, "d", "y", "x").agg(F.count("*").alias("n")).where("n = 1").groupBy(*by).agg(F.count("*").alias("perimeter"))
 
 
 def average_precision(preds: DataFrame, truths: DataFrame, threshold: float) -> DataFrame:

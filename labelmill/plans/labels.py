@@ -125,9 +125,28 @@ def _(spark, sf):
     return annotations(spark, sf).groupBy(L.size_bucket(F.col("bw") * F.col("bh")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("agg_quality_issues", f"WITH {ANN} SELECT ann, image, 'error' AS severity, 'outside the image' AS message FROM ann WHERE bx+bw>210 OR bt+bh>230 UNION ALL SELECT ann, image, 'warning','very small' FROM ann WHERE bw*bh<30 UNION ALL SELECT ann, image, 'info','not verified' FROM ann WHERE status='P'")
+def ring(*points):
+    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in points])
+
+
+def outlines(a):
+    """Annotations with points: the corners of the box, in an order that crosses itself where ann divides by 3."""
+    x0, y0, x1, y1 = F.col("bx"), F.col("bt"), F.col("bx") + F.col("bw"), F.col("bt") + F.col("bh")
+    return a.withColumn("points", F.when(F.col("ann") % 3 == 0, ring((x0, y0), (x1, y1), (x1, y0), (x0, y1))).otherwise(ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
+
+
+@query("agg_quality_issues", f"""WITH {ANN}, a AS (SELECT ann, image, cls, bx, bt, CASE WHEN ann%46=0 THEN 0 ELSE bw END AS bw, bh, status, CASE status WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS verified FROM ann), c(cls, enabled, required) AS (VALUES (1,TRUE,2),(2,TRUE,1),(3,FALSE,1),(4,TRUE,0)), s AS (SELECT * FROM a WHERE bw>0)
+SELECT ann, image, 'error' AS severity, 'empty' AS message FROM a WHERE bw=0 UNION ALL SELECT ann, image, 'error', 'outside the image' FROM s WHERE bx+bw>210 OR bt+bh>230 UNION ALL SELECT ann, image, 'error', 'vertex outside the image' FROM s WHERE bx+bw>=210 OR bt+bh>=230 UNION ALL SELECT ann, image, 'warning', 'very small' FROM s WHERE bw*bh<30
+UNION ALL SELECT ann, image, 'error', 'class not defined' FROM a WHERE cls NOT IN (SELECT cls FROM c) UNION ALL SELECT ann, image, 'info', 'class not enabled' FROM a JOIN c USING (cls) WHERE NOT enabled UNION ALL SELECT ann, image, 'info', 'less verified than its class asks for' FROM a JOIN c USING (cls) WHERE verified<required UNION ALL SELECT ann, image, 'info', 'not verified' FROM a WHERE status='P'
+UNION ALL SELECT ann, image, 'warning', 'crosses itself' FROM s WHERE ann%3=0
+UNION ALL SELECT DISTINCT NULL, p.image, 'warning', 'pixels claimed by several' FROM s p JOIN s q ON p.image=q.image AND p.ann<q.ann AND least(p.bx+p.bw,q.bx+q.bw)>greatest(p.bx,q.bx) AND least(p.bt+p.bh,q.bt+q.bh)>greatest(p.bt,q.bt)
+UNION ALL SELECT DISTINCT NULL, image, 'error', 'file not found' FROM a WHERE image NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal>=0)""")
 def _(spark, sf):
-    return L.quality_issues(annotations(spark, sf), 210, 230, 30)
+    """Classes 1 to 4 are defined, 3 is not enabled; boxes divisible by 46 are emptied; files are those of customers whose balance isn't negative."""
+    a = annotations(spark, sf).withColumn("bw", F.when(F.col("ann") % 46 == 0, 0).otherwise(F.col("bw"))).withColumn("verified", F.when(F.col("status") == "F", 2).when(F.col("status") == "O", 1).otherwise(0))
+    classes = spark.createDataFrame([(1, True, 2), (2, True, 1), (3, False, 1), (4, True, 0)], "cls int, enabled boolean, required int")
+    files = table(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("image"))
+    return L.quality_issues(outlines(a), 210, 230, 30, classes, files)
 
 
 @query("agg_efficiency", "WITH m AS (SELECT user_id, event_type, TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE) AS k FROM events) SELECT user_id, round(sum(k),6) AS seconds, round(avg(k),6) AS mean_seconds, count_if(event_type='click') AS interactions FROM m GROUP BY user_id")
@@ -290,9 +309,12 @@ def _(spark, sf):
     return rounded(g.groupBy("image").agg(F.avg((F.col("d") > 1).cast("int")).alias("disputed")))
 
 
-@query("agg_region_stats", f"WITH {PX} SELECT image, ref AS region, count(*) AS area, round(avg(v),6) AS mean, round(median(v),6) AS median, round(stddev_pop(v),6) AS sd, round(min(v),6) AS least, round(max(v),6) AS most FROM px GROUP BY ALL")
+@query("agg_region_stats", f"""WITH {PX}, e AS (SELECT image, ref, unnest([{{'d':0,'y':y,'x':x}},{{'d':0,'y':y+1,'x':x}},{{'d':1,'y':y,'x':x}},{{'d':1,'y':y,'x':x+1}}]) AS e FROM px), p AS (SELECT image, ref, count(*) AS perimeter FROM (SELECT image, ref, e FROM e GROUP BY ALL HAVING count(*)=1) GROUP BY ALL), g AS (SELECT image, ref, count(*) AS area, round(avg(v),6) AS mean, round(median(v),6) AS median, round(stddev_pop(v),6) AS sd, round(min(v),6) AS least, round(max(v),6) AS most FROM px GROUP BY ALL)
+SELECT image, ref AS region, area, mean, median, sd, least, most, perimeter, round(4*pi()*area/(CAST(perimeter AS DOUBLE)*perimeter),6) AS circularity, round(CAST(perimeter AS DOUBLE)*perimeter/area,6) AS compactness FROM g JOIN p USING (image, ref)""")
 def _(spark, sf):
-    return rounded(pixels(spark, sf).groupBy("image", F.col("ref").alias("region")).agg(F.count("*").alias("area"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_pop("v").alias("sd"), F.min("v").alias("least"), F.max("v").alias("most")))
+    px, p = pixels(spark, sf).withColumnRenamed("ref", "region"), F.col("perimeter").cast("double")
+    g = px.groupBy("image", "region").agg(F.count("*").alias("area"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_pop("v").alias("sd"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return rounded(g.join(L.perimeters(px, "image", "region"), ["image", "region"]).withColumns({"circularity": 4 * F.pi() * F.col("area") / (p * p), "compactness": p * p / F.col("area")}))
 
 
 @query("agg_region_hist", f"WITH {PX} SELECT ref AS region, CAST(least(19,greatest(0,floor((v+0.6e0)/1.2e0*20))) AS INTEGER) AS bin, count(*) AS n FROM px GROUP BY ALL")
@@ -396,24 +418,22 @@ def _(spark, sf):
     return rounded(g.join(sides, "image"))
 
 
-@query("fn_polygon", f"WITH {ANN} SELECT ann, CAST(bw*bh AS DOUBLE) AS area, CAST(2*(bw+bh) AS DOUBLE) AS perimeter FROM ann")
+@query("fn_polygon", f"WITH {ANN}, h AS (SELECT *, CASE WHEN bw>=6 AND bh>=6 THEN 1 ELSE 0 END AS hole FROM ann) SELECT ann, CAST(bw*bh-hole*(bw-4)*(bh-4) AS DOUBLE) AS area, CAST(2*(bw+bh)+hole*2*(bw+bh-8) AS DOUBLE) AS perimeter, CAST(bx AS DOUBLE) AS x0, CAST(bt AS DOUBLE) AS y0, CAST(bx+bw AS DOUBLE) AS x1, CAST(bt+bh AS DOUBLE) AS y1 FROM h")
 def _(spark, sf):
-    x1, y1 = F.col("bx") + F.col("bw"), F.col("bt") + F.col("bh")
-    ring = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((F.col("bx"), F.col("bt")), (x1, F.col("bt")), (x1, y1), (F.col("bx"), y1))])
-    nxt = F.concat(F.slice(ring, 2, 3), F.slice(ring, 1, 1))
-    add = lambda f: F.aggregate(F.zip_with(ring, nxt, f), F.lit(0.0), lambda s, v: s + v)
-    return annotations(spark, sf).select("ann", (F.abs(add(lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2).alias("area"), add(lambda p, q: F.hypot(q["x"] - p["x"], q["y"] - p["y"])).alias("perimeter"))
+    """Boxes of six or more a side have a hole two within their sides."""
+    from labelmill.operators.geometry import polygon_measures
+
+    box = lambda n: ring(*[(F.col("bx") + a, F.col("bt") + b) for a, b in ((F.lit(n), F.lit(n)), (F.col("bw") - n, F.lit(n)), (F.col("bw") - n, F.col("bh") - n), (F.lit(n), F.col("bh") - n))])
+    holes = F.when((F.col("bw") >= 6) & (F.col("bh") >= 6), F.array(box(2))).otherwise(F.slice(F.array(box(2)), 1, 0))
+    a = annotations(spark, sf).select("ann", box(0).alias("outer"), holes.alias("holes"))
+    return a.select("ann", *[c.alias(k) for k, c in polygon_measures(F.col("outer"), F.col("holes")).items()])
 
 
 @query("jn_self_intersect", f"WITH {ANN} SELECT ann, TRUE AS crossed FROM ann WHERE ann%3=0 AND bw>0")
 def _(spark, sf):
     from labelmill.operators.geometry import self_intersecting
 
-    a = annotations(spark, sf)
-    x0, y0, x1, y1 = F.col("bx"), F.col("bt"), F.col("bx") + F.col("bw"), F.col("bt") + F.col("bh")
-    square, bow = ((x0, y0), (x1, y0), (x1, y1), (x0, y1)), ((x0, y0), (x1, y1), (x1, y0), (x0, y1))
-    ring = lambda pts: F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in pts])
-    return self_intersecting(a.select("ann", F.when(F.col("ann") % 3 == 0, ring(bow)).otherwise(ring(square)).alias("points")), "ann").select("ann", F.lit(True).alias("crossed"))
+    return self_intersecting(outlines(annotations(spark, sf)).select("ann", "points"), "ann").select("ann", F.lit(True).alias("crossed"))
 
 
 # ---------------------------------------------------------------- colours
