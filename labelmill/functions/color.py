@@ -86,3 +86,21 @@ def chroma(a: Column, b: Column) -> Column:
 def hue_circle(h: Column) -> tuple[Column, Column]:
     """sin and cos of a hue in turns."""
     return F.sin(2 * math.pi * h), F.cos(2 * math.pi * h)
+
+
+def perturbations(r: Column, g: Column, b: Column, x: Column, y: Column, width: int, height: int, key: Column, sigma: float = 6.0) -> dict[str, tuple[Column, Column, Column]]:
+    """Changes of acquisition by name, unclipped: brightness, dark, white_balance, gamma, shadow (darker to the left), specular (a spot at a third), noise (normal, by hashes of key)."""
+    each = lambda f: tuple(map(f, (r, g, b)))
+    unit = lambda i: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{i} "), key)), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296
+    shade = 0.6 + 0.4 * x / float(max(width - 1, 1))
+    spot = 120 * F.exp(-(F.pow(y - height / 3, F.lit(2)) + F.pow(x - width / 3, F.lit(2))) / (2 * (0.08 * max(width, height)) ** 2))
+    noise = sigma * F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.pi() * unit(2))
+    return {
+        "brightness": each(lambda c: c * 1.25),
+        "dark": each(lambda c: c * 0.75),
+        "white_balance": (r * 1.08, g * 1.0, b * 0.9),
+        "gamma": each(lambda c: 255 * F.pow(c / 255.0, F.lit(1.3))),
+        "shadow": each(lambda c: c * shade),
+        "specular": each(lambda c: c + spot),
+        "noise": each(lambda c: c + noise),
+    }

@@ -173,14 +173,17 @@ def _(spark, sf):
     return coco_annotations(annotations(spark, sf), skip=(0, 255, 5))
 
 
-@query("snk_yolo", f"""WITH {ANN}, l AS (SELECT image, ann, (cls-1)||' '||printf('%.6f',(bx+0.5e0)/256)||' '||printf('%.6f',(bt+0.5e0)/256)||' '||printf('%.6f',(bx+bw+0.5e0)/256)||' '||printf('%.6f',(bt+0.5e0)/256)||' '||printf('%.6f',(bx+bw+0.5e0)/256)||' '||printf('%.6f',(bt+bh+0.5e0)/256)||' '||printf('%.6f',(bx+0.5e0)/256)||' '||printf('%.6f',(bt+bh+0.5e0)/256) AS line FROM ann) SELECT image, md5(string_agg(line, chr(10) ORDER BY ann)) AS h FROM l GROUP BY image""")
+@query("snk_yolo", f"""WITH {ANN}, l AS (SELECT image, ann, (cls-1)||' '||printf('%.6f',(bx+0.5e0)/256)||' '||printf('%.6f',(bt+0.5e0)/256)||' '||printf('%.6f',(bx+bw+0.5e0)/256)||' '||printf('%.6f',(bt+0.5e0)/256)||' '||printf('%.6f',(bx+bw+0.5e0)/256)||' '||printf('%.6f',(bt+bh+0.5e0)/256)||' '||printf('%.6f',(bx+0.5e0)/256)||' '||printf('%.6f',(bt+bh+0.5e0)/256) AS line FROM ann), p AS (SELECT 'fill' AS policy, * FROM l UNION ALL SELECT 'skip', * FROM l WHERE ann%4<>0) SELECT policy, image, md5(string_agg(line, chr(10) ORDER BY ann)) AS h FROM p GROUP BY policy, image""")
 def _(spark, sf):
+    """Under both policies of holes; every fourth annotation has one."""
     from labelmill.sources.exports import yolo_files
 
     a = annotations(spark, sf)
     x1, y1 = F.col("bx") + F.col("bw"), F.col("bt") + F.col("bh")
     pts = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.col("bx"), F.col("bt")), (x1, F.col("bt")), (x1, y1), (F.col("bx"), y1))])
-    return yolo_files(a.withColumn("points", pts).withColumn("index", F.col("cls") - 1), 256, 256).select("image", F.md5("text").alias("h"))
+    a = a.withColumns({"points": pts, "index": F.col("cls") - 1, "n_holes": (F.col("ann") % 4 == 0).cast("int")})
+    files = [yolo_files(a, 256, 256, p).select(F.lit(p).alias("policy"), "image", F.md5("text").alias("h")) for p in ("fill", "skip")]
+    return files[0].union(files[1])
 
 
 @query("chk_export", f"WITH {PX} SELECT count_if(pred<>pred3) AS missing, count_if(pred<>pred3) AS unexpected FROM px")
@@ -571,10 +574,18 @@ def _(spark, sf):
     return c.join(m, "label").select("ok", "ln", out("r", "mr"), out("g", "mg"))
 
 
-@query("fn_perturb", f"WITH {COLOURS} SELECT ok, ln, CAST(floor(least(255,r*1.25e0)) AS INTEGER) AS bright, CAST(floor(r*0.75e0) AS INTEGER) AS dark, CAST(floor(255*power(r/255e0,1.3e0)+1e-9) AS INTEGER) AS gamma FROM col")
+NOISE = "(CAST('0x'||substr(md5('{i} '||ok||' '||ln),1,8) AS BIGINT)+0.5e0)/4294967296"
+
+
+@query("fn_perturb", f"""WITH {COLOURS}, p AS (SELECT *, ok%100 AS x, ln*10 AS y, {NOISE.format(i=1)} AS u, {NOISE.format(i=2)} AS w FROM col), v AS (SELECT ok, ln, 'brightness' AS kind, r*1.25e0 AS r, g*1.25e0 AS g, b*1.25e0 AS b FROM p UNION ALL SELECT ok, ln, 'dark', r*0.75e0, g*0.75e0, b*0.75e0 FROM p UNION ALL SELECT ok, ln, 'white_balance', r*1.08e0, g*1e0, b*0.9e0 FROM p
+UNION ALL SELECT ok, ln, 'gamma', 255*power(r/255e0,1.3e0), 255*power(g/255e0,1.3e0), 255*power(b/255e0,1.3e0) FROM p UNION ALL SELECT ok, ln, 'shadow', r*k, g*k, b*k FROM (SELECT *, 0.6e0+0.4e0*x/99e0 AS k FROM p) UNION ALL SELECT ok, ln, 'specular', r+k, g+k, b+k FROM (SELECT *, 120*exp(-(power(y-80/3e0,2)+power(x-100/3e0,2))/128e0) AS k FROM p) UNION ALL SELECT ok, ln, 'noise', r+k, g+k, b+k FROM (SELECT *, 6*sqrt(-2*ln(u))*cos(2*pi()*w) AS k FROM p))
+SELECT ok, ln, kind, CAST(floor(least(255,greatest(0,r+1e-9))) AS INTEGER) AS r, CAST(floor(least(255,greatest(0,g+1e-9))) AS INTEGER) AS g, CAST(floor(least(255,greatest(0,b+1e-9))) AS INTEGER) AS b FROM v""")
 def _(spark, sf):
-    r = F.col("r")
-    return colours(spark, sf).select("ok", "ln", F.floor(F.least(F.lit(255.0), r * 1.25)).cast("int").alias("bright"), F.floor(r * 0.75).cast("int").alias("dark"), F.floor(255 * F.pow(r / 255.0, F.lit(1.3)) + 1e-9).cast("int").alias("gamma"))
+    """Seven changes of a picture; observations stand on a picture of 100 x 80, noise is normal by hashes of the id."""
+    c = colours(spark, sf).withColumns({"x": F.col("ok") % 100, "y": F.col("ln") * 10})
+    changed = K.perturbations(*[F.col(k) for k in "rgbxy"], 100, 80, F.concat_ws(" ", "ok", "ln"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), *[F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), v + 1e-9))).cast("int").alias(n) for n, v in zip("rgb", rgb, strict=True)]) for k, rgb in changed.items()])
+    return c.select("ok", "ln", F.explode(kinds).alias("k")).select("ok", "ln", "k.*")
 
 
 @query("set_union_protos", f"WITH {COLOURS}, p AS (SELECT label, avg(r) AS r FROM col GROUP BY label UNION ALL SELECT label, min(r) FROM col GROUP BY label UNION ALL SELECT label, NULL FROM col GROUP BY label) SELECT label, round(r,6) AS r FROM p WHERE r IS NOT NULL")
@@ -592,15 +603,17 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- polarization
 
-STACK = "st AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)+1 AS i{i}" for i in range(8)) + " FROM embeddings)"
+STACK = "st AS (SELECT vec_id, label, run, " + ", ".join(f"CAST(embedding[8*run+{i + 1}] AS DOUBLE)+1 AS i{i}" for i in range(8)) + " FROM (SELECT vec_id, label, embedding, CAST(unnest(range(len(embedding)//8)) AS INTEGER) AS run FROM embeddings))"
 
 
 def stack(spark, sf):
-    """Eight analyzer angles (0, 22.5, ...) from the first components, shifted to be positive."""
-    return table(spark, sf, "embeddings").select("vec_id", "label", *[(F.col("embedding")[i].cast("double") + 1).alias(f"i{i}") for i in range(8)])
+    """Eight analyzer angles (0, 22.5, ...) from each run of eight components, shifted to be positive."""
+    runs = F.filter(F.sequence(F.lit(0), F.floor(F.size("embedding") / 8).cast("int")), lambda k: 8 * k + 8 <= F.size("embedding"))
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding", F.explode(runs).alias("run"))
+    return e.select("vec_id", "label", "run", *[(F.get("embedding", 8 * F.col("run") + i).cast("double") + 1).alias(f"i{i}") for i in range(8)])
 
 
-ST4 = f"WITH {STACK}, s AS (SELECT vec_id, label, (i0+i2+i4+i6)/2 AS s0, i0-i4 AS s1, i2-i6 AS s2 FROM st)"
+ST4 = f"WITH {STACK}, s AS (SELECT vec_id, label, run, (i0+i2+i4+i6)/2 AS s0, i0-i4 AS s1, i2-i6 AS s2 FROM st)"
 
 
 def four(spark, sf):
@@ -608,40 +621,40 @@ def four(spark, sf):
     return stack(spark, sf).select("*", *[c.alias(f"s{k}") for k, c in enumerate(s)])
 
 
-@query("fn_stokes", ST4 + ", f AS (SELECT vec_id, s0, s1, s2, " + ", ".join(f"{n} AS {a}" for n, a in (("2*(" + "+".join(f"i{i}" for i in range(8)) + ")/8", "f0"), ("2*(" + "+".join(f"i{i}*cos(radians({i * 45}e0))" for i in range(8)) + ")/4", "f1"), ("2*(" + "+".join(f"i{i}*sin(radians({i * 45}e0))" for i in range(8)) + ")/4", "f2"))) + " FROM s JOIN st USING (vec_id, label)) SELECT vec_id, round(s0,6) AS s0, round(s1,6) AS s1, round(s2,6) AS s2, round(f0,6) AS f0, round(f1,6) AS f1, round(f2,6) AS f2 FROM f")
+@query("fn_stokes", ST4 + ", f AS (SELECT vec_id, run, s0, s1, s2, " + ", ".join(f"{n} AS {a}" for n, a in (("2*(" + "+".join(f"i{i}" for i in range(8)) + ")/8", "f0"), ("2*(" + "+".join(f"i{i}*cos(radians({i * 45}e0))" for i in range(8)) + ")/4", "f1"), ("2*(" + "+".join(f"i{i}*sin(radians({i * 45}e0))" for i in range(8)) + ")/4", "f2"))) + " FROM s JOIN st USING (vec_id, label, run)) SELECT vec_id, run, round(s0,6) AS s0, round(s1,6) AS s1, round(s2,6) AS s2, round(f0,6) AS f0, round(f1,6) AS f1, round(f2,6) AS f2 FROM f")
 def _(spark, sf):
     fit = P.stokes_fit([F.col(f"i{i}") for i in range(8)], [22.5 * i for i in range(8)])
-    return rounded(four(spark, sf).select("vec_id", "s0", "s1", "s2", *[c.alias(f"f{k}") for k, c in enumerate(fit)]))
+    return rounded(four(spark, sf).select("vec_id", "run", "s0", "s1", "s2", *[c.alias(f"f{k}") for k, c in enumerate(fit)]))
 
 
-@query("fn_dolp_aolp", ST4 + " SELECT vec_id, round(least(1,greatest(0,sqrt(s1*s1+s2*s2)/greatest(s0,1e-8))),6) AS dolp, round(0.5e0*atan2(s2,s1),6) AS aolp, s1*s1+s2*s2<=s0*s0 AS physical FROM s")
+@query("fn_dolp_aolp", ST4 + " SELECT vec_id, run, round(least(1,greatest(0,sqrt(s1*s1+s2*s2)/greatest(s0,1e-8))),6) AS dolp, round(0.5e0*atan2(s2,s1),6) AS aolp, s1*s1+s2*s2<=s0*s0 AS physical FROM s")
 def _(spark, sf):
     s0, s1, s2 = (F.col(f"s{k}") for k in range(3))
-    return four(spark, sf).select("vec_id", r6(P.dolp(s0, s1, s2), "dolp"), r6(P.aolp(s1, s2), "aolp"), (s1 * s1 + s2 * s2 <= s0 * s0).alias("physical"))
+    return four(spark, sf).select("vec_id", "run", r6(P.dolp(s0, s1, s2), "dolp"), r6(P.aolp(s1, s2), "aolp"), (s1 * s1 + s2 * s2 <= s0 * s0).alias("physical"))
 
 
-@query("fn_analyzer", ST4 + " SELECT vec_id, CAST(a AS INTEGER) AS angle, round(0.5e0*((0.9e0+0.01e0)*s0+(0.9e0-0.01e0)*(s1*cos(2*radians(a))+s2*sin(2*radians(a)))),6) AS i FROM s, range(0,180,45) t(a)")
+@query("fn_analyzer", ST4 + " SELECT vec_id, run, CAST(a AS INTEGER) AS angle, round(0.5e0*((0.9e0+0.01e0)*s0+(0.9e0-0.01e0)*(s1*cos(2*radians(a))+s2*sin(2*radians(a)))),6) AS i FROM s, range(0,180,45) t(a)")
 def _(spark, sf):
     s = four(spark, sf).withColumn("angle", F.explode(F.array(*[F.lit(a) for a in (0, 45, 90, 135)])))
-    return rounded(s.select("vec_id", "angle", P.analyzer(F.col("s0"), F.col("s1"), F.col("s2"), F.col("angle").cast("double"), 0.9, 0.01).alias("i")))
+    return rounded(s.select("vec_id", "run", "angle", P.analyzer(F.col("s0"), F.col("s1"), F.col("s2"), F.col("angle").cast("double"), 0.9, 0.01).alias("i")))
 
 
-@query("fn_dark_flat", f"WITH {STACK}, fl AS (SELECT label, avg(i1) AS flat FROM st GROUP BY label), m AS (SELECT avg(flat) AS m FROM fl) SELECT vec_id, round(greatest(0,(i0-0.1e0)/greatest(0.2e0,flat/m)),6) AS i FROM st JOIN fl USING (label), m")
+@query("fn_dark_flat", f"WITH {STACK}, fl AS (SELECT label, avg(i1) AS flat FROM st GROUP BY label), m AS (SELECT avg(flat) AS m FROM fl) SELECT vec_id, run, round(greatest(0,(i0-0.1e0)/greatest(0.2e0,flat/m)),6) AS i FROM st JOIN fl USING (label), m")
 def _(spark, sf):
     s = stack(spark, sf)
     flat = s.groupBy("label").agg(F.avg("i1").alias("flat"))
     m = flat.agg(F.avg("flat").alias("m"))
-    return rounded(s.join(flat, "label").crossJoin(F.broadcast(m)).select("vec_id", F.greatest(F.lit(0.0), (F.col("i0") - 0.1) / F.greatest(F.lit(0.2), F.col("flat") / F.col("m"))).alias("i")))
+    return rounded(s.join(flat, "label").crossJoin(F.broadcast(m)).select("vec_id", "run", F.greatest(F.lit(0.0), (F.col("i0") - 0.1) / F.greatest(F.lit(0.2), F.col("flat") / F.col("m"))).alias("i")))
 
 
 HARM = ", ".join(f"({'+'.join(f'i{i}*{f}(radians({2 * k * 22.5 * i}e0))' for i in range(8))})/4 AS {f[0]}{k}" for k in (1, 2) for f in ("cos", "sin"))
 
 
-@query("fn_psrf", f"WITH {STACK}, h AS (SELECT vec_id, (" + "+".join(f"i{i}" for i in range(8)) + f")/8 AS c0, {HARM} FROM st) SELECT vec_id, round(sqrt(c1*c1+s1*s1)/c0,6) AS dolp, round((c2*c2+s2*s2)/(c1*c1+s1*s1+c2*c2+s2*s2),6) AS order2_energy FROM h")
+@query("fn_psrf", f"WITH {STACK}, h AS (SELECT vec_id, run, (" + "+".join(f"i{i}" for i in range(8)) + f")/8 AS c0, {HARM} FROM st) SELECT vec_id, run, round(sqrt(c1*c1+s1*s1)/c0,6) AS dolp, round((c2*c2+s2*s2)/(c1*c1+s1*s1+c2*c2+s2*s2),6) AS order2_energy FROM h")
 def _(spark, sf):
     c0, c1, s1, c2, s2 = P.fit([F.col(f"i{i}") for i in range(8)], P.harmonic_weights([22.5 * i for i in range(8)], 2))
     e1, e2 = c1 * c1 + s1 * s1, c2 * c2 + s2 * s2
-    return rounded(stack(spark, sf).select("vec_id", (F.sqrt(e1) / c0).alias("dolp"), (e2 / (e1 + e2)).alias("order2_energy")))
+    return rounded(stack(spark, sf).select("vec_id", "run", (F.sqrt(e1) / c0).alias("dolp"), (e2 / (e1 + e2)).alias("order2_energy")))
 
 
 @query("top_psrf_order")
@@ -656,14 +669,14 @@ def _(spark, sf):
         c = P.fit([F.col(f"i{i}") for i in fit_on], P.harmonic_weights([22.5 * i for i in fit_on], order))
         guess = lambda i: c[0] + sum((c[2 * k - 1] * math.cos(2 * k * math.radians(22.5 * i)) + c[2 * k] * math.sin(2 * k * math.radians(22.5 * i)) for k in range(1, order + 1)), F.lit(0.0))  # noqa: B023, E731
         errs.append(F.sqrt(sum(((F.col(f"i{i}") - guess(i)) ** 2 for i in test_on), F.lit(0.0)) / len(test_on)))
-    return rounded(rows.select("vec_id", errs[0].alias("rmse1"), errs[1].alias("rmse2"), F.when(errs[0] <= errs[1], 1).otherwise(2).alias("best")))
+    return rounded(rows.select("vec_id", "run", errs[0].alias("rmse1"), errs[1].alias("rmse2"), F.when(errs[0] <= errs[1], 1).otherwise(2).alias("best")))
 
 
-@query("agg_polar_agreement", ST4 + ", q AS (SELECT a.label, a.s0, b.s0 AS t0, least(1,sqrt(a.s1*a.s1+a.s2*a.s2)/a.s0) AS d, least(1,sqrt(b.s1*b.s1+b.s2*b.s2)/b.s0) AS e, 0.5e0*atan2(a.s2,a.s1) AS u, 0.5e0*atan2(b.s2,b.s1) AS w FROM s a JOIN s b ON b.vec_id=a.vec_id+1) SELECT label, round(avg(abs(s0-t0)/t0),6) AS s0_error, round(avg(abs(d-e)),6) AS dolp_mae, round(sqrt(avg((d-e)*(d-e))),6) AS dolp_rmse, round(sum(e*least(abs(u-w)%pi(),pi()-abs(u-w)%pi()))/sum(e),6) AS aolp_error FROM q GROUP BY label")
+@query("agg_polar_agreement", ST4 + ", q AS (SELECT a.label, a.s0, b.s0 AS t0, least(1,sqrt(a.s1*a.s1+a.s2*a.s2)/a.s0) AS d, least(1,sqrt(b.s1*b.s1+b.s2*b.s2)/b.s0) AS e, 0.5e0*atan2(a.s2,a.s1) AS u, 0.5e0*atan2(b.s2,b.s1) AS w FROM s a JOIN s b ON b.vec_id=a.vec_id+1 AND b.run=a.run) SELECT label, round(avg(abs(s0-t0)/t0),6) AS s0_error, round(avg(abs(d-e)),6) AS dolp_mae, round(sqrt(avg((d-e)*(d-e))),6) AS dolp_rmse, round(sum(e*least(abs(u-w)%pi(),pi()-abs(u-w)%pi()))/sum(e),6) AS aolp_error FROM q GROUP BY label")
 def _(spark, sf):
     s0, s1, s2 = (F.col(f"s{k}") for k in range(3))
-    f = four(spark, sf).select("vec_id", "label", "s0", P.dolp(s0, s1, s2).alias("d"), P.aolp(s1, s2).alias("u"))
-    j = f.join(f.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s0").alias("t0"), F.col("d").alias("e"), F.col("u").alias("w")), "vec_id")
+    f = four(spark, sf).select("vec_id", "run", "label", "s0", P.dolp(s0, s1, s2).alias("d"), P.aolp(s1, s2).alias("u"))
+    j = f.join(f.select((F.col("vec_id") - 1).alias("vec_id"), "run", F.col("s0").alias("t0"), F.col("d").alias("e"), F.col("u").alias("w")), ["vec_id", "run"])
     return rounded(j.groupBy("label").agg(F.avg(F.abs(F.col("s0") - F.col("t0")) / F.col("t0")).alias("s0_error"), F.avg(F.abs(F.col("d") - F.col("e"))).alias("dolp_mae"), F.sqrt(F.avg((F.col("d") - F.col("e")) ** 2)).alias("dolp_rmse"), ratio(F.sum(F.col("e") * P.aolp_gap(F.col("u"), F.col("w"))), F.sum("e")).alias("aolp_error")))
 
 
