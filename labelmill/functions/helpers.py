@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import math
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,18 +34,53 @@ ELEMENTS = frozenset(
 )
 
 
+@lru_cache(512)
+def char_places(text: str) -> dict[str, int]:
+    """For each character of a text the bits of its places."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
+
+
+def common_length(places: dict[str, int], width: int, text: str) -> int:
+    """The longest common subsequence of text and the first `width` characters of the text with those places; a step on whole bit rows for each character."""
+    full = free = (1 << width) - 1
+    for c in text:
+        if hit := free & places.get(c, 0):
+            free = (free + hit | free - hit) & full
+    return width - free.bit_count()
+
+
+def common_at_least(places: dict[str, int], n: int, text: str, need: int) -> bool:
+    """Whether a text of n characters (by places) and another have a common subsequence of `need` characters.
+
+    A first look takes a part of the other text: all but what may stay unmatched must match there, and within a band of
+    the first text that unmatched characters may shift it by.
+    """
+    m = len(text)
+    if need > min(n, m):
+        return False
+    part = min(m, 8 * (m - need) // 2 + 16)
+    if part < m and common_length(places, min(n, part + n - need), text[:part]) < part - (m - need):
+        return False
+    return common_length(places, n, text) >= need
+
+
 def difflib_ratio(least: float):
-    """A column function of two texts: difflib's ratio, its automatic junk rule included; null where an upper bound stays below `least`."""
+    """A column function of two texts: difflib's ratio, its automatic junk rule included; null where it stays below `least`.
+
+    What difflib matches is a common subsequence, so texts whose longest one is too short are not measured.
+    """
 
     @F.pandas_udf(_DOUBLE)
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, matcher, last = [], difflib.SequenceMatcher(), None
+        out, matcher = [], difflib.SequenceMatcher()
         for x, y in zip(a, b, strict=True):
-            if y != last:  # what is known of the second text stays while it is the same
-                matcher.set_seq2(y)
-                last = y
-            matcher.set_seq1(x)
-            out.append(matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else None)
+            total = len(x) + len(y)
+            if not common_at_least(char_places(x), len(x), y, math.ceil(least * total / 2 - 1e-9)):
+                out.append(None)
+                continue
+            matcher.set_seqs(x, y)
+            out.append(found if (found := matcher.ratio()) >= least else None)
         return pd.Series(out, dtype=float)
 
     return ratio
@@ -250,7 +286,7 @@ def rle_counts(text: str) -> list[int]:
 
 @F.pandas_udf(_TEXT)
 def rle_encode(counts: pd.Series) -> pd.Series:
-    return counts.map(lambda c: rle_text([int(x) for x in c]))
+    return counts.map(lambda c: None if c is None else rle_text([int(x) for x in c]))
 
 
 @F.pandas_udf(T.ArrayType(_LONG))

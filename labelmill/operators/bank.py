@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from labelmill.functions.base import when_chain
 from labelmill.functions.text import normalize, word_count
+from labelmill.operators.lineage import cut
 
 #: Statuses that take a candidate out of the pool, and the weights of the composite score.
 DEAD = ("REJECTED", "DUPLICATE", "INVALID")
@@ -104,16 +105,19 @@ def lexical_pairs(candidates: DataFrame, threshold: float = 0.9, tile: int = 512
 
     A stem that repeats is compared once, under its smallest id; exact_duplicates has the rest. Lossless bounds come
     first: lengths must lie within threshold / (2 - threshold), which an equi-join on length bands holds to; then twice
-    the sum of least character counts must reach the threshold. Only pairs that pass are measured. A band of a block
-    is compared in tiles of about `tile` stems, so that a hot block is many tasks.
+    the sum of least character counts must reach the threshold; then the longest common subsequence, found on bit rows
+    and on a part of the texts first. Only pairs that pass are measured. A band of a block is compared in tiles of about
+    `tile` stems, so that a hot block is many tasks.
     """
     from labelmill.functions.helpers import difflib_ratio
 
-    rows = candidates.select("id", "subject", "topic", normalize(F.col("stem")).alias("s")).where("s <> ''").groupBy("subject", "topic", "s").agg(F.min("id").alias("id")).withColumn("n", F.length("s"))
+    spark = candidates.sparkSession
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # cells are small in bytes and long to compare
+    rows = candidates.select("id", "subject", "topic", normalize(F.col("stem")).alias("s")).where("s <> ''").repartition(spread, "subject", "topic", "s").groupBy("subject", "topic", "s").agg(F.min("id").alias("id")).withColumn("n", F.length("s"))
     counts = F.array(*[F.col("n") - F.length(F.replace("s", F.lit(c), F.lit(""))) for c in COUNTED])
     rows = rows.withColumn("c", counts).withColumn("c", F.concat("c", F.array(F.col("n") - F.aggregate("c", F.lit(0), lambda x, y: x + y))))
     band = F.floor(F.log("n") / F.log(F.lit(2 / threshold - 1))).cast("int")  # longest over shortest
-    rows = rows.withColumn("band", band)
+    rows = cut(rows.withColumn("band", band), "stems")  # read three times below
     many = rows.groupBy("subject", "topic", "band").agg(F.ceil(F.count("*") / float(tile)).cast("int").alias("tiles"))
     key = [F.col("subject").eqNullSafe(F.col("m_subject")), F.col("topic").eqNullSafe(F.col("m_topic")), F.col("to") == F.col("m_band")]
     size = many.select(F.col("subject").alias("m_subject"), F.col("topic").alias("m_topic"), F.col("band").alias("m_band"), "tiles")
@@ -123,7 +127,7 @@ def lexical_pairs(candidates: DataFrame, threshold: float = 0.9, tile: int = 512
     left = rows.withColumn("to", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).join(size, key).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     left = left.select("id", "s", "n", "c", F.struct(block.alias("block"), "to", "tile").alias("cell"), "subject", "topic")
     least = F.aggregate(F.zip_with("c", "d", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    near = left.join(right, "cell").where(F.col("subject").eqNullSafe(F.col("o_subject")) & F.col("topic").eqNullSafe(F.col("o_topic")) & (F.col("other") < F.col("id")))
+    near = left.repartition(spread, "cell").join(right.repartition(spread, "cell"), "cell").where(F.col("subject").eqNullSafe(F.col("o_subject")) & F.col("topic").eqNullSafe(F.col("o_topic")) & (F.col("other") < F.col("id")))
     near = near.where(2 * F.least("n", "m") >= threshold * (F.col("n") + F.col("m"))).where(2 * least >= threshold * (F.col("n") + F.col("m")))
     return near.select("id", F.col("other").alias("matched"), difflib_ratio(threshold)("s", "t").alias("ratio")).where(F.col("ratio") >= threshold)
 

@@ -36,6 +36,37 @@ def topmost(px: DataFrame, cls: str = "cls", order: str = "z") -> DataFrame:
     return px.groupBy("image", "y", "x").agg(F.max_by(cls, order).alias("cls"), F.count("*").alias("claims"))
 
 
+def box_cells(ann: DataFrame, tile: int = 64) -> DataFrame:
+    """ann's rows for each cell of its box: y0, x0, h, w. Cells of one image are the same or apart.
+
+    Images are cut into tiles, and a tile at the tops, bottoms, lefts and rights of the boxes in it, so that there are
+    as many cells as boxes ask for, not pixels; a tile has no more than `tile` cuts either way, however many boxes meet in it.
+    """
+    edge = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor((F.col(a) + F.col(n) - 1) / tile)))
+    a = ann.where("bw > 0 and bh > 0").withColumn("_ty", edge("bt", "bh")).withColumn("_tx", edge("bx", "bw"))
+    clip = lambda a, n, t: (F.greatest(F.col(a), F.col(t) * tile).cast("int"), F.least(F.col(a) + F.col(n), (F.col(t) + 1) * tile).cast("int"))
+    (top, foot), (left, right) = clip("bt", "bh", "_ty"), clip("bx", "bw", "_tx")
+    a = a.withColumns({"_t": top, "_b": foot, "_l": left, "_r": right})
+    key = ["image", "_ty", "_tx"]
+    cuts = lambda x, y: F.array_sort(F.array_union(F.collect_set(x), F.collect_set(y)))
+    c = a.groupBy(*key).agg(cuts("_t", "_b").alias("_ys"), cuts("_l", "_r").alias("_xs"))
+    parts = lambda s, x, y: F.explode(F.sequence(F.array_position(s, F.col(x)).cast("int"), F.array_position(s, F.col(y)).cast("int") - 1))
+    a = a.join(c, key).withColumn("_i", parts("_ys", "_t", "_b")).withColumn("_j", parts("_xs", "_l", "_r"))
+    at = lambda s, i, k: F.get(s, F.col(i) + k - 1)
+    cells = {"y0": at("_ys", "_i", 0), "x0": at("_xs", "_j", 0), "h": at("_ys", "_i", 1) - at("_ys", "_i", 0), "w": at("_xs", "_j", 1) - at("_xs", "_j", 0)}
+    return a.withColumns(cells).drop("_ty", "_tx", "_t", "_b", "_l", "_r", "_ys", "_xs", "_i", "_j")
+
+
+def topmost_cells(ann: DataFrame, order: tuple[str, ...] = ("z",)) -> DataFrame:
+    """(image, y0, x0, pixels, cls, claims): for each cell of the boxes the class of the claim that is last in order, and the number of claims.
+
+    order: columns, the later ones for ties (as the time of creation); where all are equal, the larger class. Empty boxes claim nothing.
+    """
+    cells = box_cells(ann.select("image", "bt", "bx", "bh", "bw", "cls", *[c for c in order if c != "cls"]))
+    g = cells.groupBy("image", "y0", "x0").agg(F.max(F.struct(*[F.col(c) for c in order if c != "cls"], "cls")).alias("_top"), F.first((F.col("h") * F.col("w")).cast("long")).alias("pixels"), F.count("*").alias("claims"))
+    return g.select("image", "y0", "x0", "pixels", F.col("_top.cls").alias("cls"), "claims")
+
+
 def box_overlap(ann: DataFrame) -> DataFrame:
     """(a, b, pixels) of boxes of an image that meet: the overlap's size from the boxes' edges."""
     cols = ["ann", "image", "bx", "bt", "bw", "bh"]

@@ -52,6 +52,14 @@ px AS (SELECT image, y, x, v,
  {", ".join(f"{_A[k]} / CAST({' + '.join(_A)} AS DOUBLE) AS p{k}" for k in range(4))} FROM px0)"""
 
 
+def regions_sql(value: str) -> str:
+    """cl (image, value, y, x0, x1, comp): the runs of value in px and their 4-connected regions, by reachability."""
+    return f"""cr AS MATERIALIZED (SELECT image, value, y, min(x) AS x0, max(x) AS x1, CAST(y AS BIGINT) * 4294967296 + min(x) AS id FROM (SELECT image, y, x, value, x - row_number() OVER (PARTITION BY image, y, value ORDER BY x) AS g FROM (SELECT image, y, x, {value} AS value FROM px)) WHERE value IS NOT NULL GROUP BY image, value, y, g),
+ce AS MATERIALIZED (SELECT a.image, unnest([a.id, b.id]) AS s, unnest([b.id, a.id]) AS t FROM cr a JOIN cr b ON a.image = b.image AND a.value = b.value AND b.y = a.y + 1 AND b.x0 <= a.x1 AND a.x0 <= b.x1),
+cc(image, s, t) AS (SELECT image, id, id FROM cr UNION SELECT cc.image, cc.s, ce.t FROM cc JOIN ce ON cc.image = ce.image AND cc.t = ce.s),
+cl AS MATERIALIZED (SELECT cr.*, comp FROM cr JOIN (SELECT image, t AS id, min(s) AS comp FROM cc GROUP BY ALL) USING (image, id))"""
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows of methods on images: method = l_returnflag, image = l_orderkey % 50, seed = l_linenumber, score = l_discount."""
     li = table(spark, sf_dir, "lineitem")

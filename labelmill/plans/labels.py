@@ -10,7 +10,9 @@ from labelmill.functions import polar as P
 from labelmill.functions.base import r6, ratio
 from labelmill.operators import labels as L
 from labelmill.operators import tables as T
-from labelmill.plans.data import ANN, COLOURS, PX, annotations, colours, pixels
+from labelmill.operators.lineage import scratch
+from labelmill.operators.regions import labelled_runs
+from labelmill.plans.data import ANN, COLOURS, PX, annotations, colours, pixels, regions_sql
 from labelmill.plans.registry import query, table
 from labelmill.plans.stats import VOTES, rounded, votes
 
@@ -63,14 +65,21 @@ def _(spark, sf):
 
 @query("win_topmost", f"WITH {ANN}, bp AS (SELECT image, cls, z, y, unnest(range(bx, bx+bw)) AS x FROM (SELECT *, unnest(range(bt, bt+bh)) AS y FROM ann)), t AS (SELECT image, y, x, arg_max(cls, z) AS cls, count(*) AS claims FROM bp GROUP BY ALL) SELECT image, cls, count(*) AS pixels, CAST(sum(claims-1) AS BIGINT) AS overlaps FROM t GROUP BY ALL")
 def _(spark, sf):
-    t = L.topmost(L.box_pixels(annotations(spark, sf)))
-    return t.groupBy("image", "cls").agg(F.count("*").alias("pixels"), F.sum(F.col("claims") - 1).alias("overlaps"))
+    t = L.topmost_cells(annotations(spark, sf))
+    return t.groupBy("image", "cls").agg(F.sum("pixels").alias("pixels"), F.sum((F.col("claims") - 1) * F.col("pixels")).alias("overlaps"))
+
+
+@query("win_topmost_created", f"WITH {ANN}, bp AS (SELECT image, cls, ann%3 AS z, created, y, unnest(range(bx, bx+bw)) AS x FROM (SELECT *, unnest(range(bt, bt+bh)) AS y FROM ann)), t AS (SELECT image, y, x, arg_max(cls, (z, created, cls)) AS cls, count(*) AS claims FROM bp GROUP BY ALL) SELECT image, cls, count(*) AS pixels, CAST(sum(claims-1) AS BIGINT) AS overlaps FROM t GROUP BY ALL")
+def _(spark, sf):
+    """Three heights only: the time of creation decides within them."""
+    t = L.topmost_cells(annotations(spark, sf).withColumn("z", F.col("ann") % 3), ("z", "created"))
+    return t.groupBy("image", "cls").agg(F.sum("pixels").alias("pixels"), F.sum((F.col("claims") - 1) * F.col("pixels")).alias("overlaps"))
 
 
 @query("udf_filter", f"WITH {ANN}, bp AS (SELECT image, cls, z, y, unnest(range(bx, bx+bw)) AS x FROM (SELECT *, unnest(range(bt, bt+bh)) AS y FROM ann WHERE status='F')) SELECT image, count(DISTINCT (y, x)) AS pixels FROM bp GROUP BY image")
 def _(spark, sf):
     keep = F.col("status") == "F"  # any condition on an annotation
-    return L.topmost(L.box_pixels(annotations(spark, sf).where(keep))).groupBy("image").agg(F.count("*").alias("pixels"))
+    return L.topmost_cells(annotations(spark, sf).where(keep)).groupBy("image").agg(F.sum("pixels").alias("pixels"))
 
 
 PAIR = f"""{ANN}, pr AS (SELECT a.ann AS a, b.ann AS b, least(a.bx+a.bw,b.bx+b.bw)-greatest(a.bx,b.bx) AS w, least(a.bt+a.bh,b.bt+b.bh)-greatest(a.bt,b.bt) AS h, a.bw*a.bh+b.bw*b.bh AS s FROM ann a JOIN ann b ON a.image=b.image AND a.ann<b.ann)"""
@@ -173,6 +182,83 @@ def _(spark, sf):
     return coco_annotations(annotations(spark, sf), skip=(0, 255, 5))
 
 
+SEG = "CASE WHEN pred IN (2, 3) THEN 1 WHEN pred IN (4, 5) THEN 2 WHEN pred = 1 THEN 3 ELSE pred END"
+
+
+def seg_pixels(spark, sf):
+    """Dense label images of three classes, 0 (unlabelled) and 255 (ignored)."""
+    pred = F.col("pred")
+    return pixels(spark, sf).withColumn("seg", F.when(pred.isin(2, 3), 1).when(pred.isin(4, 5), 2).when(pred == 1, 3).otherwise(pred))
+
+
+def seg_frames(px):
+    return px.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+@query("snk_coco_segmentation", f"""WITH RECURSIVE {PX}, {regions_sql(SEG)},
+sz AS (SELECT image, value, comp, CAST(sum(x1-x0+1) AS BIGINT) AS area, [min(x0), min(y), max(x1)-min(x0)+1, max(y)-min(y)+1] AS bbox FROM cl WHERE value NOT IN (0, 255) GROUP BY ALL),
+pp AS (SELECT image, comp, y, unnest(range(x0, x1+1)) AS x FROM cl WHERE value NOT IN (0, 255)),
+pt AS (SELECT image, comp, y+dy AS y, x+dx AS x, count(*) AS n, sum(b) AS b FROM pp, (VALUES (0,0,8),(0,1,4),(1,0,2),(1,1,1)) t(dy, dx, b) GROUP BY ALL),
+co AS (SELECT image, comp, CAST(sum(CASE WHEN n IN (1,3) THEN 1 WHEN b IN (6,9) THEN 2 ELSE 0 END) AS BIGINT) AS corners, 1-sum(CASE WHEN n=1 THEN 1 WHEN n=3 THEN -1 WHEN b IN (6,9) THEN 2 ELSE 0 END)//4 AS holes FROM pt GROUP BY ALL),
+ht AS (SELECT image, max(y)+1 AS h FROM px GROUP BY image),
+il AS (SELECT image, comp, h, min(p) AS a, max(p)+1 AS b FROM (SELECT image, comp, h, x*h+y AS p, x*h+y-row_number() OVER (PARTITION BY image, comp ORDER BY x*h+y) AS g FROM pp JOIN ht USING (image)) GROUP BY image, comp, h, g),
+rl AS (SELECT image, comp, md5(string_agg((a-coalesce(w,0))||','||(b-a), ',' ORDER BY a)||CASE WHEN any_value(64*h)>max(b) THEN ','||any_value(64*h)-max(b) ELSE '' END) AS counts FROM (SELECT *, lag(b) OVER (PARTITION BY image, comp ORDER BY a) AS w FROM il) GROUP BY image, comp)
+SELECT row_number() OVER (ORDER BY image, comp) AS id, image AS image_id, value AS category_id, area, bbox, CAST(holes AS BIGINT) AS holes, corners, CASE WHEN holes>0 THEN counts END AS counts_md5 FROM sz JOIN co USING (image, comp) JOIN rl USING (image, comp)""")
+def _(spark, sf):
+    """Regions of label images as COCO annotations: outlines where there are no holes, run lengths elsewhere; the rings' areas are checked in the tests."""
+    from labelmill.sources.exports import coco_segments
+
+    px = seg_pixels(spark, sf)
+    a = coco_segments(labelled_runs(px, "seg"), seg_frames(px))
+    return a.select("id", "image_id", "category_id", "area", "bbox", "holes", "corners", F.md5(F.array_join("counts", ",")).alias("counts_md5"))
+
+
+@query("chk_export_release", f"WITH {PX} SELECT image, count(*) AS pixels, 0 AS missing, 0 AS unexpected, 0 AS coco_missing, 0 AS coco_unexpected, TRUE AS size_ok FROM px GROUP BY image")
+def _(spark, sf):
+    """A release of masks, COCO parts and tables is written, read again, and compared with its source pixel by pixel, both ways."""
+    from labelmill.sources.exports import check_dataset, write_dataset
+
+    px = seg_pixels(spark, sf)
+    images, root = release_images(px), scratch(spark, "release")
+    write_dataset(root, px, images, release_classes(spark), annotations(spark, sf).select("image", "ann", "cls", "status"), "seg")
+    return check_dataset(spark, root, px, images, "seg")
+
+
+def release_images(px):
+    """A frame, a file name and a split (by the hash of its number) for each image."""
+    part = F.conv(F.substring(F.md5(F.col("image").cast("string")), 1, 6), 16, 10).cast("long") % 10
+    return seg_frames(px).withColumns({"file": F.concat(F.lit("image"), "image"), "split": F.when(part < 6, "train").when(part < 8, "val").otherwise("test")})
+
+
+def release_classes(spark):
+    return spark.createDataFrame([(0, "unlabelled"), (1, "middle"), (2, "high"), (3, "low"), (255, "ignored")], "id int, name string")
+
+
+@query("snk_dataset_tables", f"""WITH {PX}, im AS (SELECT image, max(x)+1 AS width, max(y)+1 AS height, CAST('0x'||substr(md5(CAST(image AS VARCHAR)),1,6) AS BIGINT)%10 AS p FROM px WHERE image IN (SELECT image FROM px WHERE {SEG} NOT IN (0,255)) GROUP BY image), {ANN},
+s AS (SELECT image, width, height, CASE WHEN p<6 THEN 'train' WHEN p<8 THEN 'val' ELSE 'test' END AS split FROM im)
+SELECT 'images' AS part, split AS key, count(*) AS n FROM s GROUP BY split UNION ALL SELECT 'pixels', split, sum(width*height)::BIGINT FROM s GROUP BY split UNION ALL SELECT 'classes', '', 5 UNION ALL SELECT 'categories', '', 3 UNION ALL SELECT 'verification', status, count(*) FROM ann WHERE image IN (SELECT image FROM s) GROUP BY status""")
+def _(spark, sf):
+    """The tables of a release of annotated images, read again: images and mask bytes of each split, classes, categories, and annotations by status."""
+    from labelmill.sources.exports import write_dataset
+
+    px = seg_pixels(spark, sf)
+    root = scratch(spark, "release")
+    write_dataset(root, px, release_images(px), release_classes(spark), annotations(spark, sf).select("image", "ann", "cls", "status"), "seg", annotated_only=True, about={"project": "label images"})
+    read = lambda name, schema: spark.read.schema(schema).json(f"{root}/{name}")
+    row = lambda df, part, key, n: df.groupBy(key.alias("key")).agg(n.alias("n")).select(F.lit(part).alias("part"), "key", "n")
+    none, many = F.lit(""), F.count("*")
+    parts = [
+        row(read("metadata/images", "image long, split string"), "images", F.col("split"), many),
+        row(spark.read.parquet(f"{root}/masks"), "pixels", F.col("split"), F.sum(F.length("mask"))),
+        row(read("metadata/classes", "id int"), "classes", none, many), row(read("coco/categories", "id int"), "categories", none, many),
+        row(read("metadata/verification", "image long, status string"), "verification", F.col("status"), many),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 @query("snk_yolo", f"""WITH {ANN}, l AS (SELECT image, ann, (cls-1)||' '||printf('%.6f',(bx+0.5e0)/256)||' '||printf('%.6f',(bt+0.5e0)/256)||' '||printf('%.6f',(bx+bw+0.5e0)/256)||' '||printf('%.6f',(bt+0.5e0)/256)||' '||printf('%.6f',(bx+bw+0.5e0)/256)||' '||printf('%.6f',(bt+bh+0.5e0)/256)||' '||printf('%.6f',(bx+0.5e0)/256)||' '||printf('%.6f',(bt+bh+0.5e0)/256) AS line FROM ann), p AS (SELECT 'fill' AS policy, * FROM l UNION ALL SELECT 'skip', * FROM l WHERE ann%4<>0) SELECT policy, image, md5(string_agg(line, chr(10) ORDER BY ann)) AS h FROM p GROUP BY policy, image""")
 def _(spark, sf):
     """Under both policies of holes; every fourth annotation has one."""

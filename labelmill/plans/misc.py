@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,32 +10,17 @@ from labelmill.functions.base import r6
 from labelmill.operators import bank as B
 from labelmill.operators import corpus as C
 from labelmill.operators import labels as L
+from labelmill.operators import regions as R
 from labelmill.operators import splits as SP
 from labelmill.operators import tables as T
-from labelmill.plans.data import PX, RESULTS, pixels, results
+from labelmill.operators.lineage import cut, scratch
+from labelmill.plans.data import PX, RESULTS, pixels, regions_sql, results
 from labelmill.plans.registry import query, table
 from labelmill.plans.stats import rounded
 from labelmill.plans.text import candidates
 from labelmill.streaming import jobs as J
 
 
-def scratch(spark, name):
-    """A new folder in the shared checkpoint folder; where none is set, a local session gets one of its own and a cluster an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="labelmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df, name="cut"):
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # ---------------------------------------------------------------- splits and windows
 
 GS = "g AS (SELECT DISTINCT c_nationkey AS grp FROM customer), p AS (SELECT grp, row_number() OVER (ORDER BY md5('s1'||grp)) AS i, count(*) OVER () AS n FROM g), gs AS (SELECT grp, CASE WHEN i<=greatest(1,round_even(n*0.6,0)) THEN 'train' WHEN i<=greatest(1,round_even(n*0.6,0))+greatest(CASE WHEN n>=3 THEN 1 ELSE 0 END,round_even(n*0.2,0)) THEN 'val' ELSE 'test' END AS split FROM p)"
@@ -433,21 +415,19 @@ def _(spark, sf):
     return s.groupBy("id").agg(F.when(F.count("error") > 0, "fail").when(F.count_if(F.col("latex").isNotNull() & ~chem) > 0, "uncertain").otherwise("pass").alias("verdict"))
 
 
-@query("win_components")
+@query("win_components", f"WITH RECURSIVE {PX}, {regions_sql('CASE WHEN ref IN (2, 3) THEN 1 END')} SELECT image, comp, CAST(sum(x1-x0+1) AS BIGINT) AS size, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, max(y) AS y1 FROM cl GROUP BY image, comp")
 def _(spark, sf):
-    return H.components(pixels(spark, sf), F.col("ref").isin(2, 3), eight=False)
+    px = pixels(spark, sf).withColumn("m", F.when(F.col("ref").isin(2, 3), 1))
+    return R.region_sizes(R.labelled_runs(px, "m")).drop("value")
 
 
-@query("agg_small_region_recall")
+@query("agg_small_region_recall", f"WITH RECURSIVE {PX}, {regions_sql('CASE WHEN ref BETWEEN 1 AND 5 THEN ref END')}, g AS (SELECT cl.image, comp, count(*) AS size, avg(CASE WHEN pred=value THEN 1e0 ELSE 0 END) AS share FROM cl JOIN px ON px.image=cl.image AND px.y=cl.y AND x BETWEEN x0 AND x1 GROUP BY ALL) SELECT image, round(avg(CASE WHEN share>=0.5 THEN 1e0 ELSE 0 END),6) AS recall, count(*) AS regions FROM g WHERE size<=200 GROUP BY image")
 def _(spark, sf):
     """Share of the small regions (4-connected, at most 200 pixels) of all classes but 0 with at least half of their pixels predicted right, image by image."""
-    px, found = pixels(spark, sf), None
-    for k in range(1, 6):
-        runs = H.component_runs(px, F.col("ref") == k, eight=False)
-        region = px.select("image", "y", "x", "pred").join(runs, ["image", "y"]).where(F.col("x").between(F.col("x0"), F.col("x1")))  # a pixel lies in one run
-        g = region.groupBy("image", "comp").agg(F.count("*").alias("size"), F.avg((F.col("pred") == k).cast("int")).alias("share")).where("size <= 200")
-        found = g if found is None else found.union(g)
-    return rounded(found.groupBy("image").agg(F.avg((F.col("share") >= 0.5).cast("int")).alias("recall"), F.count("*").alias("regions")))
+    px = pixels(spark, sf).withColumn("m", F.when(F.col("ref").between(1, 5), F.col("ref"))).withColumn("right", (F.col("pred") == F.col("ref")).cast("int"))
+    runs = R.labelled_runs(px, "m", sums=("right",))
+    g = runs.groupBy("image", "comp").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("size"), F.sum("right").alias("right")).where("size <= 200")
+    return rounded(g.groupBy("image").agg(F.avg((2 * F.col("right") >= F.col("size")).cast("int")).alias("recall"), F.count("*").alias("regions")))
 
 
 @query("top_region_candidates")
