@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,3 +26,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """df with each row's place in the order, from 1, as `name`, within strata if given (null is one).
+
+    Ranges of (stratum, order) are sorted apart; a row for each range and stratum tells how many rows come before it. No
+    stratum, however large, passes through one task.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in within]
+    placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_row", F.monotonically_increasing_id())
+    placed = cut(placed.withColumn("_part", F.shiftright("_row", 33)), "ranked")
+    sizes = placed.groupBy(*within, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # ranges of a stratum
+    sizes = sizes.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    return placed.join(sizes, same).withColumn(name, F.col("_base") + F.col("_row") - F.col("_first") + 1).select(*df.columns, name)

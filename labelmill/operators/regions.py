@@ -147,3 +147,45 @@ def mask_counts(runs: DataFrame, frames: DataFrame) -> DataFrame:
     counts = F.flatten(F.zip_with(begins, ends, lambda s, e: F.array(s["at"] - F.coalesce(s["was"], F.lit(0)), e["at"] - s["at"])))
     rest = F.col("width").cast("long") * F.col("height") - F.element_at("r", -1)["b"]
     return r.select("image", "comp", F.concat(counts, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>"))).alias("counts"))
+
+
+def opened(mask: DataFrame, frames: DataFrame) -> DataFrame:
+    """(image, value, y, x): a mask's pixels after an opening by the cross of five pixels, each value apart; beyond the frame counts as set."""
+    cross = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])).alias("d")
+    key = ["image", "value", "y", "x"]
+    moved = lambda d: d.select("image", "value", "y", "x", cross).select("image", "value", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
+    hits = moved(mask).groupBy(*key).agg(F.count("*").alias("n")).join(frames, "image")
+    beyond = sum(c.cast("int") for c in (F.col("y") == 0, F.col("x") == 0, F.col("y") == F.col("height") - 1, F.col("x") == F.col("width") - 1))
+    kept = hits.where(F.col("n") + beyond == 5).join(mask.select(*key), key, "left_semi").select(*key)
+    return moved(kept).distinct().join(mask.select(*key), key, "left_semi")
+
+
+def region_candidates(px: DataFrame, label: str, lab: tuple[str, str, str], near: float = 8.0, least: int = 50, most: int = 50, references: DataFrame | None = None) -> DataFrame:
+    """(image, cls, comp, size, distance, x0, y0, x1, y1, rank): unlabelled regions whose colour is near a class's, the nearest `most` of each image.
+
+    px: image, y, x, label (0 unlabelled, 255 ignored) and the three columns of a Lab colour. A class's colour is the
+    median of each channel over its pixels in the image, or in references (cls, l, a, b) for all images. Unlabelled pixels
+    within CIEDE2000 `near` of it are opened and taken together by 8 neighbours; regions below `least` pixels drop out,
+    the others stand by mean distance, ties by class and first pixel.
+    """
+    from labelmill.functions.color import ciede2000
+
+    frames = px.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    open_ = px.where(F.col(label) == 0).select("image", "y", "x", *lab)
+    if references is None:
+        own = px.where(~F.col(label).isin(0, 255))
+        references = own.groupBy("image", F.col(label).alias("cls")).agg(*[F.median(c).alias(f"m{i}") for i, c in enumerate(lab)])
+        free = open_.join(references, "image")
+    else:
+        free = open_.crossJoin(F.broadcast(references.toDF("cls", "m0", "m1", "m2")))  # a row for each class
+    d = ciede2000([F.col(c) for c in lab], [F.col(f"m{i}") for i in range(3)])
+    close = cut(free.select("image", "y", "x", F.col("cls").alias("value"), d.alias("d")).where(F.col("d") <= near), "near-colours")
+    # each class is an image of its own, so that regions of two classes may overlap
+    key = ["image", "value", "y", "x"]
+    kept = opened(close, frames).join(close, key).select(F.struct("image", "value").alias("image"), "y", "x", F.lit(1).alias("one"), F.col("d"))
+    named = cut(kept.withColumn("image", F.concat_ws("|", F.col("image.image").cast("string"), F.col("image.value").cast("string"))).withColumn("d9", F.round(F.col("d") * 1e9).cast("long")), "near-regions")
+    runs = labelled_runs(named, "one", eight=True, sums=("d9",))
+    r = runs.groupBy("image", "comp").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("size"), F.sum("d9").alias("d9"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))
+    parts = F.split("image", r"\|")
+    r = r.where(F.col("size") >= least).select(parts[0].cast(dict(px.dtypes)["image"]).alias("image"), parts[1].cast("int").alias("cls"), "comp", "size", (F.col("d9") / 1e9 / F.col("size")).alias("distance"), "x0", "y0", "x1", "y1")
+    return r.withColumn("rank", F.row_number().over(Window.partitionBy("image").orderBy(F.round("distance", 9), "cls", "comp"))).where(F.col("rank") <= most)

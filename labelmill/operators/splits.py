@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelmill.functions.base import hash_order, when_chain
+from labelmill.operators.lineage import ranked
 
 
 def group_split(groups: DataFrame, key: str, seed: str, train: float = 0.6, val: float = 0.2) -> DataFrame:
@@ -16,7 +17,7 @@ def group_split(groups: DataFrame, key: str, seed: str, train: float = 0.6, val:
     """
     g = groups.select(key).distinct()
     n = g.agg(F.count("*").alias("n"))
-    placed = g.withColumn("i", F.row_number().over(Window.orderBy(hash_order(seed, key)))).crossJoin(n)
+    placed = ranked(g, [hash_order(seed, key)], "i").crossJoin(n)  # one row
     cut1 = F.greatest(F.lit(1), F.bround(F.col("n") * train))
     cut2 = cut1 + F.greatest(F.when(F.col("n") >= 3, 1).otherwise(0), F.bround(F.col("n") * val))
     return placed.select(key, when_chain([(F.col("i") <= cut1, "train"), (F.col("i") <= cut2, "val")], "test").alias("split"))
@@ -24,15 +25,17 @@ def group_split(groups: DataFrame, key: str, seed: str, train: float = 0.6, val:
 
 def stratified_split(df: DataFrame, key: str, stratum: str, seed: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """(key, stratum, split): rounded shares within each stratum."""
-    w = Window.partitionBy(stratum)
-    p = df.select(key, stratum).withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy(hash_order(seed, key))))
+    n = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("n"))  # a row for each stratum
+    p = ranked(df.select(key, stratum), [hash_order(seed, key)], "i", (stratum,))
+    p = p.join(n, F.col(stratum).eqNullSafe(F.col("_s")))
     a, b = F.bround(F.col("n") * train), F.bround(F.col("n") * val)
     return p.select(key, stratum, when_chain([(F.col("i") <= a, "train"), (F.col("i") <= a + b, "val")], "test").alias("split"))
 
 
 def folds(df: DataFrame, key: str, stratum: str, seed: str, k: int = 5) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, key)))
-    return df.select(key, stratum, ((i - 1) % k).cast("int").alias("fold"))
+    """(key, stratum, fold): the rows of each stratum dealt in turn, in shuffled order."""
+    p = ranked(df.select(key, stratum), [hash_order(seed, key)], "i", (stratum,))
+    return p.select(key, stratum, ((F.col("i") - 1) % k).cast("int").alias("fold"))
 
 
 def group_mode(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -48,8 +51,7 @@ def group_stratified(groups: DataFrame, group: str, stratum: str, share: float,
     w = Window.orderBy(stratum)  # a row for each stratum
     upto = F.floor(F.sum(F.col("n") * share).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 0.5)
     t = n.withColumn("upto", upto).withColumn("take", F.least(F.col("upto") - F.coalesce(F.lag("upto").over(w), F.lit(0)), F.col("n")))
-    i = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, group)))
-    return groups.withColumn("i", i).join(t, stratum).select(group, stratum, (F.col("i") <= F.col("take")).alias("picked"))
+    return ranked(groups, [hash_order(seed, group)], "i", (stratum,)).join(t, stratum).select(group, stratum, (F.col("i") <= F.col("take")).alias("picked"))
 
 
 def greedy_split(sizes: DataFrame, group: str, size: str, targets: dict[str, float], seed: str, manual: DataFrame | None = None) -> DataFrame:

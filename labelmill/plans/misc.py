@@ -199,16 +199,32 @@ def event_stream(spark, sf):
     return spark.readStream.schema(e.schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def arrivals(spark, sf, files=4):
+    """The events as a stream of that many arrivals in order of time, and an event years later that lets the watermark pass all others."""
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    path = scratch(spark, "arrivals")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    step = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(low))) * files / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1)) if low else F.lit(0)
+    for k in range(files):
+        e.withColumn("k", step).where(F.col("k") == k).drop("k").write.mode("append").parquet(path)
+    end = F.lit(high) + F.expr("interval 1000 days") if high else F.current_timestamp()
+    spark.range(1).select(F.lit(None).cast("long").alias("event_id"), end.alias("ts"), F.lit(None).cast(dict(e.dtypes)["user_id"]).alias("user_id"), F.lit("end").alias("event_type")).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("st_audit_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(user_id%3 AS VARCHAR) AS kind, event_type AS action, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, sf):
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("kind", (F.col("user_id") % 3).cast("string"))
-    return J.audit_counts(e, "ts", "kind", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """As a stream: events arrive in files, windows are written once the watermark has passed them."""
+    e = arrivals(spark, sf).withColumn("kind", F.when(F.col("user_id").isNull(), "end").otherwise((F.col("user_id") % 3).cast("string")))
+    out = J.run_once(J.audit_counts(e, "ts", "kind", "event_type"), scratch(spark, "counts"), scratch(spark, "counts-state"))
+    return out.where("kind <> 'end'").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("st_effort_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts-lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id AS user, min(ts) AS start, epoch_us(max(ts))-epoch_us(min(ts)) AS micros, count(*) AS interactions FROM s GROUP BY user_id, k")
 def _(spark, sf):
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return J.effort_sessions(e, "ts", "user_id").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """As a stream: a session is written once the watermark has passed its gap."""
+    out = J.run_once(J.effort_sessions(arrivals(spark, sf), "ts", "user_id"), scratch(spark, "sessions"), scratch(spark, "sessions-state"))
+    return out.where("user is not null").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("st_audit_tail", "SELECT CAST(user_id AS VARCHAR) AS actor, event_type AS action, count(*) AS n FROM events GROUP BY ALL")
@@ -432,13 +448,15 @@ def _(spark, sf):
 
 @query("top_region_candidates")
 def _(spark, sf):
-    """Unlabelled regions whose values lie near a class's median in the image, the nearest 50 per image."""
-    px = pixels(spark, sf)
-    med = px.where("ref = 3").groupBy("image").agg(F.median("v").alias("m"))
-    near = px.where("ref = 0").join(med, "image").withColumn("d", F.abs(F.col("v") - F.col("m"))).where("d <= 0.3")
-    c = H.components(near, F.lit(True))
-    w = Window.partitionBy("image").orderBy(F.desc("size"), "comp")
-    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("image", "comp", "size", "rank")
+    """Unlabelled regions near the median colour of any class of the image, the nearest 50 of each; colours change with the columns and, less, with the values."""
+    from labelmill.functions.color import rgb_to_lab
+
+    px = pixels(spark, sf).withColumn("cls", F.when(F.col("y") % 8 == 0, F.least(F.floor(F.col("x") / 16) + 1, F.lit(4))).otherwise(0).cast("int"))
+    part = lambda f: F.greatest(F.lit(0.0), F.least(F.lit(255.0), f))
+    rgb = part(60 + F.floor(F.col("x") / 8) * 18 + F.col("v") * 20), part(120 + F.col("v") * 60), part(200 - F.floor(F.col("x") / 8) * 15)
+    px = px.withColumns(dict(zip(("l", "a", "b"), rgb_to_lab(*rgb), strict=True)))
+    found = R.region_candidates(px, "cls", ("l", "a", "b"), near=12.0, least=4)
+    return rounded(found)
 
 
 @query("agg_hd95", f"WITH {PX}, e AS (SELECT image,y,x, coalesce(ref<>lag(ref) OVER (PARTITION BY image,y ORDER BY x),FALSE) AS er, coalesce(pred3<>lag(pred3) OVER (PARTITION BY image,y ORDER BY x),FALSE) AS ep FROM px), a AS (SELECT * FROM e WHERE er), b AS (SELECT * FROM e WHERE ep), d AS (SELECT a.image, a.y, a.x, 0 AS side, min(sqrt((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x))) AS d FROM a JOIN b USING (image) GROUP BY ALL UNION ALL SELECT b.image, b.y, b.x, 1, min(sqrt((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x))) FROM b JOIN a USING (image) GROUP BY ALL) SELECT image, round(quantile_cont(d,0.95),6) AS hd95, round(max(d),6) AS hausdorff FROM d GROUP BY image")

@@ -189,3 +189,51 @@ def test_common_subsequences():
         n = slow(a, b)
         assert H.common_length(places, len(a), b) == n
         assert all(H.common_at_least(places, len(a), b, k) == (n >= k) for k in (n - 1, n, n + 1, n + 4))
+
+
+def test_region_candidates_by_brute_force(spark):
+    from labelmill.functions.color import ciede2000
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for im in (0, 1):
+        for y, x in itertools.product(range(18), range(16)):
+            known = (y * 3 + x * 5 + im) % 7 == 0 and y < 14
+            cls = 255 if known and x == 3 else (1 + (x >= 8)) if known else 0
+            rows.append((im, y, x, cls, 50.0 + 3 * rng.normal(), (20.0 if x < 8 else -20.0) + 3 * rng.normal(), 5.0 * (y > 14)))
+    px = spark.createDataFrame(rows, "image int, y int, x int, label int, l double, a double, b double")
+    for given in (None, spark.createDataFrame([(1, 50.0, 20.0, 0.0), (4, 49.0, -19.0, 5.0)], "cls int, l double, a double, b double")):
+        got = {(r.image, r.cls, r.comp): (r["size"], round(r.distance, 6), r.x0, r.y0, r.x1, r.y1, r["rank"]) for r in R.region_candidates(px, "label", ("l", "a", "b"), near=9.0, least=3, most=6, references=given).collect()}
+        want = {}
+        for im in (0, 1):
+            own = [r for r in rows if r[0] == im]
+            middle = {c: [float(np.median([r[k] for r in own if r[3] == c])) for k in (4, 5, 6)] for c in {r[3] for r in own} - {0, 255}} if given is None else {r.cls: [r.l, r.a, r.b] for r in given.collect()}
+            found = []
+            for c, m in middle.items():
+                free = px.where(f"image = {im} and label = 0").select("y", "x", ciede2000([F.col(k) for k in "lab"], [F.lit(v) for v in m]).alias("d")).collect()
+                d = {(r.y, r.x): r.d for r in free if r.d <= 9.0}
+                cross = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
+                out = lambda y, x: not (0 <= y < 18 and 0 <= x < 16)
+                core = {p for p in d if all(out(p[0] + a, p[1] + b) or (p[0] + a, p[1] + b) in d for a, b in cross)}
+                mask = {(y + a, x + b) for y, x in core for a, b in cross} & d.keys()
+                grid = np.array([[1 if (y, x) in mask else -1 for x in range(16)] for y in range(18)])
+                for k, (_, p) in slow_regions(grid, True).items():
+                    if len(p) >= 3:
+                        found.append((sum(d[q] for q in p) / len(p), c, k, p))
+            for n, (mean, c, k, p) in enumerate(sorted(found, key=lambda f: (round(f[0], 9), f[1], f[2]))[:6]):
+                ys, xs = [y for y, _ in p], [x for _, x in p]
+                want[im, c, k] = (len(p), round(mean, 6), min(xs), min(ys), max(xs), max(ys), n + 1)
+        assert got == want and len(want) > 3
+
+
+def test_ranks_are_those_of_one_sort(spark):
+    from labelmill.operators.lineage import ranked
+
+    rng = np.random.default_rng(10)
+    rows = [(i, None if k == 3 else int(k > 0)) for i, k in enumerate(rng.integers(0, 4, 500))]
+    df = spark.createDataFrame(rows, "id long, s int").repartition(5)
+    got = {r.id: r.n for r in ranked(df, [F.desc("id")], "n", ("s",)).collect()}
+    for s in (None, 0, 1):
+        assert [got[i] for i in sorted((i for i, k in rows if k == s), reverse=True)] == list(range(1, 1 + sum(k == s for _, k in rows)))
+    assert sorted(r.n for r in ranked(df, [F.asc("id")], "n").collect()) == list(range(1, 501))
+    assert ranked(df.where("false"), [F.asc("id")], "n", ("s",)).count() == 0
