@@ -67,6 +67,17 @@ def topmost_cells(ann: DataFrame, order: tuple[str, ...] = ("z",)) -> DataFrame:
     return g.select("image", "y0", "x0", "pixels", F.col("_top.cls").alias("cls"), "claims")
 
 
+def white_balanced(px: DataFrame, image: str, rgb: tuple[str, str, str], method: str = "gray_world", top: float = 0.99) -> DataFrame:
+    """px with its 8-bit channels balanced image by image: gray_world brings the channels' means together, white_patch their `top` percentile to 255."""
+    if method not in ("gray_world", "white_patch"):
+        raise ValueError(method)
+    of = F.avg if method == "gray_world" else lambda c: F.percentile(c, F.lit(top))
+    m = px.groupBy(F.col(image).alias("_im")).agg(*[(of(c) + 1e-6).alias(f"_{i}") for i, c in enumerate(rgb)])  # a row for each image
+    to = (F.col("_0") + F.col("_1") + F.col("_2")) / 3 if method == "gray_world" else F.lit(255.0)
+    out = {c: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col(c) * (to / F.col(f"_{i}")))) + 1e-9).cast("int") for i, c in enumerate(rgb)}
+    return px.join(m, F.col(image).eqNullSafe(F.col("_im"))).withColumns(out).drop("_im", "_0", "_1", "_2")
+
+
 def box_overlap(ann: DataFrame) -> DataFrame:
     """(a, b, pixels) of boxes of an image that meet: the overlap's size from the boxes' edges."""
     cols = ["ann", "image", "bx", "bt", "bw", "bh"]

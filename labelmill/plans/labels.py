@@ -660,6 +660,16 @@ def _(spark, sf):
     return c.join(m, "label").select("ok", "ln", out("r", "mr"), out("g", "mg"))
 
 
+@query("win_white_balance_rgb", f"""WITH {COLOURS}, m AS (SELECT label, avg(r)+1e-6 AS mr, avg(g)+1e-6 AS mg, avg(b)+1e-6 AS mb, quantile_cont(r,0.99)+1e-6 AS pr, quantile_cont(g,0.99)+1e-6 AS pg, quantile_cont(b,0.99)+1e-6 AS pb FROM col GROUP BY label),
+v AS (SELECT ok, ln, 'gray_world' AS method, r*((mr+mg+mb)/3/mr) AS r, g*((mr+mg+mb)/3/mg) AS g, b*((mr+mg+mb)/3/mb) AS b FROM col JOIN m USING (label) UNION ALL SELECT ok, ln, 'white_patch', r*(255/pr), g*(255/pg), b*(255/pb) FROM col JOIN m USING (label))
+SELECT ok, ln, method, CAST(floor(least(255,greatest(0,r))+1e-9) AS INTEGER) AS r, CAST(floor(least(255,greatest(0,g))+1e-9) AS INTEGER) AS g, CAST(floor(least(255,greatest(0,b))+1e-9) AS INTEGER) AS b FROM v""")
+def _(spark, sf):
+    """All three channels, by the mean of the image (label) and by the 99th percentile of each channel."""
+    c = colours(spark, sf)
+    out = [L.white_balanced(c, "label", ("r", "g", "b"), method).select("ok", "ln", F.lit(method).alias("method"), "r", "g", "b") for method in ("gray_world", "white_patch")]
+    return out[0].union(out[1])
+
+
 NOISE = "(CAST('0x'||substr(md5('{i} '||ok||' '||ln),1,8) AS BIGINT)+0.5e0)/4294967296"
 
 
