@@ -10,7 +10,6 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -319,46 +318,3 @@ def wilcoxon_p(w: pd.Series, pairs: pd.Series, used: pd.Series, ties: pd.Series)
         return wilcoxon_exact(w, used) if used <= 50 and not ties and used == n else wilcoxon_normal(w, used, ties)
 
     return pd.Series([one(*x) for x in zip(w, pairs, used, ties, strict=True)], dtype=float)
-
-
-def mask_components(runs: pd.DataFrame, eight: bool) -> pd.DataFrame:
-    """Union-find over the runs (y, x0, x1) of one image's mask; adds comp, numbered by its first run."""
-    runs = runs.sort_values(["y", "x0"]).reset_index(drop=True)
-    y, a, b = (runs[c].to_numpy() for c in ("y", "x0", "x1"))
-    up = np.arange(len(runs))
-
-    def find(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    reach, above = int(eight), 0
-    for i in range(len(runs)):
-        while above < i and (y[above] < y[i] - 1 or y[above] == y[i] - 1 and b[above] + reach < a[i]):
-            above += 1
-        j = above
-        while j < i and y[j] == y[i] - 1 and a[j] <= b[i] + reach:
-            p, q = find(i), find(j)
-            up[max(p, q)] = min(p, q)
-            j += 1
-    return runs.assign(comp=[find(i) for i in range(len(runs))])[["image", "y", "x0", "x1", "comp"]]
-
-
-def component_runs(px: DataFrame, mask, eight: bool = True) -> DataFrame:
-    """(image, y, x0, x1, comp): the row runs of a mask's connected regions, image by image.
-
-    Spark finds the runs; the helper joins an image's runs, never its pixels, and never more than one image.
-    """
-    from pyspark.sql.window import Window
-
-    m = px.where(mask).select("image", "y", "x")
-    gap = F.col("x") - F.row_number().over(Window.partitionBy("image", "y").orderBy("x"))
-    runs = m.withColumn("g", gap).groupBy("image", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("g")
-    kind = dict(runs.dtypes)["image"]
-    return runs.groupBy("image").applyInPandas(lambda pdf: mask_components(pdf, eight), f"image {kind}, y int, x0 int, x1 int, comp long")
-
-
-def components(px: DataFrame, mask, eight: bool = True) -> DataFrame:
-    """(image, comp, size, x0, y0, x1, y1) of connected regions of a mask."""
-    return component_runs(px, mask, eight).groupBy("image", "comp").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("size"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))

@@ -29,6 +29,7 @@ BLOOM = {
     "apply": ["calculate", "compute", "solve", "apply", "determine", "find the value", "what is the result"],
     "analyze": ["compare", "analyze", "evaluate", "predict", "differentiate", "which factor", "what would happen if"],
 }
+# Fixed value: what a calculation looks like.
 CALCULATION = r"[=+\-*/^]|[0-9]+\s*(m/s|kg|N|J|W|Pa|mol|°)"
 # Recognised unit symbols and prefixes.
 UNITS = ["m", "kg", "s", "A", "K", "mol", "cd", "N", "J", "W", "Pa", "Hz", "C", "V", "Ω", "ohm", "F", "T", "Wb", "H", "lm", "lx", "Bq", "Gy", "Sv", "kat", "m/s", "m/s^2", "m/s²", "kg/m^3", "kg/m³", "rad", "sr", "°", "deg", "%", "mol/L", "M"]

@@ -25,17 +25,6 @@ def review_queue(ann: DataFrame, **given) -> DataFrame:
     return ann.where(all_of(preds))
 
 
-def box_pixels(ann: DataFrame) -> DataFrame:
-    """One row for each pixel of an annotation's box (bx, bt, bw, bh)."""
-    row = ann.withColumn("y", F.explode(F.sequence("bt", F.col("bt") + F.col("bh") - 1)))
-    return row.withColumn("x", F.explode(F.sequence("bx", F.col("bx") + F.col("bw") - 1)))
-
-
-def topmost(px: DataFrame, cls: str = "cls", order: str = "z") -> DataFrame:
-    """(image, y, x, cls, claims): the class of the claim that is last in order (unique within a pixel); hashed maxima, combined before the shuffle."""
-    return px.groupBy("image", "y", "x").agg(F.max_by(cls, order).alias("cls"), F.count("*").alias("claims"))
-
-
 def box_cells(ann: DataFrame, tile: int = 64) -> DataFrame:
     """ann's rows for each cell of its box: y0, x0, h, w. Cells of one image are the same or apart.
 

@@ -15,6 +15,7 @@ from labelmill.functions import polar as P
 from labelmill.functions import text as X
 from labelmill.operators import bank as B
 from labelmill.operators import labels as L
+from labelmill.operators import regions as R
 from labelmill.operators import splits as SP
 from labelmill.operators import stats as S
 from labelmill.operators import tables as T
@@ -105,7 +106,7 @@ def test_components(spark):
                                 seen[p, q] = True
                                 todo.append((p, q))
                 sizes.append(n)
-        assert sorted(r["size"] for r in H.components(px, F.col("m"), eight).collect()) == sorted(sizes)
+        assert sorted(r["size"] for r in R.region_sizes(R.labelled_runs(px.withColumn("m", F.when(F.col("m"), 1)), "m", eight)).collect()) == sorted(sizes)
 
 
 @pytest.mark.parametrize("seed", range(5))
