@@ -640,6 +640,14 @@ def _(spark, sf):
     return rounded(p.agg(mean(same).alias("intra"), mean(~same).alias("inter")))
 
 
+@query("agg_nearest_agreement")
+def _(spark, sf):
+    """Leave-one-out agreement with the nearest colour by CIEDE2000; SQL would measure all pairs, so tests hold it against brute force."""
+    from labelmill.operators.colours import nearest_agreement
+
+    return rounded(nearest_agreement(colours(spark, sf), "label"))
+
+
 @query("agg_scaler", f"WITH {COLOURS}, s AS (SELECT avg(r) AS m, stddev_pop(r) AS d FROM col WHERE ok%5<>0) SELECT ok, ln, round((r-m)/d,6) AS r FROM col, s WHERE ok%5=0")
 def _(spark, sf):
     c = colours(spark, sf)

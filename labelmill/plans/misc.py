@@ -336,10 +336,36 @@ def _(spark, sf):
 
 @query("src_jdbc_index", "SELECT o_orderkey AS id, o_orderstatus AS state FROM orders WHERE o_custkey%2=0")
 def _(spark, sf):
-    """The index rebuilt as a Parquet table and read back; read_jdbc_index reads a relational one."""
-    path = scratch(spark, "index")
-    table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("image"), F.col("o_orderstatus").alias("state")).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).where("image % 2 = 0").select("id", "state")
+    """The index rebuilt as a relational table and read back in key ranges; the filter on `half` is the database's."""
+    from labelmill.sources.exports import index_url, rebuild_jdbc_index
+    from labelmill.sources.readers import read_jdbc_index
+
+    url = index_url(spark)
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ID"), (F.col("o_custkey") % 2).cast("int").alias("HALF"), F.col("o_orderstatus").alias("STATE"))
+    rebuild_jdbc_index(rows, url, "ANNOTATION_INDEX", "STATE VARCHAR(16)")
+    return read_jdbc_index(spark, url, "ANNOTATION_INDEX", "ID").where("HALF = 0").select(F.col("ID").alias("id"), F.col("STATE").alias("state"))
+
+
+IMG = "im AS (SELECT vec_id//64 AS image, CAST(vec_id%64 AS INTEGER) AS y, CAST(unnest(range(64)) AS INTEGER) AS x, CAST(floor(256*CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v FROM embeddings), bgr AS (SELECT image, y, x, (v%256+256)%256 AS b, ((v%256+256)%256*3+x)%256 AS g, ((v%256+256)%256*5+y)%256 AS r FROM im)"
+
+
+@query("src_images", f"WITH {IMG} SELECT image, count(*) AS pixels, CAST(sum(b) AS BIGINT) AS b, CAST(sum(g) AS BIGINT) AS g, CAST(sum(r) AS BIGINT) AS r, CAST(sum((y*64+x+1)*(b+256*g+65536*r)) AS BIGINT) AS places FROM bgr GROUP BY image")
+def _(spark, sf):
+    """An image for each 64 vectors, written as a bitmap file by the tasks and read by the image source."""
+    from labelmill.sources.exports import bmp, write_files
+    from labelmill.sources.readers import read_image_pixels
+
+    folder = scratch(spark, "images")
+    byte = lambda v: F.lpad(F.hex(F.pmod(v, F.lit(256)).cast("long")), 2, "0")
+    y = (F.col("vec_id") % 64).cast("int")
+    blue = lambda v: F.pmod(F.floor(256 * v.cast("double")), F.lit(256))
+    row = F.array_join(F.transform("embedding", lambda v, x: F.concat(byte(blue(v)), byte(blue(v) * 3 + x), byte(blue(v) * 5 + y))), "")
+    rows = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("image"), y.alias("y"), row.alias("row"))
+    files = rows.groupBy("image").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "row"))), lambda p: p["row"]).alias("rows"))  # 64 rows
+    write_files(files.select(F.concat(F.col("image").cast("string"), F.lit(".bmp")).alias("name"), bmp(F.col("rows"), 64).alias("content")), folder).write.format("noop").mode("overwrite").save()
+    px = read_image_pixels(spark, folder).withColumn("image", F.regexp_extract("image", r"(\d+)\.bmp$", 1).cast("long"))
+    place = (F.col("y") * 64 + F.col("x") + 1).cast("long") * (F.col("b") + 256 * F.col("g") + 65536 * F.col("r"))
+    return px.groupBy("image").agg(F.count("*").alias("pixels"), *[F.sum(c).alias(c) for c in "bgr"], F.sum(place).alias("places"))
 
 
 @query("src_plain_text", r"SELECT count(*) AS lines, min(h) AS first, max(h) AS last FROM (SELECT md5(regexp_replace(text,'[\r\n]',' ','g')) AS h FROM documents WHERE text<>'')")
