@@ -7,6 +7,11 @@ as its documents. A document's expected copies are prefix-summed in that order,
 source's offset is added, and each integer that the sum crosses gives a copy. The order
 rests on sizes and contents alone, not on how files are split; places come from ranges that
 are sorted apart, so that a source of any share of the rows is never gathered in one task.
+
+A document longer than SPARE of its source's target would decide alone whether the target is
+met. Its expected copies are the whole ones of its source's rate, and the mass that it leaves
+goes to the shorter documents, in equal shares. Where those, at `most` copies each, could not
+carry it, the limit doubles until they can.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from pyspark.sql.window import Window
 from labelmill.llm.common import cut, fraction, free_name, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
+SPARE = 0.05  # of a source's target; a document beyond it is long
+RUNGS = 6  # doublings of the limit, to more than the target; then no document is long
 
 
 def ordinal(df: DataFrame, order: list, name: str) -> DataFrame:
@@ -57,19 +64,35 @@ def turned(place, part):
     return F.when((part > 0) & (run % 2 == 1), first + last - place).otherwise(place)
 
 
+def limited(rows: DataFrame, share: DataFrame, most: int) -> DataFrame:
+    """share with long (how many documents are over the limit), whole (copies of each) and rate (expected copies of the others), from sums of each source's sizes."""
+    key = ["null_source", "source"]
+    under = [F.col("size") <= SPARE * 2**k * F.col("target") for k in range(RUNGS)]
+    sums = [F.sum(F.when(u, F.col("size")).otherwise(0)).alias(f"short{k}") for k, u in enumerate(under)] + [F.count_if(~u).alias(f"long{k}") for k, u in enumerate(under)]
+    share = share.join(rows.join(share.select(*key, "target"), key).groupBy(*key).agg(*sums), key).withColumn("whole", F.floor("rate"))
+    rest = lambda short: F.col("target") - F.col("whole") * (F.col("source_size") - short)  # noqa: E731  what the short ones have to carry
+    choice = lambda short, long: F.struct(short.cast("long").alias("short"), long.cast("long").alias("long"))
+    none, pick = choice(F.col("source_size"), F.lit(0)), F.when(F.col("rate") == F.col("whole"), choice(F.col("source_size"), F.lit(0)))
+    for k in range(RUNGS):
+        pick = pick.when(most * F.col(f"short{k}") >= rest(F.col(f"short{k}")), choice(F.col(f"short{k}"), F.col(f"long{k}")))
+    share = share.withColumn("pick", pick.otherwise(none))
+    rate = F.when(F.col("pick.long") == 0, F.col("rate")).when(F.col("pick.short") == 0, F.col("whole").cast("double")).otherwise(F.least(F.lit(float(most)), rest(F.col("pick.short")) / F.col("pick.short")))
+    return share.select(*key, "source_size", "target", rate.alias("rate"), "whole", F.col("pick.long").alias("long"), "offset", "base")
+
+
 def _decide(rows: DataFrame, weights, most: int, seed: str) -> DataFrame:
     """rows: row, source, size, tie (a hash of the content); adds source_size, target, copies."""
     share = cut(targets(rows, weights, most), "targets")
     share = share.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)).withColumn("offset", fraction("nth", seed=seed))
     before = Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     share = share.withColumn("base", F.coalesce(F.sum("docs").over(before), F.lit(0)))  # a row for each source
-    share = share.select(F.col("source").isNull().alias("null_source"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target", "rate", "offset", "base")
-    placed = ordinal(rows, [F.col("source").asc_nulls_last(), F.desc("size"), F.asc("tie")], "place")
-    placed = placed.withColumn("null_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit(""))).join(share, ["null_source", "source"])
-    rate = F.col("rate")
-    place = turned(F.col("place") - F.col("base"), rate - F.floor(rate))
+    named = lambda df: df.withColumn("null_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
+    share = cut(limited(named(rows), named(share), most), "rates")
+    placed = named(ordinal(rows, [F.col("source").asc_nulls_last(), F.desc("size"), F.asc("tie")], "place")).join(share, ["null_source", "source"])
+    rate, place = F.col("rate"), F.col("place") - F.col("base") - F.col("long")  # long ones come first
     upto = lambda k: F.floor(rate * k + F.col("offset"))
-    out = placed.withColumn("at", place).withColumn("copies", F.least(upto(F.col("at") + 1) - upto(F.col("at")), F.lit(most)))
+    out = placed.withColumn("at", turned(place, rate - F.floor(rate)))
+    out = out.withColumn("copies", F.when(place < 0, F.col("whole")).otherwise(F.least(upto(F.col("at") + 1) - upto(F.col("at")), F.lit(most))))
     return out.withColumn("source", F.when(~F.col("null_source"), F.col("source"))).select("row", "source", "size", "source_size", "target", "copies")
 
 
@@ -84,8 +107,8 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3,
     Every row stands for itself, also where it repeats or its id is null. Null and blank
     texts have size 0; a source without words has target 0 and gives no copies. The seed and
     the contents fix the result, however files are split; only which of some equal rows comes
-    once more is left open. A source's words miss its target by less than its largest
-    document. Other columns are ignored.
+    once more is left open. A source's words miss its target by less than its largest short
+    document: SPARE of the target, unless short documents are too few. Other columns are ignored.
     """
     rows = cut(_sizes(docs.withColumn("_row", F.monotonically_increasing_id()), "_row"), "sizes")
     made = _decide(rows.select("row", "source", "size", "tie"), weights, most, seed)
