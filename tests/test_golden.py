@@ -330,3 +330,22 @@ def test_permutation_importance(spark):
     score = F.avg((F.col("a") == F.col("id") % 2).cast("int"))
     got = {r.feature: r.drop for r in permutation_importance(df, "id", ["a", "b"], score, "s").collect()}
     assert got["b"] == 0 and got["a"] > 0.3
+
+
+def test_text_lines_are_no_whole_files(spark, tmp_path):
+    """A file larger than a split is read by several tasks, in whole lines."""
+    from labelmill.sources import readers as R
+
+    (tmp_path / "t").mkdir()
+    lines = [f"{i} ünï {'x' * (i % 97)}" for i in range(4000)]
+    (tmp_path / "t" / "a.txt").write_bytes("\n".join(lines).encode() + b"\n\xff\r")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = R.read_text_lines(spark, str(tmp_path / "t"))
+        assert got.rdd.getNumPartitions() > 4 and sorted(r.line for r in got.collect()) == sorted([*lines, "�\r"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "t" / "b.exe").write_bytes(b"x")
+    with pytest.raises(Exception, match="unsupported"):
+        R.read_text_lines(spark, str(tmp_path / "t")).collect()
