@@ -349,3 +349,27 @@ def test_text_lines_are_no_whole_files(spark, tmp_path):
     (tmp_path / "t" / "b.exe").write_bytes(b"x")
     with pytest.raises(Exception, match="unsupported"):
         R.read_text_lines(spark, str(tmp_path / "t")).collect()
+
+
+def test_boundary_distances_meet_near_rows_only(spark):
+    """Tall images, with rows and images that have no target: the same as all pairs, and no window runs over what follows."""
+    rng = np.random.default_rng(1)
+    f = rng.random((3, 2, 150, 7)) < np.array([0.2, 0.004, 0.05])[:, None, None, None]
+    f[2, 1] = False  # no target in this image
+    f[0, 1, 40:90] = False
+    rows = [(i, y, x, bool(f[i, 0, y, x]), bool(f[i, 1, y, x])) for i in range(3) for y in range(150) for x in range(7)]
+    d = L.boundary_distances(spark.createDataFrame(rows, "image int, y int, x int, a boolean, b boolean"), "a", "b")
+    got, want = {}, {}
+    for r in d.collect():
+        got.setdefault(r.image, []).append(round(r.d, 9))
+    for i in range(2):
+        pb = np.argwhere(f[i, 1])
+        want[i] = sorted(round(float(np.sqrt(((p - pb) ** 2).sum(axis=1).min())), 9) for p in np.argwhere(f[i, 0]))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
+    tall = spark.range(40000).select(F.lit(0).alias("image"), F.col("id").cast("int").alias("y"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x"))
+    tall = tall.withColumns({"a": F.col("x") == 0, "b": (F.col("x") == 1) & (F.col("y") % 5 == 0)})  # met all rows of a column: 320 million pairs
+    from labelmill.operators.lineage import cut
+
+    assert [(r.m, r.n) for r in L.boundary_distances(cut(tall), "a", "b").agg(F.round(F.max("d"), 9).alias("m"), F.count("*").alias("n")).collect()] == [(round(17**0.5, 9), 40000)]
