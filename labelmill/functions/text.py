@@ -31,9 +31,10 @@ BLOOM = {
 }
 # Fixed value: what a calculation looks like.
 CALCULATION = r"[=+\-*/^]|[0-9]+\s*(m/s|kg|N|J|W|Pa|mol|°)"
-# Recognised unit symbols and prefixes.
+# Recognised unit symbols and prefixes, and what a unit can't stand next to.
 UNITS = ["m", "kg", "s", "A", "K", "mol", "cd", "N", "J", "W", "Pa", "Hz", "C", "V", "Ω", "ohm", "F", "T", "Wb", "H", "lm", "lx", "Bq", "Gy", "Sv", "kat", "m/s", "m/s^2", "m/s²", "kg/m^3", "kg/m³", "rad", "sr", "°", "deg", "%", "mol/L", "M"]
 PREFIXES = ["k", "M", "G", "T", "m", "µ", "u", "n", "p", "c", "d", "h"]
+WORD = r"\p{L}\p{Nd}\p{Mn}_"
 
 
 def normalize(c: Column) -> Column:
@@ -144,11 +145,14 @@ def difficulty(stem: Column, options: Column) -> Column:
 
 
 def unit_check(c: Column) -> Column:
-    """True or False for a value that starts with a number: a recognised unit follows or not; null for others."""
+    """True or False for a value that starts with a number: a recognised unit follows or not; null for others.
+
+    A unit has no letter, digit, mark of a letter or _ on either side, in any script; \\b would depend on the engine.
+    """
     text = F.trim(c)
     rest = F.trim(F.regexp_replace(text, r"^-?[0-9]+(\.[0-9]+)?(\s*[eE][+-]?[0-9]+)?\s*", ""))
     symbols = "|".join(sorted((u.replace("^", r"\^") for u in UNITS if u not in ("°", "%", "Ω")), key=len, reverse=True))
-    known = rest.rlike(r"[°%Ω]$") | rest.rlike(rf"\b(?:{'|'.join(PREFIXES)})?(?:{symbols})\b")
+    known = rest.rlike(r"[°%Ω]$") | rest.rlike(rf"(?:^|[^{WORD}])(?:{'|'.join(PREFIXES)})?(?:{symbols})(?:$|[^{WORD}])")
     return F.when(text.rlike(r"^-?[0-9]+"), (rest != "") & known)
 
 

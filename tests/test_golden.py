@@ -373,3 +373,20 @@ def test_boundary_distances_meet_near_rows_only(spark):
     from labelmill.operators.lineage import cut
 
     assert [(r.m, r.n) for r in L.boundary_distances(cut(tall), "a", "b").agg(F.round(F.max("d"), 9).alias("m"), F.count("*").alias("n")).collect()] == [(round(17**0.5, 9), 40000)]
+
+
+def test_units_end_where_words_end_in_any_script(spark, tmp_path):
+    """The registered query and its SQL on what their engines take differently: letters beyond ASCII, line ends, blanks."""
+    import duckdb
+
+    from labelmill.plans import registry
+
+    registry.load()
+    told = {"2.0.\nFür": False, "3.\nFür": False, "5\tüm": False, "5µm": True, "5ém": False, "5\tm²": True, "5\tm̃": False, "5\t%\n": True, "5\tkg\n": True, "5\t% ": False, "5\x0bkg": True, "5\x0be3m": True, "5\tあm": False, "5\tmあ": False, "5\tm_": False, "7\tkg/m^3": True, "-7.5\tmol/L": True, "7": False, " 7\tkg": None, "7\t°": True, "7\tmb": False}
+    d = spark.createDataFrame([(3 * i, t, "en", "s") for i, t in enumerate(told)], "doc_id long, text string, lang string, source string")  # one word each, so every option is the text
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.id, r.i): r.has_unit for r in registry.QUERIES["fn_unit_check"](spark, str(tmp_path)).collect()}
+    assert got == {(3 * i, k): v for i, v in enumerate(told.values()) for k in range(4)}
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {(i, k): v for i, k, v in c.execute(registry.ORACLES["fn_unit_check"]).fetchall()} == got
