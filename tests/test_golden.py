@@ -390,3 +390,23 @@ def test_units_end_where_words_end_in_any_script(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert {(i, k): v for i, k, v in c.execute(registry.ORACLES["fn_unit_check"]).fetchall()} == got
+
+
+def test_nearest_earlier_in_tiles(spark, monkeypatch):
+    """Blocks of many tiles, copies, null, zero, ragged and non-finite vectors, against all pairs by the cosine expression."""
+    from labelmill.functions.text import cosine
+    from labelmill.operators import bank as B
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 4)).round(1).tolist()
+    rows = [(int(i), int(rng.integers(0, 2)), v[i % 70]) for i in rng.permutation(90)]
+    rows += [(100, 0, None), (101, 0, [0.0] * 4), (102, 0, [1.0, None, 1.0, 1.0]), (103, 0, [1.0, 2.0]), (104, None, v[0]), (105, 0, [1.0, 0.0, 0.0, float("nan")]), (106, 2, v[0]), (107, 3, None), (108, 3, v[1]), (109, 3, v[1])]
+    df = spark.createDataFrame(rows, "id long, g int, v array<float>")
+    p = df.join(df.select(F.col("id").alias("other"), "g", F.col("v").alias("w")), "g").where("other < id").select("id", "other", cosine(F.col("v"), F.col("w")).alias("s"))
+    best = p.groupBy("id").agg(F.max(F.struct(F.round("s", 9).alias("key"), (-F.col("other")).alias("neg"))).alias("m"))
+    want = {(r.id, -r.m.neg, repr(r.m.key)) for r in best.collect()}
+    for tile in (7, 4096):
+        got = B.nearest_earlier(df, ["g"], tile)
+        assert {(r.id, r.other, repr(None if r.score is None else round(r.score, 9) + 0.0)) for r in got.collect()} == {(a, b, c.replace("-0.0'", "0.0'")) for a, b, c in want}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "zip_with" not in plan  # no row for each pair
