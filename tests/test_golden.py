@@ -410,3 +410,19 @@ def test_nearest_earlier_in_tiles(spark, monkeypatch):
         assert {(r.id, r.other, repr(None if r.score is None else round(r.score, 9) + 0.0)) for r in got.collect()} == {(a, b, c.replace("-0.0'", "0.0'")) for a, b, c in want}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "zip_with" not in plan  # no row for each pair
+
+
+def test_dedup_pool_tells_its_pairs(spark):
+    """A row for each candidate, whose counts are those of all pairs."""
+    from labelmill.operators import bank as B
+
+    rng = np.random.default_rng(4)
+    pick = lambda *v: v[int(rng.integers(0, len(v)))]
+    rows = [(int(rng.integers(0, 70)), pick("a", "b", None), pick("x", "y", None), pick("REJECTED", "PENDING_REVIEW", "LOW_CONFIDENCE"), pick("s", " ")) for _ in range(200)]
+    got = [tuple(r) for r in B.dedup_pool(spark.createDataFrame(rows, "id long, subject string, topic string, status string, stem string")).collect()]
+    live = [r for r in rows if r[3] != "REJECTED" and r[4] != " "]
+    want = set()
+    for i, a, b, *_ in live:
+        pool = [r[0] for r in live if r[1:3] == (a, b)] if a and b else [i]
+        want.add((a and b and (a, b), i, min(pool), sum(o < i for o in pool), sum(o != i for o in pool)))
+    assert sorted(got) == sorted(w[1:] for w in want)
