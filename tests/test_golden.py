@@ -426,3 +426,23 @@ def test_dedup_pool_tells_its_pairs(spark):
         pool = [r[0] for r in live if r[1:3] == (a, b)] if a and b else [i]
         want.add((a and b and (a, b), i, min(pool), sum(o < i for o in pool), sum(o != i for o in pool)))
     assert sorted(got) == sorted(w[1:] for w in want)
+
+
+@pytest.mark.parametrize("name", ["fn_sanitize_html"])
+def test_texts_reach_workers_in_small_batches(spark, name):
+    from labelmill.plans import registry
+
+    registry.load()
+    of = "spark.sql.execution.arrow."
+    old = {k: spark.conf.get(of + k) for k in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    try:
+        spark.conf.set(f"{of}maxRecordsPerBatch", "10000")
+        spark.conf.set(f"{of}maxBytesPerBatch", "64MB")
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert (spark.conf.get(f"{of}maxRecordsPerBatch"), spark.conf.get(f"{of}maxBytesPerBatch")) == ("1000", str(8 << 20))
+        spark.conf.set(f"{of}maxRecordsPerBatch", "70")  # a limit of the session's own stays
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(f"{of}maxRecordsPerBatch") == "70"
+    finally:
+        for k, v in old.items():
+            spark.conf.set(of + k, v)
