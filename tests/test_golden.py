@@ -428,7 +428,7 @@ def test_dedup_pool_tells_its_pairs(spark):
     assert sorted(got) == sorted(w[1:] for w in want)
 
 
-@pytest.mark.parametrize("name", ["fn_sanitize_html"])
+@pytest.mark.parametrize("name", ["fn_chunk", "udtf_chunk", "fn_sanitize_html"])
 def test_texts_reach_workers_in_small_batches(spark, name):
     from labelmill.plans import registry
 
