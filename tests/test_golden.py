@@ -446,3 +446,18 @@ def test_texts_reach_workers_in_small_batches(spark, name):
     finally:
         for k, v in old.items():
             spark.conf.set(of + k, v)
+
+
+@pytest.mark.parametrize("name", ["win_white_balance_rgb"])
+def test_white_balance_deals_no_pixels(spark, name):
+    """Few images, many pixels: the means are known to be small, so no pixel is shuffled to its image's task."""
+    from labelmill.plans import registry
+
+    registry.load()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # less than the table
+    try:
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
