@@ -448,7 +448,7 @@ def test_texts_reach_workers_in_small_batches(spark, name):
             spark.conf.set(of + k, v)
 
 
-@pytest.mark.parametrize("name", ["win_white_balance_rgb"])
+@pytest.mark.parametrize("name", ["win_white_balance", "win_white_balance_rgb"])
 def test_white_balance_deals_no_pixels(spark, name):
     """Few images, many pixels: the means are known to be small, so no pixel is shuffled to its image's task."""
     from labelmill.plans import registry
