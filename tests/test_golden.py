@@ -461,3 +461,24 @@ def test_white_balance_deals_no_pixels(spark, name):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hash_embedding_sends_counts(spark):
+    """Texts of one key count together, empty and null ones give nothing, and no row for each token is shuffled."""
+    import hashlib
+
+    from labelmill.operators.corpus import hash_embedding
+
+    texts = [(1, "Ab ab c9-ü K"), (1, "c9"), (2, None), (3, " -"), (None, "x"), (4, "word " * 5000 + "İx")]
+    df = spark.createDataFrame(texts, "k long, t string")
+    e = hash_embedding(df, "k", "t", 16)
+    want = {}
+    for k, words in ((1, ["ab", "ab", "c9", "k", "c9"]), (4, ["word"] * 5000 + ["i", "x"])):
+        n = {}
+        for w in words:
+            bucket = int(hashlib.sha256(w.encode()).hexdigest()[:16], 16) % 16
+            n[bucket] = n.get(bucket, 0) + 1
+        norm = sum(v * v for v in n.values()) ** 0.5
+        want |= {(k, b): round(v / norm, 9) for b, v in n.items()}
+    assert {(r.k, r.bucket): round(r.weight, 9) for r in e.collect()} == want
+    assert e._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1  # was one for each of three groupings and a join
