@@ -482,3 +482,14 @@ def test_hash_embedding_sends_counts(spark):
         want |= {(k, b): round(v / norm, 9) for b, v in n.items()}
     assert {(r.k, r.bucket): round(r.weight, 9) for r in e.collect()} == want
     assert e._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1  # was one for each of three groupings and a join
+
+
+def test_permutation_sends_no_hashes(spark):
+    """Hashes are made where rows are sorted: as bytes, above the shuffle; the order is the hashes' own."""
+    from labelmill.operators.importance import permutation_importance
+
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("a"), F.xxhash64("id").alias("b"))
+    plan = permutation_importance(df, "id", ["a"], F.sum(F.col("a") * F.col("b") % 1000), "s", 3)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    below = [x for x in plan.splitlines() if "md5" in x]
+    assert below and all("unhex" in x for x in below)
+    assert all("Exchange" in plan.splitlines()[i + 1] for i, x in enumerate(plan.splitlines()) if "Project" in x and "md5" in x)
