@@ -51,3 +51,16 @@ def test_bounds_lose_nothing_and_skip_cells():
     ask = C.cells_to_ask(far, radius, kth)
     assert all(ask[i, cell[j]] for i in range(0, 1200, 17) for j in np.flatnonzero(d[i] <= kth[i]))
     assert ask.mean() < 0.3  # most cells are left alone
+
+
+def test_distances_to_pivots_in_slices():
+    """A batch's distances to all pivots are never held at once, and are the same."""
+    import numpy as np
+    import pandas as pd
+
+    from labelmill.operators import corpus as C
+
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(1300, 8)), rng.normal(size=(40, 8))
+    parts = list(C.some_to_pivots(pd.Series(list(x)), c, "euclid"))
+    assert [len(p) for p in parts] == [512, 512, 276] and np.allclose(np.concatenate(parts), C.to_pivots(x, c))
