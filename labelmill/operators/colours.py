@@ -56,8 +56,8 @@ def differences(l1: pd.Series, a1: pd.Series, b1: pd.Series, l2: pd.Series, a2:
     return pd.Series(np.round(np.sqrt(np.maximum(0.0, x * x + y * y + z * z + turned * y * z)), 9))
 
 
-def nearest_colours(points: DataFrame, full: int = FULL) -> DataFrame:
-    """(id, near, distance): for each row of points (id, l, a, b; distinct 8-bit colours) all others at its least CIEDE2000 difference, rounded to nine places.
+def nearest_colours(points: DataFrame, full: int = FULL, asked: DataFrame | None = None) -> DataFrame:
+    """(id, near, distance): for each row of points (id, l, a, b; distinct 8-bit colours), or those whose id is in `asked`, all others at its least CIEDE2000 difference, rounded to nine places.
 
     A colour's own cell, or the first of cells three times as wide that has another colour, gives a difference; the cells
     within its bound are then looked through. Colours are at most 2^24, however many observations have them, and cells
@@ -71,7 +71,8 @@ def nearest_colours(points: DataFrame, full: int = FULL) -> DataFrame:
     lab = lambda p: tuple(F.col(f"{p}.{c}") for c in "lab")
     one, other = F.struct("id", "l", "a", "b").alias("p"), F.struct("id", "l", "a", "b").alias("q")
     apart = differences(*lab("p"), *lab("q"))
-    left, width, found = points, side, []
+    left = points if asked is None else cut(points.join(asked.select("id"), "id", "left_semi"), "colours-asked")
+    width, found = side, []
     while n > 1:
         pairs = left.select(cell(width).alias("cell"), one).join(points.select(cell(width).alias("cell"), other), "cell").where("p.id <> q.id").withColumn("d", apart)
         found.append(cut(pairs.groupBy("p").agg(F.min("d").alias("found")), "colours-first"))
@@ -91,9 +92,9 @@ def nearest_colours(points: DataFrame, full: int = FULL) -> DataFrame:
     asks = first.withColumns({"dl": dl, "dab": dab}).select("*", F.explode(span("l", F.col("dl"))).alias("cl")).select("*", F.explode(span("a", F.col("dab"))).alias("ca"))
     off = lambda c, v: F.greatest(F.lit(0.0), v * side - F.col(f"p.{c}"), F.col(f"p.{c}") - (v + 1) * side)  # noqa: E731  from p to the cell along an axis
     asks = asks.select("*", F.explode(span("b", F.col("dab"))).alias("cb")).where(F.hypot(off("a", F.col("ca")), off("b", F.col("cb"))) <= F.col("dab"))
-    asks = asks.select("p", "found", "dl", "dab", F.struct(F.col("cl").alias("l"), F.col("ca").alias("a"), F.col("cb").alias("b")).alias("cell"))
+    asks = asks.select("p", "found", F.struct(F.col("cl").alias("l"), F.col("ca").alias("a"), F.col("cb").alias("b")).alias("cell"))
     near = asks.join(points.select(cell(side).alias("cell"), other), "cell").where("p.id <> q.id")
-    near = near.where((F.abs(F.col("p.l") - F.col("q.l")) <= F.col("dl")) & (F.hypot(F.col("p.a") - F.col("q.a"), F.col("p.b") - F.col("q.b")) <= F.col("dab")))
+    near = near.where((F.abs(F.col("p.l") - F.col("q.l")) <= dl) & (F.hypot(F.col("p.a") - F.col("q.a"), F.col("p.b") - F.col("q.b")) <= dab))
     near = near.select(F.col("p.id").alias("id"), F.col("q.id").alias("near"), "found", apart.alias("distance")).where(F.col("distance") <= F.col("found"))
     near = cut(near.select("id", "near", "distance"), "colours-near")
     return near.join(near.groupBy("id").agg(F.min("distance").alias("distance")), ["id", "distance"]).select("id", "near", "distance")
@@ -114,7 +115,7 @@ def nearest_agreement(observations: DataFrame, label: str) -> DataFrame:
     points = total.select("id", *[v.alias(c) for v, c in zip(rgb_to_lab(*rgb), "lab", strict=True)])
     own = by.join(total, "id").where("all > 1").select("label", "n", (F.col("n") * (F.col("n") - 1) / (F.col("all") - 1)).alias("agree"))
     lone = by.join(total.where("all = 1").select("id"), "id")
-    near = nearest_colours(points).join(lone.select("id", "label"), "id")  # a lone observation has one class
+    near = nearest_colours(points, asked=lone).join(lone.select("id", "label"), "id")  # a lone observation has one class; others are nearest to each other
     around = near.join(by.select(F.col("id").alias("near"), F.col("label").alias("other"), "n"), "near")
     alone = around.groupBy("id", "label").agg((F.sum(F.when(F.col("other") == F.col("label"), F.col("n")).otherwise(0)) / F.sum("n")).alias("agree"))
     alone = lone.select("id", "label").join(alone.drop("label"), "id", "left").select("label", F.lit(1).cast("long").alias("n"), F.coalesce("agree", F.lit(0.0)).alias("agree"))

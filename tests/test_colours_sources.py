@@ -128,3 +128,20 @@ def test_files_of_null_and_repeated_rows(spark, tmp_path):
     df = spark.createDataFrame([("a", b"x"), ("b", None), ("c", b""), ("a", b"x")], "name string, content binary")
     assert {(r.name, r.size) for r in write_files(df, str(tmp_path / "f")).collect()} == {("a", 1), ("c", 0)}
     assert sorted((r.path.rsplit("/", 1)[1], r.size) for r in read_binary(spark, str(tmp_path / "f")).collect()) == [("a", 1)]  # empty files are passed over
+
+
+def test_only_asked_colours_ask(spark):
+    """Neighbours of some colours among all: the rows that all of them would give; shared colours are not looked up."""
+    from unittest import mock
+
+    from labelmill.operators import colours
+
+    points = points_of(spark, [i * 977 % (1 << 24) for i in range(60)])
+    some = points.where("id % 3 = 0").select("id")
+    full = {(r.id, r.near, r.distance) for r in colours.nearest_colours(points).collect()}
+    assert {(r.id, r.near, r.distance) for r in colours.nearest_colours(points, asked=some).collect()} == {r for r in full if r[0] % 3 == 0}
+    seen = []
+    real = colours.nearest_colours
+    with mock.patch.object(colours, "nearest_colours", lambda p, **k: seen.append(k["asked"]) or real(p, **k)):
+        colours.nearest_agreement(spark.createDataFrame([(1, 2, 3, "x"), (1, 2, 3, "y"), (9, 9, 9, "x")], "r int, g int, b int, label string"), "label")
+    assert [r.id for r in seen[0].select("id").collect()] == [9 * 65536 + 9 * 256 + 9]
