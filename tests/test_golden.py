@@ -178,6 +178,31 @@ def test_lexical_pairs_lose_nothing(spark):
     assert {(r.id, r.matched) for r in B.lexical_pairs(twice).collect()} == want
 
 
+def test_lexical_pairs_of_long_texts_are_few(spark, monkeypatch):
+    import difflib
+
+    rng = np.random.default_rng(17)
+    words = ["".join(rng.choice(list("etaoinsrhlducmwfgypb"), rng.integers(2, 9))) + ("vkjxqz"[int(rng.integers(6))] if rng.random() < 0.15 else "") for _ in range(150)]
+    stems = [" ".join(rng.choice(words, n)) for n in rng.integers(30, 160, 60)]
+    for share in (0.005, 0.01, 0.02, 0.04, 0.06, 0.08) * 15:  # texts about the threshold, by changed letters, words and moved parts
+        w = stems[int(rng.integers(60))].split(" ")
+        for _ in range(int(share * len(w))):
+            k = int(rng.integers(len(w)))
+            w[k] = w[k][::-1] if rng.random() < 0.5 else words[int(rng.integers(150))]
+        if rng.random() < 0.3:
+            w = w[3:] + w[:3]
+        stems.append(" ".join(w))
+    stems = list(dict.fromkeys(stems))
+    df = spark.createDataFrame([(int(i), "s", None, s) for i, s in zip(rng.permutation(len(stems)), stems, strict=True)], "id long, subject string, topic string, stem string")
+    by_id = sorted((r.id, r.stem) for r in df.collect())
+    want = {(i, j) for i, a in by_id for j, b in by_id[:i] if difflib.SequenceMatcher(None, a, b).quick_ratio() >= 0.9 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.9}
+    for tile in (2048, 7):
+        found = [(r.id, r.matched) for r in B.lexical_pairs(df, tile=tile).collect()]
+        assert len(want) > 20 and sorted(found) == sorted(want)
+    monkeypatch.setattr(H, "difflib_ratio", lambda least: lambda s, t: F.lit(1.0))
+    assert B.lexical_pairs(df).count() < 4 * len(want)  # pairs that are measured; unlike texts of alike letters are not
+
+
 def test_cascade_by_brute_force(spark):
     import difflib
 
