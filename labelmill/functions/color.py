@@ -88,19 +88,30 @@ def hue_circle(h: Column) -> tuple[Column, Column]:
     return F.sin(2 * math.pi * h), F.cos(2 * math.pi * h)
 
 
-def perturbations(r: Column, g: Column, b: Column, x: Column, y: Column, width: int, height: int, key: Column, sigma: float = 6.0) -> dict[str, tuple[Column, Column, Column]]:
-    """Changes of acquisition by name, unclipped: brightness, dark, white_balance, gamma, shadow (darker to the left), specular (a spot at a third), noise (normal, by hashes of key)."""
-    each = lambda f: tuple(map(f, (r, g, b)))
+def perturbation_kinds(x: Column, y: Column, width: int, height: int, key: Column, sigma: float = 6.0) -> Column:
+    """Changes of acquisition as an array of (kind, fr, fg, fb, plus): factors of the channels, and what is added to each.
+
+    Kinds: brightness, dark, white_balance, gamma, shadow (darker to the left), specular (a spot at a third), noise (normal,
+    by hashes of key). Explode it, then take perturbed: expressions of all kinds and channels in one row are more code
+    than the JVM compiles.
+    """
     unit = lambda i: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{i} "), key)), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296
     shade = 0.6 + 0.4 * x / float(max(width - 1, 1))
     spot = 120 * F.exp(-(F.pow(y - height / 3, F.lit(2)) + F.pow(x - width / 3, F.lit(2))) / (2 * (0.08 * max(width, height)) ** 2))
     noise = sigma * F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.pi() * unit(2))
-    return {
-        "brightness": each(lambda c: c * 1.25),
-        "dark": each(lambda c: c * 0.75),
-        "white_balance": (r * 1.08, g * 1.0, b * 0.9),
-        "gamma": each(lambda c: 255 * F.pow(c / 255.0, F.lit(1.3))),
-        "shadow": each(lambda c: c * shade),
-        "specular": each(lambda c: c + spot),
-        "noise": each(lambda c: c + noise),
+    one, none = F.lit(1.0), F.lit(0.0)
+    kinds = {
+        "brightness": ([F.lit(1.25)] * 3, none),
+        "dark": ([F.lit(0.75)] * 3, none),
+        "white_balance": ([F.lit(1.08), one, F.lit(0.9)], none),
+        "gamma": ([one] * 3, none),
+        "shadow": ([shade] * 3, none),
+        "specular": ([one] * 3, spot),
+        "noise": ([one] * 3, noise),
     }
+    return F.array(*[F.struct(F.lit(k).alias("kind"), *[f.alias(n) for f, n in zip(fs, ("fr", "fg", "fb"), strict=True)], plus.alias("plus")) for k, (fs, plus) in kinds.items()])
+
+
+def perturbed(c: Column, kind: Column, factor: Column, plus: Column) -> Column:
+    """A channel after a change, unclipped; gamma is a power of its share of 255."""
+    return F.when(kind == "gamma", 255 * F.pow(c / 255.0, F.lit(1.3))).otherwise(c * factor + plus)

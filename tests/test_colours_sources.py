@@ -145,3 +145,14 @@ def test_only_asked_colours_ask(spark):
     with mock.patch.object(colours, "nearest_colours", lambda p, **k: seen.append(k["asked"]) or real(p, **k)):
         colours.nearest_agreement(spark.createDataFrame([(1, 2, 3, "x"), (1, 2, 3, "y"), (9, 9, 9, "x")], "r int, g int, b int, label string"), "label")
     assert [r.id for r in seen[0].select("id").collect()] == [9 * 65536 + 9 * 256 + 9]
+
+
+def test_perturbations_are_code_that_the_jvm_compiles(spark):
+    import re
+
+    import __spark_entry__
+
+    df = __spark_entry__.queries()["fn_perturb"](spark, "/root/testdata/sf0.001")
+    told = spark.sparkContext._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", told)]
+    assert sizes and max(sizes) < 8000  # bytes of a method that HotSpot still compiles
