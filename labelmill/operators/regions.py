@@ -101,15 +101,53 @@ def corners(runs: DataFrame) -> DataFrame:
     return c.select("image", "comp", "y", "x", "c.row", "c.col", "c.out", "bs")
 
 
-def outlines(runs: DataFrame) -> DataFrame:
+#: Corners of a region that one task chains; those of larger regions are chained by pointer doubling.
+LOCAL = 1 << 16
+
+
+def traced(batches):
+    """Rings (image, comp, fy, fx, fv, points) of whole regions from their corners, region after region: image, comp, region, v, nxt, y, x."""
+    rest = None
+
+    def rings_of(d: pd.DataFrame) -> pd.DataFrame:
+        v, y, x, out = d["v"].to_numpy(), d["y"].to_numpy(), d["x"].to_numpy(), []
+        by_v = np.argsort(v)
+        nxt = by_v[np.searchsorted(v[by_v], d["nxt"].to_numpy())].tolist()
+        seen, ys, xs = bytearray(len(v)), y.tolist(), x.tolist()
+        for first in np.lexsort((v, x, y)).tolist():
+            if seen[first]:
+                continue
+            ring, i = [], first
+            while not seen[i]:
+                seen[i] = 1
+                ring.append({"x": xs[i], "y": ys[i]})
+                i = nxt[i]
+            out.append((first, ring))
+        of = d.iloc[[f for f, _ in out]]
+        return pd.DataFrame({"image": of["image"].to_numpy(), "comp": of["comp"].to_numpy(), "fy": of["y"].to_numpy(), "fx": of["x"].to_numpy(), "fv": of["v"].to_numpy(), "points": [r for _, r in out]})
+
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if len(b):
+            last = b["region"] == b["region"].iloc[-1]  # may go on in the next batch
+            rest = b[last]
+            if not last.all():
+                yield rings_of(b[~last].reset_index(drop=True))
+    if rest is not None and len(rest):
+        yield rings_of(rest.reset_index(drop=True))
+
+
+def outlines(runs: DataFrame, local: int = LOCAL) -> DataFrame:
     """(image, comp, ring, hole, points, area2): the closed rings of each region; area2 is twice the signed area, negative for holes.
 
     runs: image, comp, y, x0, x1. Points are corners in pixel edges, from the topmost (then leftmost) on, with the region
-    on the right; only corners where the outline turns are kept. Corners on a line, and on a column, pair up into edges;
-    edges are chained into rings by pointer doubling. ring numbers a region's rings by their first point.
+    on the right; only corners where the outline turns are kept. Corners on a line, and on a column, pair up into edges.
+    Regions of at most `local` corners are chained where they lie, larger ones by pointer doubling. ring numbers a region's
+    rings by their first point.
     """
     c = corners(runs).withColumn("v", F.monotonically_increasing_id())
     c = cut(c, "corners")
+    large = cut(c.groupBy("image", "comp").agg(F.count("*").alias("n")).where(F.col("n") > local).select("image", "comp"), "large-regions")
     line, column = Window.partitionBy("image", "comp", "y").orderBy("x", "row"), Window.partitionBy("image", "comp", "x").orderBy("y", "col")
     # along a line corners pair up from the left: the first of a pair goes right or comes from the right
     pair = (F.row_number().over(line) - 1) % 2
@@ -117,13 +155,21 @@ def outlines(runs: DataFrame) -> DataFrame:
         F.when(F.col("out") == "up", F.lag("v").over(column)).when(F.col("out") == "down", F.lead("v").over(column))
         .otherwise(F.when(pair == 0, F.lead("v").over(line)).otherwise(F.lag("v").over(line)))
     )
-    linked = c.withColumn("nxt", nxt).withColumn("start", F.struct("image", "comp", "y", "x", "v"))
-    walked = rings(linked.select("v", "nxt", "start", "y", "x"), "start")
-    # left is 0 at the first corner, and falls along the ring from there
-    order = F.when(F.col("left") == 0, F.lit(-(1 << 62))).otherwise(-F.col("left"))
-    ring = walked.groupBy("first").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "x", "y"))).alias("p"))  # a ring's corners
-    points = F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
-    ring = ring.select(F.col("first.image").alias("image"), F.col("first.comp").alias("comp"), F.col("first.y").alias("fy"), F.col("first.x").alias("fx"), F.col("first.v").alias("fv"), points.alias("points"))
+    kinds = dict(c.dtypes)
+    # regions of a bounded size share no line with others, so one shuffle serves both orders and the chains
+    small = c.join(large, ["image", "comp"], "left_anti").repartition("image", "comp").withColumn("nxt", nxt).withColumn("region", F.min("v").over(Window.partitionBy("image", "comp")))
+    small = small.sortWithinPartitions("region").select("image", "comp", "region", "v", "nxt", "y", "x")
+    point = f"array<struct<x:{kinds['x']},y:{kinds['y']}>>"
+    ring = small.mapInPandas(traced, f"image {kinds['image']}, comp {kinds['comp']}, fy {kinds['y']}, fx {kinds['x']}, fv long, points {point}")
+    if large.limit(1).count():
+        linked = c.join(large, ["image", "comp"], "left_semi").withColumn("nxt", nxt).withColumn("start", F.struct("image", "comp", "y", "x", "v"))
+        walked = rings(linked.select("v", "nxt", "start", "y", "x"), "start")
+        # left is 0 at the first corner, and falls along the ring from there
+        order = F.when(F.col("left") == 0, F.lit(-(1 << 62))).otherwise(-F.col("left"))
+        far = walked.groupBy("first").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "x", "y"))).alias("p"))  # a ring's corners
+        points = F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
+        far = far.select(F.col("first.image").alias("image"), F.col("first.comp").alias("comp"), F.col("first.y").alias("fy"), F.col("first.x").alias("fx"), F.col("first.v").alias("fv"), points.alias("points"))
+        ring = ring.unionByName(far)
     after = F.concat(F.slice("points", 2, F.size("points") - 1), F.slice("points", 1, 1))
     twice = F.aggregate(F.zip_with("points", after, lambda p, q: p["x"].cast("long") * q["y"] - q["x"].cast("long") * p["y"]), F.lit(0).cast("long"), lambda s, v: s + v)
     number = F.row_number().over(Window.partitionBy("image", "comp").orderBy("fy", "fx", "fv"))

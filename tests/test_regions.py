@@ -237,3 +237,17 @@ def test_ranks_are_those_of_one_sort(spark):
         assert [got[i] for i in sorted((i for i, k in rows if k == s), reverse=True)] == list(range(1, 1 + sum(k == s for _, k in rows)))
     assert sorted(r.n for r in ranked(df, [F.asc("id")], "n").collect()) == list(range(1, 501))
     assert ranked(df.where("false"), [F.asc("id")], "n", ("s",)).count() == 0
+
+
+def test_outlines_of_small_and_large_regions_agree(spark):
+    rng = np.random.default_rng(23)
+    px = spark.createDataFrame([(k, y, x, int(v)) for k in range(3) for (y, x), v in np.ndenumerate(rng.random((24, 24)) < 0.6)], "image long, y int, x int, v int")
+    runs = R.labelled_runs(px, "v")
+    rows = lambda d: sorted((r.image, r.comp, r.ring, r.hole, r.area2, tuple((p.x, p.y) for p in r.points)) for r in d.collect())
+    here = rows(R.outlines(runs))
+    assert len(here) > 50 and here == rows(R.outlines(runs, local=0)) == rows(R.outlines(runs, local=40))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # regions go on from batch to batch
+    try:
+        assert here == rows(R.outlines(runs))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
