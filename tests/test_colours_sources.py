@@ -156,3 +156,21 @@ def test_perturbations_are_code_that_the_jvm_compiles(spark):
     told = spark.sparkContext._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", told)]
     assert sizes and max(sizes) < 8000  # bytes of a method that HotSpot still compiles
+
+
+def test_many_files_are_listed_in_folders_and_read_in_few_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    import __spark_entry__
+    from labelmill.sources.exports import write_files
+
+    df = spark.createDataFrame([("x/a", bytearray(b"1")), ("x/y/b", bytearray(b"22")), ("c", bytearray(b"3"))], "name string, content binary")
+    assert {(r.name, r.size) for r in write_files(df, str(tmp_path / "f")).collect()} == {("x/a", 1), ("x/y/b", 2), ("c", 1)}
+    assert (tmp_path / "f" / "x" / "y" / "b").read_bytes() == b"22"
+    none = str(tmp_path / "none")
+    spark.range(0).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).write.parquet(f"{none}/documents.parquet")
+    assert __spark_entry__.queries()["src_binary_hash"](spark, none).count() == 0
+    many = str(tmp_path / "many")
+    spark.range(1200).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")).write.parquet(f"{many}/documents.parquet")
+    out = __spark_entry__.queries()["src_binary_hash"](spark, many)
+    assert out.count() == 1200 and out.rdd.getNumPartitions() < 30  # at 4 MB for opening a file it is 38 tasks
