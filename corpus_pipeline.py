@@ -29,12 +29,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard of five-word shingles 0.8 or more) the document with the smallest id stays."""
-    return deduplicated(docs, half=1, width=5, least=0.8)
+    return deduplicated(docs, half=1, width=5, least=0.8, stored=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as their source's target weight asks for."""
-    return mixed(docs, weights=(5.0, 2.0, 1.0), most=3)
+    return mixed(docs, weights=(5.0, 2.0, 1.0), most=3, stored=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

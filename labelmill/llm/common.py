@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -48,6 +49,27 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, row: str, stored: bool = False) -> DataFrame:
+    """docs with a number of each row as `row`, the same however often it is read.
+
+    docs is written with its numbers. If it is stored, that is, a Parquet table as read and nothing more, its rows are told
+    by file and place instead, and nothing is written but the list of files; any other frame is written all the same.
+    """
+    if stored:
+        path, at = free_name(docs, "path"), free_name(docs, "at")
+        try:
+            told = docs.metadataColumn("_metadata")
+            placed = docs.withColumns({path: told["file_path"], at: told["row_index"]})
+        except AnalysisException:  # no table of files
+            placed = None
+        if placed is not None:
+            rows, places = placed.select(F.count("*"), F.count_distinct(path, at)).first()
+            if rows == places:
+                files = cut(placed.select(path).distinct().withColumn(row, F.row_number().over(Window.orderBy(path)).cast("long")), "files")  # a row for each file
+                return placed.join(F.broadcast(files), path).select(*docs.columns, F.shiftleft(row, 36).bitwiseOR(F.col(at)).alias(row))
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
 def words_lower(text: str | None) -> list[bytes]:
     """Lower-cases A-Z; words between ASCII white space, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()

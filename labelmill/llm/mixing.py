@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labelmill.llm.common import cut, fraction, free_name, n_words
+from labelmill.llm.common import cut, fraction, free_name, n_words, numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SPARE = 0.05  # of a source's target; a document beyond it is long
@@ -96,9 +96,9 @@ def _decide(rows: DataFrame, weights, most: int, seed: str) -> DataFrame:
     return out.withColumn("source", F.when(~F.col("null_source"), F.col("source"))).select("row", "source", "size", "source_size", "target", "copies")
 
 
-def _sizes(numbered: DataFrame, row: str) -> DataFrame:
+def _sizes(docs: DataFrame, row: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return numbered.select(F.col(row).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", text).alias("tie"))
+    return docs.select(F.col(row).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", text).alias("tie"))
 
 
 def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
@@ -115,11 +115,14 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3,
     return rows.select("row", "doc_id").join(made, "row").select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
-    """The rows of docs with all their columns, each as often as the mix takes it (see shares, also for nulls, ties and repeats); an empty table stays empty."""
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, seed: str = "mix", stored: bool = False) -> DataFrame:
+    """The rows of docs with all their columns, each as often as the mix takes it (see shares, also for nulls, ties and repeats); an empty table stays empty.
+
+    stored: docs is a Parquet table as read, of which no copy is written.
+    """
     row = free_name(docs, "row")
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    sizes = cut(_sizes(numbered, row).drop("doc_id"), "sizes")
+    docs_rows = numbered(docs, row, stored)
+    sizes = cut(_sizes(docs_rows, row).drop("doc_id"), "sizes")
     made = _decide(sizes, weights, most, seed).where("copies > 0")
     times = made.select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(free_name(docs, "copy_no")))
-    return numbered.join(times, row).select(*docs.columns)
+    return docs_rows.join(times, row).select(*docs.columns)

@@ -2,8 +2,11 @@
 
 Of two sets whose similarity reaches the threshold, the parts that come first in any common
 order of shingles share one (prefix filter), so only those parts are spread, rare shingles
-first, and nothing is lost. Copies of a set are one entry. Each shingle first proposes pairs
-with its smallest set alone; all its pairs are proposed only where the groups found so far
+first, and nothing is lost. Copies of a set are one entry. How much of the parts counts rests
+on both sizes: of two sets of n shingles at 0.8 the first ninth, not the first fifth, so that
+a set with many shingles of its own does not meet all others by those that are common. Each
+shingle first proposes pairs with one set alone, the one that it stands foremost in, which
+has the fewest of its own; all its pairs are proposed only where the groups found so far
 still differ, so a hot group of near copies costs a star, not its square. Every proposed
 pair is checked on the texts.
 """
@@ -81,6 +84,12 @@ def parts(texts: DataFrame, width: int, least: float) -> DataFrame:
     return texts.mapInPandas(read, "row long, key binary, size int, fp long, part array<long>, late boolean, last long")
 
 
+def _asked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (row, ...) that pairs (a, b) ask for, as long as their list is short; else all."""
+    asked = cut(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "asked")
+    return rows.join(F.broadcast(asked), "row", "left_semi") if asked.count() <= ASKED else rows
+
+
 def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Of pairs (a, b) of rows, those whose texts are similar. Texts that no pair asks for are left where they are, as long as the list of rows is short."""
 
@@ -93,9 +102,7 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
             out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "asked")
-    if asked.count() <= ASKED:
-        texts = texts.join(F.broadcast(asked), "row", "left_semi")
+    texts = _asked(texts, pairs)
     side = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(close("text_a", "text_b")).select("a", "b"), "similar")
 
@@ -103,26 +110,33 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
 def links(texts: DataFrame, parts: DataFrame, width: int, least: float, proposed: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all similar pairs, and no others; parts: row, size, part, late, last, distinct sets; texts: row, text; proposed: further pairs worth a look.
 
-    Of two first parts, the one that ends first has, in its order, no shingle of the other set but those they share: what it
-    does not share is outside the other set, and may be no more than the similarity leaves.
+    Similar sets of x and y shingles share `need` of them, the first of which stands at most x - need and y - need places
+    after their first ones; so a shingle proposes only sets in which it stands there. Of two first parts, the one that ends
+    first has, in its order, no shingle of the other set but those they share: what it does not share is outside the other
+    set, and may be no more than the similarity leaves.
     """
-    spread = parts.select("row", "size", F.size("part").alias("many"), "late", "last", F.explode("part").alias("shingle"))
+    spread = parts.select("row", "size", F.posexplode("part").alias("at", "shingle"))
     group = Window.partitionBy("shingle")
-    shared = cut(spread.withColumn("n", F.count("*").over(group)).withColumn("hub", F.min(F.struct("row", "size")).over(group)).where("n > 1").drop("n"), "shared")
-    close = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
-    stars = shared.where(F.col("row") > F.col("hub.row")).where(close(F.col("size"), F.col("hub.size"))).select(F.col("hub.row").alias("a"), F.col("row").alias("b"))
+    shared = cut(spread.withColumn("n", F.count("*").over(group)).withColumn("hub", F.min(F.struct("at", "row", "size")).over(group)).where("n > 1").drop("n"), "shared")
+    need = lambda x, y: F.ceil(least / (1 + least) * (x["size"] + y["size"]) - 1e-9)  # noqa: E731  shingles that similar sets share
+    early = lambda x, y: (x["at"] <= x["size"] - need(x, y)) & (y["at"] <= y["size"] - need(x, y))
+    this = {"at": F.col("at"), "size": F.col("size")}
+    stars = shared.where((F.col("row") != F.col("hub.row")) & early(this, F.col("hub"))).select(F.least("row", "hub.row").alias("a"), F.greatest("row", "hub.row").alias("b"))
     stars = cut(stars.union(proposed).distinct(), "stars")
     first = similar(stars, texts, width, least)
     label = cut(components(first, "a", "b"), "star-groups")
     left = cut(shared.drop("hub").join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("component", "row")).drop("component"), "shared-labelled")
     mixed = left.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
     left = cut(left.join(mixed, "shingle"), "shared-mixed")
-    ends = F.struct("size", "many", "late", "last")
+    ends = F.struct("at", "size")
     one, other = left.select("shingle", F.col("row").alias("a"), "label", ends.alias("x")), left.select("shingle", F.col("row").alias("b"), F.col("label").alias("label_b"), ends.alias("y"))
-    rest = one.join(other, "shingle").where("a < b and label <> label_b").where(close(F.col("x.size"), F.col("y.size")))
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("both"), F.first("x").alias("x"), F.first("y").alias("y"))
-    apart = lambda c: F.col(f"{c}.size") - F.ceil(least / (1 + least) * (F.col("x.size") + F.col("y.size")) - 1e-9)  # noqa: E731  shingles that one may have alone
-    x_ends = F.struct("x.late", "x.last") <= F.struct("y.late", "y.last")
-    rest = rest.where(F.when(x_ends, F.col("x.many") - F.col("both") <= apart("x")).otherwise(F.col("y.many") - F.col("both") <= apart("y")))
-    rest = cut(rest.select("a", "b").join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = one.join(other, "shingle").where("a < b and label <> label_b").where(early(F.col("x"), F.col("y"))).select("a", "b").distinct()
+    rest = cut(rest.join(stars, ["a", "b"], "left_anti"), "rest-early")
+    told = _asked(parts, rest)
+    side = lambda c, to: told.select(F.col("row").alias(c), F.struct("size", "late", "last", F.array_distinct("part").alias("part")).alias(to))
+    rest = rest.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    both = F.size(F.array_intersect("x.part", "y.part"))
+    apart = lambda c: F.size(f"{c}.part") - both <= F.col(f"{c}.size") - need(F.col("x"), F.col("y"))
+    rest = rest.where(F.when(F.struct("x.late", "x.last") <= F.struct("y.late", "y.last"), apart("x")).otherwise(apart("y")))
+    rest = cut(rest.select("a", "b"), "rest")
     return first.union(similar(rest, texts, width, least))

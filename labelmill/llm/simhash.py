@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm import shingles
-from labelmill.llm.common import cut, free_name, words_lower
+from labelmill.llm.common import cut, free_name, numbered, words_lower
 from labelmill.llm.components import components
 
 #: Fingerprints that an anchor compares pairwise; beyond it they go to the finest code. Either way gives the same links: a small number costs
@@ -147,7 +147,7 @@ def _proposed(sets: DataFrame, half: int, crowd: int) -> DataFrame:
     return same.union(near).distinct()
 
 
-def deduplicated(docs: DataFrame, half: int = 1, width: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
+def deduplicated(docs: DataFrame, half: int = 1, width: int = 5, least: float = 0.8, crowd: int = CROWD, stored: bool = False) -> DataFrame:
     """The rows of docs, one for each group of near copies: that with the smallest doc_id (of rows that repeat it, one).
 
     Near copies: the sets of `width`-word shingles have Jaccard similarity `least` or more,
@@ -155,16 +155,17 @@ def deduplicated(docs: DataFrame, half: int = 1, width: int = 5, least: float =
     texts decide. At 0.8 fingerprints differ in ten bits or so, far more than any cover can
     afford, so a prefix filter (see shingles) finds, without loss, the groups that anchors
     leave apart. Null and blank texts are alike. A group of null ids alone keeps its first
-    row. All columns are kept, whatever they are called; an empty table stays empty.
+    row. All columns are kept, whatever they are called; an empty table stays empty. stored:
+    docs is a Parquet table as read, of which no copy is written.
     """
     row = free_name(docs, "row")
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select(F.col(row).alias("row"), "text")
+    docs_rows = numbered(docs, row, stored)
+    texts = docs_rows.select(F.col(row).alias("row"), "text")
     parts = cut(shingles.parts(texts, width, least), "parts")
-    ids = numbered.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("id"))
+    ids = docs_rows.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("id"))
     sets = cut(parts.select("row", "key", "fp").join(ids, "row").groupBy("key").agg(F.min("id").alias("id"), F.first("fp").alias("fp")).select(F.col("id.row").alias("row"), "id", "fp"), "sets")
     once = parts.join(sets.select("row"), "row", "left_semi").select("row", "size", "part", "late", "last")
     anchored = _proposed(sets.select("row", "fp"), half, crowd)
     label = components(shingles.links(texts, once, width, least, anchored), "a", "b").withColumnRenamed("node", "row")
     kept = sets.join(label, "row", "left").groupBy(F.coalesce("component", "row").alias("label")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(row))
-    return numbered.join(cut(kept, "kept"), row, "left_semi").select(*docs.columns)
+    return docs_rows.join(cut(kept, "kept"), row, "left_semi").select(*docs.columns)

@@ -734,3 +734,66 @@ def test_queries_equal_sql(spark, name):
     names = [x[0] for x in q.description]
     assert sorted(names) == sorted(df.columns)
     assert Counter(tuple(r[names.index(x)] for x in df.columns) for r in q.fetchall()) == Counter(map(tuple, df.collect()))
+
+
+def written(monkeypatch, *modules):
+    """The rows of each table that the modules write from now on, by name."""
+    import importlib
+
+    from labelmill.llm.common import cut as real
+
+    rows = defaultdict(list)
+
+    def cut(df, name="cut"):
+        out = real(df, name)
+        rows[name].append(out.count())
+        return out
+
+    for m in modules:
+        monkeypatch.setattr(importlib.import_module(f"labelmill.llm.{m}"), "cut", cut)
+    return rows
+
+
+def test_stages_of_the_pipeline_write_no_copy_of_a_stored_table(monkeypatch, odd, spark, tmp_path):
+    import corpus_pipeline
+    from labelmill.llm.mixing import mixed
+    from labelmill.llm.simhash import deduplicated
+
+    docs = clashing(odd.union(spark.read.parquet(f"{SF}/documents.parquet").select(*odd.columns))).withColumn("_metadata", F.lit("own"))
+    docs.repartition(5).write.parquet(path := str(tmp_path / "docs, #1"))
+    stored = spark.read.parquet(path)
+    of = lambda df: sorted(map(str, df.collect()))
+    want = of(deduplicated(docs)), Counter(r.doc_id for r in mixed(docs).collect())
+    rows = written(monkeypatch, "common", "mixing", "shingles", "simhash")
+    assert of(corpus_pipeline.near_duplicates(spark, stored, SF)) == want[0] and Counter(r.doc_id for r in corpus_pipeline.mix(spark, stored, SF).collect()) == want[1]
+    assert "numbered" not in rows
+    twice = stored.withColumn("i", F.explode(F.array(F.lit(1), F.lit(1)))).drop("i")  # rows that share a place in a file
+    assert of(deduplicated(twice, stored=True)) == want[0] and len(rows["numbered"]) == 1
+    assert of(deduplicated(stored.union(stored), stored=True)) == want[0] and len(rows["numbered"]) == 2
+
+
+@pytest.mark.parametrize("n", [40, 160])
+def test_near_copies_beyond_reach_of_each_other_are_no_square_of_pairs(monkeypatch, n, spark):
+    """Texts that share four fifths with one text have similarities of 0.5 or so: each proposes a few pairs, however many they are."""
+    from labelmill.llm.simhash import deduplicated
+
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(200)]
+    texts = [base]
+    for i in range(n):
+        t = list(base)
+        for k in rng.choice(200, 3 if i % 4 == 0 else 12, replace=False):
+            t[k] = f"x{rng.integers(10**9)}"
+        texts.append(t)
+    sets = [{tuple(t[i : i + 5]) for i in range(196)} for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    comp = list(range(n + 1))
+    for i in range(n + 1):
+        for j in range(i):
+            if near(sets[i], sets[j]):
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    rows = written(monkeypatch, "shingles")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in deduplicated(docs).collect()) == sorted(set(comp)) and len(set(comp)) > n / 2
+    assert rows["rest-early"][0] <= 2 * n
