@@ -518,3 +518,20 @@ def test_permutation_sends_no_hashes(spark):
     below = [x for x in plan.splitlines() if "md5" in x]
     assert below and all("unhex" in x for x in below)
     assert all("Exchange" in plan.splitlines()[i + 1] for i, x in enumerate(plan.splitlines()) if "Project" in x and "md5" in x)
+
+
+def test_dedup_pool_gives_all_pairs(spark):
+    """The query's rows are the pairs of a pool, each row of an id with its own, in tiles of any size."""
+    from labelmill.operators import bank as B
+    from labelmill.plans import registry
+
+    registry.load()
+    assert registry.QUERIES["jn_dedup_pool"](spark, "/root/testdata/sf0.001").columns == ["id", "other"]
+    rng = np.random.default_rng(4)
+    pick = lambda *v: v[int(rng.integers(0, len(v)))]
+    rows = [(None if k % 50 == 0 else int(rng.integers(0, 70)), pick("a", "b", None), pick("x", "y", None), pick("REJECTED", "PENDING_REVIEW", "LOW_CONFIDENCE"), pick("s", " ", None)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, subject string, topic string, status string, stem string")
+    live = [r for r in rows if r[3] != "REJECTED" and r[4] == "s" and None not in r]
+    want = sorted((a[0], b[0]) for a in live for b in live if a[1:3] == b[1:3] and b[0] < a[0])
+    for tile in (3, 8192):
+        assert sorted(tuple(r) for r in B.pool_pairs(df, tile).collect()) == want
