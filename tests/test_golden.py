@@ -535,3 +535,20 @@ def test_dedup_pool_gives_all_pairs(spark):
     want = sorted((a[0], b[0]) for a in live for b in live if a[1:3] == b[1:3] and b[0] < a[0])
     for tile in (3, 8192):
         assert sorted(tuple(r) for r in B.pool_pairs(df, tile).collect()) == want
+
+
+def test_white_balance_has_all_channels_and_both_methods(spark):
+    """Against numpy, as the reference has it: gray world and white patch of r, g and b, clipped and truncated."""
+    from labelmill.plans import registry
+    from labelmill.plans.data import colours
+
+    registry.load()
+    sf = "/root/testdata/sf0.001"
+    c, got, want = colours(spark, sf).toPandas(), registry.QUERIES["win_white_balance"](spark, sf), []
+    assert got.columns == ["ok", "ln", "r", "g", "b", "white_r", "white_g", "white_b"]
+    for _, g in c.groupby("label"):
+        f = g[["r", "g", "b"]].to_numpy(float)
+        means, ref = f.mean(0) + 1e-6, np.percentile(f, 99, axis=0) + 1e-6
+        out = [np.floor(np.clip(f * factor, 0, 255) + 1e-9).astype(int) for factor in (means.mean() / means, 255 / ref)]
+        want += np.column_stack([g[["ok", "ln"]], *out]).tolist()
+    assert sorted(map(list, got.collect())) == sorted(want)
