@@ -552,3 +552,28 @@ def test_white_balance_has_all_channels_and_both_methods(spark):
         out = [np.floor(np.clip(f * factor, 0, 255) + 1e-9).astype(int) for factor in (means.mean() / means, 255 / ref)]
         want += np.column_stack([g[["ok", "ln"]], *out]).tolist()
     assert sorted(map(list, got.collect())) == sorted(want)
+
+
+def test_window_index_proposes_all_pairs_and_few_others(spark):
+    """Long texts are not compared two by two: those that share too few windows are never paired, and no pair within the threshold is lost."""
+    import difflib
+
+    rng = np.random.default_rng(23)
+    words = ["".join(rng.choice(list("etaoinsrhldu"), rng.integers(2, 8))) for _ in range(300)]
+    stems = [" ".join(rng.choice(words, 120)) + " vq" for _ in range(120)]
+    for k in range(60):  # near copies: words changed, left out or moved
+        w = stems[int(rng.integers(120))].split(" ")
+        for _ in range(int(rng.integers(1, 9))):
+            w[int(rng.integers(len(w)))] = "vkjx"[int(rng.integers(4))] if rng.random() < 0.3 else words[int(rng.integers(300))]
+        stems.append(" ".join(w if k % 3 else w[4:] + w[:4]))
+    rows = [(int(i), s, len(s), 0, sum(s.count(c) for c in set(s) if s.count(c) <= len(s) // 100 + 1)) for i, s in zip(rng.permutation(len(stems)), stems, strict=True)]
+    df = spark.createDataFrame(rows, "id long, s string, n int, block long, rare long").withColumn("sure", B.sure_windows(F.col("n"), F.col("rare"), 0.9))
+    sure = {r.id for r in df.where("sure > 0").collect()}
+    text = {r[0]: r[1] for r in rows}
+    ratio = {(i, j): difflib.SequenceMatcher(None, text[i], text[j]).ratio() for i in text for j in sure if j < i}
+    want = {p for p, q in ratio.items() if q >= 0.9}
+    got = {(r.id, r.matched) for r in B.window_pairs(df, 0.9, 4).collect()}
+    assert len(sure) > 150 and len(want) > 5 and want <= got and len(got) < len(ratio) / 40
+    for (i, j), q in list(ratio.items())[::97] + [(p, ratio[p]) for p in want]:
+        for least in (0.1, 0.9):
+            assert H.ratio_from(difflib.SequenceMatcher(None, text[i], text[j]), least) == (q if q >= least else None)
