@@ -174,3 +174,19 @@ def test_many_files_are_listed_in_folders_and_read_in_few_tasks(spark, tmp_path)
     spark.range(1200).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")).write.parquet(f"{many}/documents.parquet")
     out = __spark_entry__.queries()["src_binary_hash"](spark, many)
     assert out.count() == 1200 and out.rdd.getNumPartitions() < 30  # at 4 MB for opening a file it is 38 tasks
+
+
+def test_files_are_not_known_to_the_driver(spark, tmp_path):
+    import hashlib
+
+    import __spark_entry__
+    from labelmill.sources.exports import write_files
+    from labelmill.sources.readers import read_folders
+
+    out = __spark_entry__.queries()["src_binary_hash"](spark, "/root/testdata/sf0.001")
+    assert out.count() == 200 and not [f for f in out.inputFiles() if f.endswith(".bin")]  # was one for each document
+    files = [("x/a", b"1"), ("x/b", b""), ("x/_c", b"3"), ("x/d/e", b"4"), ("y/f", b"5" * 3000)]
+    write_files(spark.createDataFrame([(n, bytearray(c)) for n, c in files], "name string, content binary"), str(tmp_path / "f")).collect()
+    folders = spark.createDataFrame([("x",), ("y",), ("none",)], "name string")
+    got = {(r.path.split("/f/")[1], r.size, r.sha256) for r in read_folders(spark, str(tmp_path / "f"), folders).collect()}
+    assert got == {(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in files if n in ("x/a", "y/f")}
