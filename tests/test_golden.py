@@ -577,3 +577,11 @@ def test_window_index_proposes_all_pairs_and_few_others(spark):
     for (i, j), q in list(ratio.items())[::97] + [(p, ratio[p]) for p in want]:
         for least in (0.1, 0.9):
             assert H.ratio_from(difflib.SequenceMatcher(None, text[i], text[j]), least) == (q if q >= least else None)
+
+
+def test_sketches_stay_thin(spark):
+    """A sketch has at least four bits for each character of its text, so that unlike texts of a length differ in it."""
+    wide = 2 / 0.9 - 1
+    n = spark.range(10, 20000, 371).select(F.col("id").alias("n")).withColumn("band", F.floor(F.log("n") / F.log(F.lit(wide))).cast("int"))
+    rows = n.select("n", B.gram_widths(F.col("band"), wide).alias("bits")).collect()
+    assert all(r.bits >= 4 * r.n and r.bits & (r.bits - 1) == 0 for r in rows)
